@@ -7,7 +7,7 @@ the block's two smallest classes, which joins groups of near copies in linear ti
 In each block of more where distinct components remain, signature trees are built: leaves hold a class's token bitmap, inner
 nodes the OR of their children's bitmaps and the range of their sizes, and a dual traversal from the roots drops node
 pairs whose greatest possible overlap is too small or which are already one component. What is left is verified on
-the whole sets.
+the whole sets. Links between members of one component are not all looked for: they change no component.
 """
 
 from __future__ import annotations
@@ -177,6 +177,27 @@ def links(docs: DataFrame, pairs: DataFrame, classes: DataFrame, k: int, num: in
     return cut(both.mapInArrow(_verify(num, den), "a long, b long"))
 
 
+def _may_link(num: int, den: int):
+    """Drops pairs whose signatures leave room for too small an overlap only."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.array([*batch.column(c).to_pylist(), None], object)[:-1] for c in ("sx", "sy"))
+            wx, wy = (np.array([len(s) for s in v], np.int64) for v in (x, y))
+            nx, ny = batch.column("nx").to_numpy(), batch.column("ny").to_numpy()
+            ok = np.zeros(len(nx), bool)
+            for u, v in set(zip(wx.tolist(), wy.tolist(), strict=True)):
+                at = np.flatnonzero((wx == u) & (wy == v))
+                p, q = (np.frombuffer(b"".join(s[at]), np.uint64).reshape(len(at), -1) for s in (x, y))
+                slack = np.minimum(nx[at] - np.bitwise_count(p).sum(1, dtype=np.int64), ny[at] - np.bitwise_count(q).sum(1, dtype=np.int64))
+                width = min(u, v) // 8
+                most = np.bitwise_count(_fold(p, width) & _fold(q, width)).sum(1, dtype=np.int64) + slack
+                ok[at] = (num + den) * most >= num * (nx[at] + ny[at])
+            yield pa.record_batch([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(ok))
+
+    return run
+
+
 class Tree:
     """Signature tree over classes of one bitmap width: level 0 are the leaves, each next level ORs FANOUT nodes of the one below."""
 
@@ -306,15 +327,13 @@ def similar_components(docs: DataFrame, *, k: int = 5, num: int = 80, den: int =
     blocks = cut(prefixes.repartition("token").sortWithinPartitions("token", "node").mapInArrow(_blocks, "kind byte, a long, b long").distinct())
 
     named = classes.filter("doc_id is not null")
-    fits = F.expr(f"{den} * least(x.n, y.n) >= {num} * greatest(x.n, y.n)")
-
-    def sized(pairs: DataFrame) -> DataFrame:
-        x, y = (classes.select(F.col("node").alias(c), "n").alias(v) for c, v in (("a", "x"), ("b", "y")))
-        return pairs.join(x, "a").join(y, "b").filter(fits).select("a", "b")
-
-    swept = cut(sized(blocks.filter("kind = 1").select("a", "b")))
-    edges = links(docs, swept, named, k, num, den)
-    comps = components(edges)
+    fits = F.expr(f"{den} * least(nx, ny) >= {num} * greatest(nx, ny)")
+    x, y = (classes.select(F.col("node").alias(c), F.col("n").alias(f"n{v}"), F.col("sig").alias(f"s{v}")) for c, v in (("a", "x"), ("b", "y")))
+    swept = blocks.filter("kind = 1").select("a", "b").join(x, "a").join(y, "b").filter(fits)
+    swept = cut(swept.mapInArrow(_may_link(num, den), "a long, b long"))
+    first = swept.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")  # one partner each joins most copies; the others follow if still apart
+    edges = links(docs, first, named, k, num, den)
+    comps = cut(components(edges))
 
     members = blocks.filter("kind = 2").select(F.col("a").alias("token"), F.col("b").alias("node"))
     members = members.join(comps, "node", "left").select("token", "node", F.coalesce("comp", "node").alias("comp"))
@@ -326,7 +345,10 @@ def similar_components(docs: DataFrame, *, k: int = 5, num: int = 80, den: int =
     dealt = dealt.select("token", F.least("own", "with").alias("c"), F.greatest("own", "with").alias("d"), (F.col("own") > F.col("with")).cast("int").alias("side"), "node", "comp")
     dealt = dealt.join(classes.select("node", "n", "sig"), "node")
     pairs = dealt.repartition("token", "c", "d").sortWithinPartitions("token", "c", "d").mapInArrow(_trees(num, den), "a long, b long").distinct()
-    rest = cut(pairs.join(swept, ["a", "b"], "left_anti"))
+    ca, cb = (comps.select(F.col("node").alias(c), F.col("comp").alias(f"c{c}")) for c in "ab")
+    apart = swept.join(first, ["a", "b"], "left_anti").join(ca, "a", "left").join(cb, "b", "left")
+    apart = apart.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+    rest = cut(pairs.join(first, ["a", "b"], "left_anti").union(apart).distinct())
     more = links(docs, rest, named, k, num, den)
     if not more.isEmpty():
         comps = components(edges.union(more))
