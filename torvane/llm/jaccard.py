@@ -2,10 +2,9 @@
 
 Every document becomes the set of hashes of its word shingles. Equal sets are one class from the start. Classes meet
 under the first shingles of their sets in one global order (frequent ones last), so that two classes above the
-threshold share such a shingle; each shingle's classes form a block. First every class of a block is compared with
-the block's two smallest classes, which joins groups of near copies in linear time and settles blocks of up to three.
-In each block of more where distinct components remain, signature trees are built: leaves hold a class's token bitmap, inner
-nodes the OR of their children's bitmaps and the range of their sizes, and a dual traversal from the roots drops node
+threshold share such a shingle; each shingle's classes form a block. First, each class is compared with one other that it meets
+most, twice, which joins groups of near copies in linear time. In each block where distinct components remain,
+signature trees are built: leaves hold a class's token bitmap, inner nodes the OR of their children's bitmaps and the range of their sizes, and a dual traversal from the roots drops node
 pairs whose greatest possible overlap is too small or which are already one component. What is left is verified on
 the whole sets. Links between members of one component are not all looked for: they change no component.
 """
@@ -26,6 +25,8 @@ from torvane.llm.shared import bitmap, components, cut, longs
 SKETCH_BITS = 18
 #: Classes that one signature tree holds; larger blocks are dealt as pairs of chunks. Children of a node.
 CHUNK, FANOUT = 512, 8
+#: Rounds that compare each class with one other before trees are built.
+SWEEPS = 2
 
 
 def shingle_sets(column: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -98,31 +99,21 @@ def _prefixes(k: int, num: int, den: int, level):
     return run
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (token, node) in order: pairs with the two smallest nodes of a token (kind 1), and the members of blocks that hold over three (kind 2)."""
-    schema = pa.schema([("kind", pa.int8()), ("a", pa.int64()), ("b", pa.int64())])
-    held: np.ndarray | None = None  # the last token's rows: its first two nodes, its fourth and whether it was told
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (token, node) in order, those whose token has more than one node."""
+    held = np.zeros((0, 2), np.int64)  # the last token's first two nodes
     for batch in batches:
-        rows = np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()], 1)
-        if held is not None:
-            rows = np.concatenate([held, rows])
-        if not len(rows):
-            continue
+        rows = np.concatenate([held, np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()], 1)])
         keep = np.ones(len(rows), bool)
         keep[1:] = (rows[1:] != rows[:-1]).any(1)
         rows = rows[keep]
-        start = np.flatnonzero(np.r_[True, rows[1:, 0] != rows[:-1, 0]])
-        size = np.diff(np.r_[start, len(rows)])
-        rank = np.arange(len(rows)) - np.repeat(start, size)
-        one, two = np.repeat(rows[start, 1], size), np.repeat(rows[np.minimum(start + 1, len(rows) - 1), 1], size)
-        pairs = np.unique(np.concatenate([np.stack([one, rows[:, 1]], 1)[rank > 0], np.stack([two, rows[:, 1]], 1)[rank > 1]]), axis=0)
-        large = np.repeat(size > 3, size)
-        # the last token may go on: its first rows are kept, at most four, which may tell some pairs and members again
-        last = start[-1]
-        held = rows[last : last + 4]
-        out = np.concatenate([pairs, rows[large]])
-        kind = np.r_[np.ones(len(pairs), np.int8), np.full(int(large.sum()), 2, np.int8)]
-        yield pa.record_batch([pa.array(kind), pa.array(out[:, 0]), pa.array(out[:, 1])], schema=schema)
+        if not len(rows):
+            continue
+        same = rows[1:, 0] == rows[:-1, 0]
+        out = rows[np.r_[False, same] | np.r_[same, False]]
+        last = int(np.searchsorted(np.cumsum(np.r_[True, ~same]), same.size - same.sum() + 1))
+        held = rows[last : last + 2]  # may be told again
+        yield pa.record_batch([pa.array(out[:, 0]), pa.array(out[:, 1])], names=["token", "node"])
 
 
 def _verify(num: int, den: int):
@@ -304,6 +295,18 @@ def _trees(num: int, den: int):
     return run
 
 
+def _partners(members: DataFrame, tested: DataFrame | None) -> DataFrame:
+    """For each node at most one pair (a, b), a < b: with the first node of the first or last component of its blocks, whichever shares most tokens."""
+    ends = members.groupBy("token").agg(F.min(F.struct("comp", "node")).alias("lo"), F.max(F.struct("comp", "node")).alias("hi")).filter("lo.comp <> hi.comp")
+    other = F.when(F.col("comp") != F.col("lo.comp"), F.col("lo.node")).otherwise(F.col("hi.node"))
+    met = members.join(ends, "token").select("node", other.alias("other")).groupBy("node", "other").agg(F.count("*").alias("c"))
+    met = met.select("node", "c", F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
+    if tested is not None:
+        met = met.join(tested, ["a", "b"], "left_anti")
+    best = met.groupBy("node").agg(F.max(F.struct("c", (-F.col("a")).alias("na"), F.col("b"))).alias("m"))
+    return best.select((-F.col("m.na")).alias("a"), F.col("m.b").alias("b")).distinct()
+
+
 def similar_components(docs: DataFrame, *, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """Rows (doc_id, n_shingles, component_id) of all documents (doc_id, text; other columns don't matter).
 
@@ -324,20 +327,23 @@ def similar_components(docs: DataFrame, *, k: int = 5, num: int = 80, den: int =
     for bucket, rank in frequent.collect():  # at most 2 ** SKETCH_BITS rows
         level[bucket] = rank + 1
     prefixes = docs.filter("text is not null").mapInArrow(_prefixes(k, num, den, spark.sparkContext.broadcast(level)), "token long, node long")
-    blocks = cut(prefixes.repartition("token").sortWithinPartitions("token", "node").mapInArrow(_blocks, "kind byte, a long, b long").distinct())
+    members = cut(prefixes.repartition("token").sortWithinPartitions("token", "node").mapInArrow(_shared, "token long, node long").distinct())
 
     named = classes.filter("doc_id is not null")
     fits = F.expr(f"{den} * least(nx, ny) >= {num} * greatest(nx, ny)")
     x, y = (classes.select(F.col("node").alias(c), F.col("n").alias(f"n{v}"), F.col("sig").alias(f"s{v}")) for c, v in (("a", "x"), ("b", "y")))
-    swept = blocks.filter("kind = 1").select("a", "b").join(x, "a").join(y, "b").filter(fits)
-    swept = cut(swept.mapInArrow(_may_link(num, den), "a long, b long"))
-    first = swept.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")  # one partner each joins most copies; the others follow if still apart
-    edges = links(docs, first, named, k, num, den)
-    comps = cut(components(edges))
-
-    members = blocks.filter("kind = 2").select(F.col("a").alias("token"), F.col("b").alias("node"))
-    members = members.join(comps, "node", "left").select("token", "node", F.coalesce("comp", "node").alias("comp"))
-    members = cut(members)
+    alone = members = members.withColumn("comp", F.col("node"))
+    edges = tested = None
+    for _ in range(SWEEPS):
+        pairs = _partners(members, tested)
+        tested = cut(pairs if tested is None else pairs.union(tested))
+        likely = tested.join(x, "a").join(y, "b").filter(fits).mapInArrow(_may_link(num, den), "a long, b long")
+        if edges is not None:
+            likely = likely.join(edges, ["a", "b"], "left_anti")
+        found = links(docs, cut(likely), named, k, num, den)
+        edges = found if edges is None else edges.union(found)
+        comps = components(edges)
+        members = cut(alone.drop("comp").join(comps, "node", "left").select("token", "node", F.coalesce("comp", "node").alias("comp")))
     open_ = members.groupBy("token").agg(F.count("*").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
     chunks = F.ceil(F.col("m") / CHUNK).cast("int")
     dealt = members.join(open_.select("token", chunks.alias("q")), "token").withColumn("own", F.pmod(F.xxhash64("node"), F.col("q")).cast("int"))
@@ -345,10 +351,7 @@ def similar_components(docs: DataFrame, *, k: int = 5, num: int = 80, den: int =
     dealt = dealt.select("token", F.least("own", "with").alias("c"), F.greatest("own", "with").alias("d"), (F.col("own") > F.col("with")).cast("int").alias("side"), "node", "comp")
     dealt = dealt.join(classes.select("node", "n", "sig"), "node")
     pairs = dealt.repartition("token", "c", "d").sortWithinPartitions("token", "c", "d").mapInArrow(_trees(num, den), "a long, b long").distinct()
-    ca, cb = (comps.select(F.col("node").alias(c), F.col("comp").alias(f"c{c}")) for c in "ab")
-    apart = swept.join(first, ["a", "b"], "left_anti").join(ca, "a", "left").join(cb, "b", "left")
-    apart = apart.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-    rest = cut(pairs.join(first, ["a", "b"], "left_anti").union(apart).distinct())
+    rest = cut(pairs.join(tested, ["a", "b"], "left_anti"))
     more = links(docs, rest, named, k, num, den)
     if not more.isEmpty():
         comps = components(edges.union(more))
