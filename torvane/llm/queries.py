@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from torvane.llm import chat, jaccard, langid, license, mixing, resample, rules, winnow
+from torvane.llm import chat, jaccard, langid, license, mixing, resample, rules, suffixes, winnow
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeated_spans(table(spark, sf_dir, "documents"), min_words=50, k=40)
+
+
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_components(table(spark, sf_dir, "documents"), k=5, num=80, den=100)
 
@@ -54,6 +58,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str, tokenizer: str | None
 
 def queries():
     return {
+        "op1_suffix_dedup": op1_suffix_dedup,
         "op2_ngram_jaccard": op2_ngram_jaccard,
         "op3_license_scan": op3_license_scan,
         "op4_quality_resampling": op4_quality_resampling,
