@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from torvane.llm import chat, jaccard, langid, license, mixing, resample, rules, suffixes, winnow
+from torvane.llm import chat, jaccard, langid, license, lm, mixing, resample, rules, suffixes, winnow
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"), folds=3, test=1)
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
 
@@ -63,6 +67,7 @@ def queries():
         "op3_license_scan": op3_license_scan,
         "op4_quality_resampling": op4_quality_resampling,
         "op5_language_id": op5_language_id,
+        "op6_lm_scoring": op6_lm_scoring,
         "op7_source_mixing": op7_source_mixing,
         "op8_quality_rules": op8_quality_rules,
         "op9_decontamination": op9_decontamination,
