@@ -131,16 +131,22 @@ def _level(scored: DataFrame) -> int | None:
     return (sum(found) // len(found)) << 46
 
 
-def resample(docs: DataFrame, labels: DataFrame, *, share: float | None = None, seed: int = 7) -> DataFrame:
-    """Rows (doc_id, n_features, log_weight, key, kept) of all documents (doc_id, text); labels: (doc_id, quality, toxic).
+def _kept(ratio, last: int | None, seed: int):
+    weigh = _weights(ratio, seed)
 
-    The target are rows labelled with quality 1 that aren't toxic; an id with labels that disagree is no target. Of
-    the labelled rows a sample of at most MAX_LABELLED by hash is used; the raw model and all weights take every row.
-    share: of the rows to keep; None for as many as reach the level that the labels give (all, if no label is bad).
-    Null and empty texts have weight 0. Noise depends on seed and doc_id only, so repeated rows share one fate; rows
-    tied with the k-th are kept. A null doc_id is never labelled. Without labels all rows are kept (or the share).
-    Other columns are ignored; an empty table gives no rows.
-    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if last is None:
+                continue
+            slim = pa.record_batch([batch.column("doc_id").cast(pa.int64()), batch.column("text").cast(pa.string())], names=["doc_id", "text"])
+            for scored in weigh(iter([slim])):
+                yield batch.filter(pa.array(scored.column("key_order").to_numpy() >= last))
+
+    return run
+
+
+def _fitted(docs: DataFrame, labels: DataFrame, share: float | None, seed: int) -> tuple[DataFrame, object, int | None]:
+    """(scored rows, broadcast ratio, key of the last row that is drawn)."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     marked = labels.filter("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
@@ -160,13 +166,33 @@ def resample(docs: DataFrame, labels: DataFrame, *, share: float | None = None,
     else:
         target = raw
     ratio = np.log(target / target.sum()) - np.log(raw / raw.sum())
-    scored = cut(docs.mapInArrow(_weights(spark.sparkContext.broadcast(ratio), seed), "doc_id long, n_features long, log_weight double, key double, key_order long, weight_order long"))
+    ratio = spark.sparkContext.broadcast(ratio)
+    scored = cut(docs.mapInArrow(_weights(ratio, seed), "doc_id long, n_features long, log_weight double, key double, key_order long, weight_order long"))
 
     if share is None:
         level = _level(scored.join(F.broadcast(marked), "doc_id").select("weight_order", "good"))
         k = scored.count() if level is None else scored.filter(F.col("weight_order") >= level).count()
     else:
         k = round(share * scored.count())
-    last = kth_largest(scored, "key_order", k)
+    return scored, ratio, kth_largest(scored, "key_order", k)
+
+
+def resample(docs: DataFrame, labels: DataFrame, *, share: float | None = None, seed: int = 7) -> DataFrame:
+    """Rows (doc_id, n_features, log_weight, key, kept) of all documents (doc_id, text); labels: (doc_id, quality, toxic).
+
+    The target are rows labelled with quality 1 that aren't toxic; an id with labels that disagree is no target. Of
+    the labelled rows a sample of at most MAX_LABELLED by hash is used; the raw model and all weights take every row.
+    share: of the rows to keep; None for as many as reach the level that the labels give (all, if no label is bad).
+    Null and empty texts have weight 0. Noise depends on seed and doc_id only, so repeated rows share one fate; rows
+    tied with the k-th are kept. A null doc_id is never labelled. Without labels all rows are kept (or the share).
+    Other columns are ignored; an empty table gives no rows.
+    """
+    scored, _, last = _fitted(docs, labels, share, seed)
     kept: Column = F.lit(False) if last is None else F.col("key_order") >= last
     return scored.select("doc_id", "n_features", "log_weight", "key", kept.alias("kept"))
+
+
+def drawn(docs: DataFrame, labels: DataFrame, *, share: float | None = None, seed: int = 7) -> DataFrame:
+    """The rows of docs, with all their columns, that resample() keeps. Weights are taken again row by row, so nothing is joined."""
+    _, ratio, last = _fitted(docs, labels, share, seed)
+    return docs.mapInArrow(_kept(ratio, last, seed), docs.schema)

@@ -192,7 +192,7 @@ def repeated_spans(docs: DataFrame, *, min_words: int = MIN_WORDS, k: int = K) -
 def _without(schema: pa.Schema, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cuts, texts = batch.column("_cuts").to_pylist(), batch.column("text").to_pylist()
+            cuts, texts = batch.column("torvane_cuts").to_pylist(), batch.column("text").to_pylist()
             for ws in tn.slices(batch.column("text"), tn.SPACED):
                 for i in range(ws.lo, ws.hi):
                     if not cuts[i]:
@@ -217,12 +217,12 @@ def without_repeats(docs: DataFrame, *, min_words: int = MIN_WORDS, k: int = K)
     such a column, follows the text.
     """
     spans = cut(repeated_spans(docs, min_words=min_words, k=k))
-    cuts = spans.groupBy(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).agg(F.collect_list(F.struct("start_word", "end_word")).alias("_cuts"))
+    cuts = spans.groupBy(F.col("doc_id").alias("torvane_id"), F.col("key").alias("torvane_key")).agg(F.collect_list(F.struct("start_word", "end_word")).alias("torvane_cuts"))
     key = F.xxhash64(docs["doc_id"].cast("long"), docs["text"].cast("string"))
-    both = docs.withColumn("_own", key)
-    both = both.join(cuts, (both["_own"] == cuts["_key"]) & both["doc_id"].cast("long").eqNullSafe(cuts["_id"]), "left").drop("_own", "_id", "_key")
-    out = both.mapInArrow(_without(None, [*docs.columns, "_cuts"]), both.schema)
-    out = out.filter(F.col("_cuts").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    both = docs.withColumn("torvane_own", key)
+    both = both.join(cuts, (both["torvane_own"] == cuts["torvane_key"]) & both["doc_id"].cast("long").eqNullSafe(cuts["torvane_id"]), "left").drop("torvane_own", "torvane_id", "torvane_key")
+    out = both.mapInArrow(_without(None, [*docs.columns, "torvane_cuts"]), both.schema)
+    out = out.filter(F.col("torvane_cuts").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_cuts").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+        out = out.withColumn("n_chars", F.when(F.col("torvane_cuts").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return out.select(*docs.columns)

@@ -59,7 +59,7 @@ def _item_rows(span: int, k: int):
 
 def _doc_rows(span: int, k: int, marks, shorts):
     """A row of each text (kind 0), and its windows that may be an item's (kind 1)."""
-    schema = pa.schema([("kind", pa.int8()), ("row", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("len", pa.int32()), ("h", pa.int64())])
+    schema = pa.schema([("kind", pa.int8()), ("row", pa.int64()), ("doc_id", pa.int64()), ("key", pa.int64()), ("start", pa.int64()), ("len", pa.int32()), ("h", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marked: Bitmap = marks.value
@@ -88,25 +88,27 @@ def _doc_rows(span: int, k: int, marks, shorts):
                 for m, starts, hashes in parts:
                     own = doc[starts]
                     found.append((own + ws.lo, starts - ws.first[own], np.full(len(starts), m, np.int32), hashes))
-            yield pa.record_batch([pa.array(np.zeros(len(n), np.int8)), pa.array(base + np.arange(len(n))), batch.column("doc_id"), pa.array(n), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.int64())], schema=schema)
+            yield pa.record_batch([pa.array(np.zeros(len(n), np.int8)), pa.array(base + np.arange(len(n))), batch.column("doc_id"), batch.column("key"), pa.array(n), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.int64())], schema=schema)
             if found:
                 row, start, size, hashes = (np.concatenate(x) for x in zip(*found, strict=True))
-                yield pa.record_batch([pa.array(np.ones(len(row), np.int8)), pa.array(base + row), batch.column("doc_id").take(pa.array(row)), pa.array(start), pa.array(size), longs(hashes)], schema=schema)
+                yield pa.record_batch([pa.array(np.ones(len(row), np.int8)), pa.array(base + row), batch.column("doc_id").take(pa.array(row)), pa.nulls(len(row), pa.int64()), pa.array(start), pa.array(size), longs(hashes)], schema=schema)
             base += len(n)
 
     return run
 
 
 def hits(docs: DataFrame, items: DataFrame, *, span: int = 10, k: int = K) -> tuple[DataFrame, DataFrame]:
-    """(rows, places): rows (row, doc_id, n_words) of all documents, and (row, start, len, item) of each window of an item in one."""
+    """(rows, places): rows (row, doc_id, key, n_words) of all documents, and (row, start, len, item) of each window of an item in one."""
     sc = docs.sparkSession.sparkContext
     told = cut(items.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string")).mapInArrow(_item_rows(span, k), "kind byte, len int, h long, item string").distinct())
     marks = bitmap(told.filter("kind = 0").select("h").distinct(), "h")
     lengths = [r[0] for r in told.filter(f"kind = 1 and len < {span}").select("len").distinct().collect()]  # fewer than span
     shorts = {n: bitmap(told.filter(f"kind = 1 and len = {n}").select("h").distinct(), "h", 22) for n in sorted(lengths)}
-    kinds = "kind byte, row long, doc_id long, start long, len int, h long"
-    seen = cut(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_doc_rows(span, k, sc.broadcast(marks), sc.broadcast(shorts)), kinds))
-    rows = seen.filter("kind = 0").select("row", "doc_id", F.col("start").alias("n_words"))
+    doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    slim = docs.select(doc_id, text, F.xxhash64(doc_id, text).alias("key"))
+    kinds = "kind byte, row long, doc_id long, key long, start long, len int, h long"
+    seen = cut(slim.mapInArrow(_doc_rows(span, k, sc.broadcast(marks), sc.broadcast(shorts)), kinds))
+    rows = seen.filter("kind = 0").select("row", "doc_id", "key", F.col("start").alias("n_words"))
     places = seen.filter("kind = 1").select("row", "start", "len", "h").join(told.filter("kind = 1").select("len", "h", "item"), ["len", "h"])
     return rows, cut(places.select("row", "start", "len", "item"))
 
@@ -129,3 +131,11 @@ def contamination(docs: DataFrame, items: DataFrame, *, span: int = 10, k: int =
     out = rows.join(covered.join(named, "row"), "row", "left")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"), F.sha2(F.coalesce("ids", F.lit("")), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+
+
+def decontaminated(docs: DataFrame, items: DataFrame, *, span: int = 10, k: int = K) -> DataFrame:
+    """The rows of docs, with all their columns, that contamination() doesn't call contaminated. Rows alike in id and text share one fate."""
+    key = F.xxhash64(docs["doc_id"].cast("long"), docs["text"].cast("string"))
+    rows, places = hits(docs, items, span=span, k=k)
+    bad = cut(rows.join(places.select("row").distinct(), "row", "left_semi").select(F.col("key").alias("torvane_bad")).distinct())
+    return docs.withColumn("torvane_key", key).join(bad, F.col("torvane_key") == F.col("torvane_bad"), "left_anti").drop("torvane_key")
