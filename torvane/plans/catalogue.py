@@ -1,9 +1,581 @@
-"""Registry of the engine's queries and of the SQL that each must agree with."""
+"""Registry of the engine's queries and of the SQL that each must agree with.
+
+Every query runs over whole tables. Those that choose at random from hashes have no SQL; tests check them.
+"""
+
+from __future__ import annotations
+
+import functools
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from torvane.functions import bits, share
+from torvane.functions import ring as rg
+from torvane.functions.ring import big, ring
+from torvane.functions.share import Dealer
+from torvane.operators import aggregates as ag
+from torvane.operators import discretize as dz
+from torvane.operators import linalg, packing, sets
+from torvane.operators.models import logistic, naive_bayes, trees
+
+#: Fraction bits, and the bit that comparisons look at: for values below 2 ** 40 in size.
+FB, TOP = 10, 41
+_QUERIES: dict = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a function of (spark, table) by its name; table(name) reads one. It is run inside the ring guard."""
+
+    def register(f):
+        @functools.wraps(f)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            with ring(spark):
+                return f(spark, lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+        _QUERIES[f.__name__] = run
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return register
 
 
 def queries():
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(_SQL)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _QUERIES["shared_product_sum"](spark, sf_dir)
+
+
+def enc(c: str):
+    return rg.encode(F.col(c), FB)
+
+
+def _orders(table) -> DataFrame:
+    """o_orderkey and two fixed-point numbers x, y of either sign, from orders."""
+    y = rg.encode(F.col("o_totalprice") - 200000.0, FB)
+    return table("orders").select("o_orderkey", rg.encode(F.col("o_totalprice") / 100.0 - 1000.0, FB).alias("x"), F.shiftright(y, 6).alias("y"), F.col("o_custkey").alias("c"))
+
+
+ORDERS = "(SELECT o_orderkey, trunc((o_totalprice / 100.0 - 1000.0) * 1024)::BIGINT AS x, trunc((o_totalprice - 200000.0) * 1024)::BIGINT >> 6 AS y, o_custkey AS c FROM orders)"
+D = Dealer(("o_orderkey", "c"))
+
+
+# Fixed point, sharing, elementwise arithmetic
+
+
+@query("SELECT l_returnflag, sum(trunc(l_quantity * 1024)::BIGINT * trunc(l_discount * 1024)::BIGINT)::BIGINT AS prod FROM lineitem GROUP BY 1")
+def shared_product_sum(spark, table):
+    d = Dealer(("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))
+    rows = table("lineitem").select("l_returnflag", *d.keys, enc("l_quantity").alias("x"), enc("l_discount").alias("y"))
+    z = d.multiply(d.share(F.col("x"), "x"), d.share(F.col("y"), "y"), "xy")
+    return rows.select("l_returnflag", z.alias("z")).groupBy("l_returnflag").agg((F.sum("z.s0") + F.sum("z.s1")).alias("prod"))
+
+
+@query("SELECT c_custkey, trunc(c_acctbal * 1024)::BIGINT AS v, CASE WHEN c_acctbal < 0 THEN -floor(-c_acctbal * 1024)::BIGINT ELSE floor(c_acctbal * 1024)::BIGINT END AS v_floor FROM customer")
+def ring_encode(spark, table):
+    return table("customer").select("c_custkey", enc("c_acctbal").alias("v"), rg.encode_floor(F.col("c_acctbal"), FB).alias("v_floor"))
+
+
+@query("SELECT c_custkey, trunc(c_acctbal * 1024)::BIGINT / 1024.0 AS x FROM customer")
+def ring_decode(spark, table):
+    return table("customer").select("c_custkey", rg.decode(enc("c_acctbal"), FB).alias("x"))
+
+
+@query(f"SELECT o_orderkey, (x * y) >> 10 AS v FROM {ORDERS}")
+def truncate_exact(spark, table):
+    return _orders(table).select("o_orderkey", rg.truncate(F.col("x") * F.col("y"), FB).alias("v"))
+
+
+@query(f"SELECT o_orderkey, true AS within_one FROM {ORDERS}")
+def truncate_local(spark, table):
+    got = share.open_sum(share.truncate_local(D.share(F.col("x") * F.col("y"), "t"), FB)) - rg.truncate(F.col("x") * F.col("y"), FB)
+    return _orders(table).select("o_orderkey", ((got == 0) | (got == 1)).alias("within_one"))
+
+
+@query(f"SELECT o_orderkey, x FROM {ORDERS}")
+def share_open_zq(spark, table):
+    return _orders(table).select("o_orderkey", share.open_sum(D.share(F.col("x"))).alias("x"))
+
+
+@query(f"SELECT o_orderkey, x FROM {ORDERS}")
+def share_open_z2(spark, table):
+    return _orders(table).select("o_orderkey", share.open_xor(D.share_bits(F.col("x"))).alias("x"))
+
+
+@query(f"SELECT o_orderkey, x * y AS v FROM {ORDERS}")
+def multiply(spark, table):
+    return _orders(table).select("o_orderkey", share.open_sum(D.multiply(D.share(F.col("x"), "x"), D.share(F.col("y"), "y"))).alias("v"))
+
+
+@query(f"SELECT o_orderkey, x & c AS v FROM {ORDERS}")
+def multiply_z2(spark, table):
+    return _orders(table).select("o_orderkey", share.open_xor(D.multiply_bits(D.share_bits(F.col("x"), "x"), D.share_bits(F.col("c"), "c"))).alias("v"))
+
+
+_BITS = "o_orderkey, (o_orderkey & 1) AS a, (c & 1) AS b"
+
+
+def _two_bits(table) -> DataFrame:
+    one = big(1)
+    return _orders(table).select("*", F.col("o_orderkey").bitwiseAND(one).alias("a"), F.col("c").bitwiseAND(one).alias("b"))
+
+
+@query(f"SELECT o_orderkey, xor(a, b) AS x, a | b AS o, 1 - a AS n, CASE WHEN a = 1 THEN x ELSE y END AS m FROM (SELECT {_BITS}, x, y FROM {ORDERS})")
+def bit_arithmetic(spark, table):
+    a, b = F.col("a"), F.col("b")
+    return _two_bits(table).select("o_orderkey", rg.xor01(a, b).alias("x"), rg.or01(a, b).alias("o"), rg.not01(a).alias("n"), rg.mux(a, F.col("x"), F.col("y")).alias("m"))
+
+
+@query(f"SELECT o_orderkey, xor(a, b) AS x, a | b AS o, 1 - a AS n, CASE WHEN a = 1 THEN x ELSE y END AS m, b AS z FROM (SELECT {_BITS}, x, y FROM {ORDERS})")
+def bit_arithmetic_shared(spark, table):
+    a, b = D.share(F.col("a"), "a"), D.share(F.col("b"), "b")
+    x, y = D.share(F.col("x"), "x"), D.share(F.col("y"), "y")
+    opened = {"x": D.xor01(a, b), "o": D.or01(a, b), "n": share.negate01(a), "m": D.mux(a, x, y), "z": D.bits_to_ring(D.share_bits(F.col("b"), "b"))}
+    return _two_bits(table).select("o_orderkey", *(share.open_sum(v).alias(k) for k, v in opened.items()))
+
+
+@query("SELECT c_custkey, CASE WHEN x <= -512 THEN 0 WHEN x >= 512 THEN 1024 ELSE x + 512 END AS v FROM (SELECT c_custkey, trunc(c_acctbal / 4096.0 * 1024)::BIGINT AS x FROM customer)")
+def clipped_relu(spark, table):
+    x = rg.encode(F.col("c_acctbal") / 4096.0, FB)
+    return table("customer").select("c_custkey", rg.clipped_relu(x, FB).alias("v"))
+
+
+@query(_SQL["clipped_relu"])
+def clipped_relu_shared(spark, table):
+    d = Dealer(("c_custkey",))
+    rows = table("customer").select("c_custkey", rg.encode(F.col("c_acctbal") / 4096.0, FB).alias("x"))
+    return rows.select("c_custkey", share.open_sum(d.clipped_relu(d.share(F.col("x")), FB, 26)).alias("v"))
+
+
+@query("SELECT c_custkey, CASE WHEN x > 0 THEN trunc(1.0 / sqrt(x / 1024.0) * 1024)::BIGINT END AS v FROM (SELECT c_custkey, trunc(c_acctbal * 1024)::BIGINT AS x FROM customer)")
+def inverse_sqrt(spark, table):
+    return table("customer").select("c_custkey", rg.inverse_sqrt(enc("c_acctbal"), FB).alias("v"))
+
+
+@query("SELECT l_orderkey, l_linenumber, gcd(l_orderkey, l_partkey)::BIGINT AS g, lcm(l_orderkey, l_partkey)::BIGINT AS l FROM lineitem")
+def gcd_lcm(spark, table):
+    a, b = F.col("l_orderkey"), F.col("l_partkey")
+    return table("lineitem").select("l_orderkey", "l_linenumber", rg.gcd(a, b).alias("g"), rg.lcm(a, b).alias("l"))
+
+
+# Bits and comparisons
+
+
+@query("SELECT p_partkey, p_partkey & (p_partkey << 1) & -6148914691236517206 AS pairs, (p_partkey & 15 = 15)::BIGINT AS every, ((p_partkey & 255) = (p_size & 255))::BIGINT AS same FROM part")
+def bit_words(spark, table):
+    k, s = F.col("p_partkey"), F.col("p_size").cast("bigint")
+    return table("part").select("p_partkey", bits.pairwise_and(k).alias("pairs"), bits.and_all(k, 4).alias("every"), bits.equal_bits(k, s, 8).alias("same"))
+
+
+@query(_SQL["bit_words"])
+def bit_words_shared(spark, table):
+    d, k, s = Dealer(("p_partkey",)), F.col("p_partkey"), F.col("p_size").cast("bigint")
+    x, y = d.share_bits(k, "k"), d.share_bits(s, "s")
+    up = share.pair(F.shiftleft(x.s0, 1), F.shiftleft(x.s1, 1))
+    pairs = share.open_xor(d.multiply_bits(x, up, "pairs")).bitwiseAND(big(bits.ODD_BITS))
+    return table("part").select("p_partkey", pairs.alias("pairs"), share.open_xor(d.and_all(share.pair(x.s0.bitwiseAND(big(15)), x.s1.bitwiseAND(big(15))), 4, "every")).alias("every"), share.open_xor(d.equal_bits(x, y, 8, "same")).alias("same"))
+
+
+@query("SELECT o_orderkey, " + ", ".join(f"(o_orderkey >> {p}) & 1 AS b{p}" for p in (0, 1, 3, 7, 15)) + ", list_transform(range(8), lambda i: ((o_orderkey >> i::INTEGER) & 1)::TINYINT) AS low FROM orders")
+def bit_extract(spark, table):
+    k = F.col("o_orderkey")
+    return table("orders").select("o_orderkey", *(bits.bit(k, p).alias(f"b{p}") for p in (0, 1, 3, 7, 15)), bits.to_bits(k, 8).alias("low"))
+
+
+@query("SELECT o_orderkey, " + ", ".join(f"(o_orderkey >> {p}) & 1 AS b{p}" for p in (0, 1, 3, 7, 15)) + " FROM orders")
+def bit_extract_shared(spark, table):
+    x = D.share(F.col("o_orderkey"), "k")
+    rows = table("orders").select("o_orderkey", F.col("o_custkey").alias("c"))
+    return rows.select("o_orderkey", *(share.open_xor(D.bit(x, p, str(p))).alias(f"b{p}") for p in (0, 1, 3, 7, 15)))
+
+
+@query(f"SELECT o_orderkey, (x >= y)::BIGINT AS ge, (x < y)::BIGINT AS lt, [(x >= y)::BIGINT, (x < y)::BIGINT] AS hot FROM {ORDERS}")
+def compare(spark, table):
+    x, y = F.col("x"), F.col("y")
+    return _orders(table).select("o_orderkey", bits.geq(x, y, TOP).alias("ge"), bits.less_than(x, y, TOP).alias("lt"), bits.argmax_of_two(x, y, TOP).alias("hot"))
+
+
+@query(f"SELECT o_orderkey, (x >= y)::BIGINT AS ge FROM {ORDERS}")
+def geq_shared(spark, table):
+    return _orders(table).select("o_orderkey", share.open_xor(D.geq(D.share(F.col("x"), "x"), D.share(F.col("y"), "y"), TOP)).alias("ge"))
+
+
+@query("SELECT p_partkey, lpad(lower(hex(p_partkey)), 32, '0') AS h, p_partkey AS lo, 0::BIGINT AS hi FROM part")
+def hex_words(spark, table):
+    text = bits.hex128(big(0), F.col("p_partkey"))
+    back = bits.parse_hex128(F.concat(F.lit("0x"), text))
+    return table("part").select("p_partkey", text.alias("h"), back.lo.alias("lo"), back.hi.alias("hi"))
+
+
+def _fields(table) -> DataFrame:
+    return table("part").select(F.col("p_partkey").alias("i"), F.col("p_partkey").alias("v"))
+
+
+_PACKED = """
+SELECT word, sum(CASE WHEN j < 8 THEN (v & 255)::HUGEINT << (56 - 8 * j)::INTEGER ELSE 0 END) AS hi, sum(CASE WHEN j >= 8 THEN (v & 255)::HUGEINT << (120 - 8 * j)::INTEGER ELSE 0 END) AS lo
+FROM (SELECT p_partkey // 16 AS word, p_partkey % 16 AS j, p_partkey AS v FROM part) GROUP BY 1
+"""
+
+
+@query(f"SELECT word, (CASE WHEN hi >= 9223372036854775808 THEN hi - 18446744073709551616 ELSE hi END)::BIGINT AS hi, (CASE WHEN lo >= 9223372036854775808 THEN lo - 18446744073709551616 ELSE lo END)::BIGINT AS lo FROM ({_PACKED})")
+def pack_bits(spark, table):
+    return packing.pack(_fields(table), 8)
+
+
+@query("SELECT p_partkey AS i, p_partkey & 2047 AS v FROM part")
+def unpack_bits(spark, table):
+    rows = _fields(table)
+    n = rows.count()
+    return packing.unpack(packing.pack(rows, 11, pad=1), 11, n, padded=True)
+
+
+@query("SELECT p_partkey AS i, ((p_partkey >> 1) & 1) | (((p_partkey >> 3) & 1) << 1) | (((p_partkey >> 5) & 1) << 2) | (((p_partkey >> 7) & 1) << 3) AS v FROM part")
+def repack_bits(spark, table):
+    rows = _fields(table)
+    n = rows.count()
+    return packing.unpack(packing.repack(packing.pack(rows, 8), 4, n), 4, n)
+
+
+# Aggregates
+
+
+@query("SELECT l_returnflag, sum(v)::BIGINT AS total, sum(q * q)::BIGINT AS squares FROM (SELECT l_returnflag, trunc(l_extendedprice * 1024)::BIGINT AS v, trunc(l_quantity * 1024)::BIGINT AS q FROM lineitem) GROUP BY 1")
+def sums(spark, table):
+    return table("lineitem").groupBy("l_returnflag").agg(ag.ring_sum(enc("l_extendedprice")).alias("total"), ag.sum_of_squares(enc("l_quantity")).alias("squares"))
+
+
+@query("SELECT o_orderkey // 100 AS chunk, sum(x * y)::BIGINT AS dot FROM (SELECT o_orderkey, o_custkey AS x, trunc(o_totalprice * 1024)::BIGINT AS y FROM orders) GROUP BY 1")
+def dot_chunks(spark, table):
+    return ag.dot_chunks(table("orders").select("o_orderkey", F.col("o_custkey").alias("x"), enc("o_totalprice").alias("y")), "o_orderkey", "x", "y", 100)
+
+
+FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+_LONG = "(" + " UNION ALL ".join(f"SELECT '{c}' AS col, trunc({c} * 1024)::BIGINT AS v FROM lineitem" for c in FEATURES) + ")"
+
+
+def _features(table) -> DataFrame:
+    return table("lineitem").select(*(enc(c).alias(c) for c in FEATURES), (F.col("l_returnflag") == "R").cast("int").alias("label"))
+
+
+@query(f"SELECT col, min(v) AS lo, max(v) AS hi FROM {_LONG} GROUP BY 1")
+def min_max(spark, table):
+    return ag.min_max(_features(table), FEATURES)
+
+
+@query("SELECT o_orderkey, list_reduce(list(v ORDER BY v), lambda a, b: a * b)::BIGINT AS product FROM (SELECT l_orderkey AS o_orderkey, l_linenumber::BIGINT + 1 AS v FROM lineitem WHERE l_linenumber <= 4) GROUP BY 1 HAVING count(*) <= 12")
+def products(spark, table):
+    rows = table("lineitem").filter("l_linenumber <= 4").select(F.col("l_orderkey").alias("o_orderkey"), (F.col("l_linenumber").cast("bigint") + 1).alias("v"))
+    return rows.groupBy("o_orderkey").agg(ag.product(F.col("v")).alias("product"), F.count("*").alias("n")).filter("n <= 12").drop("n")
+
+
+@query("SELECT o_custkey, bit_and(o_orderkey) AS every FROM orders GROUP BY 1")
+def and_aggregate(spark, table):
+    return table("orders").groupBy("o_custkey").agg(ag.and_all(F.col("o_orderkey")).alias("every"))
+
+
+@query("SELECT o_custkey, arg_max(o_orderkey, (v, -o_orderkey)) AS first_best FROM (SELECT o_custkey, o_orderkey, trunc(o_totalprice / 50000)::BIGINT AS v FROM orders) GROUP BY 1")
+def argmax_first(spark, table):
+    return table("orders").groupBy("o_custkey").agg(ag.first_argmax((F.col("o_totalprice") / 50000).cast("bigint"), F.col("o_orderkey")).alias("first_best"))
+
+
+@query("SELECT l_returnflag, arg_max(p, (s, -p)) AS p FROM (SELECT l_returnflag, l_partkey AS p, sum(trunc(l_extendedprice)::BIGINT)::DECIMAL(38, 0) / sum(trunc(l_quantity)::BIGINT)::DECIMAL(19, 0) AS s FROM lineitem GROUP BY 1, 2) GROUP BY 1")
+def argmax_ratio(spark, table):
+    by = table("lineitem").groupBy("l_returnflag", F.col("l_partkey").alias("p")).agg(F.sum(F.col("l_extendedprice").cast("bigint")).alias("n"), F.sum(F.col("l_quantity").cast("bigint")).alias("d"))
+    return ag.first_argmax_ratio(by, ["l_returnflag"], "n", "d", "p")
+
+
+# Linear algebra, over embeddings as a matrix
+
+
+def _matrix(table) -> DataFrame:
+    cells = table("embeddings").select(F.col("vec_id").alias("row"), F.posexplode("embedding").alias("col", "v"))
+    return cells.select("row", F.col("col").cast("bigint").alias("col"), rg.encode(F.col("v").cast("double"), FB).alias("v"))
+
+
+_CELLS = "(SELECT vec_id AS row, unnest(range(64)) AS col, trunc(unnest(embedding)::DOUBLE * 1024)::BIGINT AS v FROM embeddings)"
+_WEIGHT = "SELECT i AS row, j AS col, (i * 7 + j * 3) % 11 - 5 AS v FROM range(64) a(i), range(8) b(j)"
+
+
+def _weights(spark, k: int = 1) -> DataFrame:
+    """k matrices of 64 by 8."""
+    at = F.col("id")
+    k_, i, j = F.floor(at / 512).cast("bigint"), F.floor(at / 8).cast("bigint") % 64, at % 8
+    return spark.range(k * 512).select(k_.alias("k"), i.alias("row"), j.alias("col"), ((i * 7 + j * 3 + k_) % 11 - 5).alias("v"))
+
+
+@query(f"SELECT a.row, b.col, sum(a.v * b.v)::BIGINT AS v FROM {_CELLS} a JOIN ({_WEIGHT}) b ON a.col = b.row GROUP BY 1, 2")
+def matmul(spark, table):
+    return linalg.matmul(_matrix(table), _weights(spark).drop("k"))
+
+
+@query(_SQL["matmul"])
+def matmul_shared(spark, table):
+    d = Dealer(("row", "m", "col"))
+    a, b = Dealer(("row", "col")), Dealer(("row", "col"), 2)
+    x = _matrix(table).select("row", "col", a.share(F.col("v"), "a").alias("v"))
+    y = _weights(spark).select("row", "col", b.share(F.col("v"), "b").alias("v"))
+    return linalg.shared_matmul(x, y, d).select("row", "col", share.open_sum(F.col("v")).alias("v"))
+
+
+@query(f"SELECT k, a.row, b.col, sum(a.v * b.v)::BIGINT AS v FROM {_CELLS} a JOIN (SELECT k, i AS row, j AS col, (i * 7 + j * 3 + k) % 11 - 5 AS v FROM range(3) c(k), range(64) a(i), range(8) b(j)) b ON a.col = b.row GROUP BY 1, 2, 3")
+def batch_matmul(spark, table):
+    return linalg.matmul(_matrix(table), _weights(spark, 3), batch=True)
+
+
+@query(f"SELECT col AS row, row AS col, v FROM {_CELLS}")
+def transpose(spark, table):
+    return linalg.transpose(_matrix(table))
+
+
+@query(f"SELECT row // 7 AS k, row % 7 AS row, col, v FROM {_CELLS} WHERE row // 7 < (SELECT count(*) FROM embeddings) // 7")
+def group_tensor(spark, table):
+    return linalg.group_tensor(_matrix(table), table("embeddings").count(), 7)
+
+
+@query(f"SELECT row, col, CASE WHEN s > 0 THEN (v * trunc(1.0 / sqrt(s / 1024.0) * 1024)::BIGINT) >> 10 ELSE 0 END AS v FROM (SELECT *, (sum(v * v) OVER (PARTITION BY col))::BIGINT >> 10 AS s FROM {_CELLS})")
+def normalize(spark, table):
+    return linalg.normalize(_matrix(table), FB)
+
+
+# Discretisation and choices by hash
+
+_EDGES = f"(SELECT col, list_transform([204, 409, 614, 819], lambda r: lo + ((r * (hi - lo)) >> 10)) AS edges FROM ({_SQL['min_max']}))"
+
+
+@query(f"SELECT * FROM {_EDGES}")
+def discretize_edges(spark, table):
+    return dz.edges(_features(table), FEATURES, 5, FB)
+
+
+_BINNED = "(SELECT " + ", ".join(f"len(list_filter((SELECT edges FROM {_EDGES} WHERE col = '{c}'), lambda e: trunc({c} * 1024)::BIGINT >= e)) AS s{i}" for i, c in enumerate(FEATURES)) + ", (l_returnflag = 'R')::INTEGER AS label FROM lineitem)"
+
+
+@query("SELECT slot, bin, count(*) AS n FROM (" + " UNION ALL ".join(f"SELECT {i} AS slot, s{i}::INTEGER AS bin FROM {_BINNED}" for i in range(4)) + ") GROUP BY 1, 2")
+def bin_counts(spark, table):
+    cells = dz.binned(_features(table), FEATURES, 5, FB).select(F.posexplode("bins").alias("slot", "bin"))
+    return cells.groupBy("slot", "bin").agg(F.count("*").alias("n"))
+
+
+@query("SELECT slot, " + ", ".join(f"sum((bin = {b})::BIGINT)::BIGINT AS b{b}" for b in range(5)) + " FROM (" + " UNION ALL ".join(f"SELECT {i} AS slot, s{i} AS bin FROM {_BINNED}" for i in range(4)) + ") GROUP BY 1")
+def one_hot_sums(spark, table):
+    cells = dz.binned(_features(table), FEATURES, 5, FB).select(F.posexplode("bins").alias("slot", "bin"))
+    return cells.select("slot", dz.one_hot(F.col("bin"), 5).alias("hot")).groupBy("slot").agg(*(F.sum(F.get("hot", F.lit(b))).alias(f"b{b}") for b in range(5)))
+
+
+@query()
+def pick_with_replacement(spark, table):
+    return dz.pick_with_replacement(spark, 5, 5, len(FEATURES), 1)
+
+
+@query()
+def pick_without_replacement(spark, table):
+    return dz.pick_without_replacement(spark, 5, 3, len(FEATURES), 1)
+
+
+@query()
+def bootstrap_rows(spark, table):
+    from torvane.operators.lineage import with_index
+
+    rows = table("supplier").select("s_suppkey")
+    n = rows.count()
+    return dz.bootstrap(with_index(rows), 3, n // 2, n, 1)
+
+
+@query()
+def random_cuts(spark, table):
+    return dz.random_cuts(_features(table), FEATURES, dz.pick_with_replacement(spark, 5, 5, len(FEATURES), 1), FB, 1)
+
+
+# Set matching and models
+
+
+def _words(table, name: str, key: str) -> DataFrame:
+    return table(name).select(F.col(key).alias("id"), F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("word")).filter("word <> ''")
+
+
+def _sql_words(name: str, key: str) -> str:
+    return f"(SELECT {key} AS id, w AS word FROM (SELECT {key}, unnest(string_split_regex(lower(text), '[^a-z]+')) AS w FROM {name}) WHERE w <> '')"
+
+
+@query(f"SELECT d.word, count(e.word) AS m FROM (SELECT DISTINCT word FROM {_sql_words('benchmark', 'item_id')}) d LEFT JOIN {_sql_words('documents', 'doc_id')} e USING (word) GROUP BY 1")
+def psi_counts(spark, table):
+    return sets.match_counts(_words(table, "benchmark", "item_id").select("word").distinct(), _words(table, "documents", "doc_id"))
+
+
+@query(f"SELECT DISTINCT word FROM {_sql_words('benchmark', 'item_id')} WHERE word NOT IN (SELECT word FROM {_sql_words('documents', 'doc_id')})")
+def psi_missing(spark, table):
+    return sets.members(_words(table, "benchmark", "item_id").select("word").distinct(), _words(table, "documents", "doc_id"), present=False)
+
+
+@query("SELECT n_nationkey, r_regionkey, ((n_nationkey & 3) = (r_regionkey & 3))::BIGINT AS same FROM nation, region")
+def psi_bits_shared(spark, table):
+    pairs = table("nation").select("n_nationkey").crossJoin(table("region").select("r_regionkey"))
+    d = Dealer(("n_nationkey", "r_regionkey"))
+    return pairs.select("n_nationkey", "r_regionkey", sets.shared_match_bit(F.col("n_nationkey").cast("bigint"), F.col("r_regionkey").cast("bigint"), 2, d).alias("same"))
+
+
+_QUALITY = "(SELECT doc_id AS id, max(quality)::INTEGER AS class FROM labels GROUP BY 1)"
+_NB = f"""
+t AS MATERIALIZED (SELECT * FROM {_sql_words('documents', 'doc_id')}), q AS MATERIALIZED (SELECT * FROM {_QUALITY} WHERE id IN (SELECT doc_id FROM documents)),
+tw AS MATERIALIZED (SELECT t.*, q.class FROM t JOIN q USING (id)), own AS (SELECT class, word, count(*) AS n FROM tw GROUP BY 1, 2),
+voc AS (SELECT DISTINCT word FROM tw), cls AS (SELECT class, count(*) AS rows FROM q GROUP BY 1), tot AS (SELECT class, coalesce(sum(n), 0) AS total FROM cls LEFT JOIN own USING (class) GROUP BY 1),
+lp AS (SELECT voc.word, tot.class, trunc(ln((coalesce(n, 0) + 1.0)::DOUBLE / (total + (SELECT count(*) FROM voc))::DOUBLE) * 1024)::BIGINT AS logp FROM voc CROSS JOIN tot LEFT JOIN own ON own.word = voc.word AND own.class = tot.class),
+pr AS (SELECT class, trunc(ln(rows::DOUBLE / (SELECT sum(rows) FROM cls)::DOUBLE) * 1024)::BIGINT AS prior FROM cls)
+"""
+
+
+def _nb(table):
+    labels = table("labels").groupBy(F.col("doc_id").alias("id")).agg(F.max("quality").cast("int").alias("class"))
+    words = _words(table, "documents", "doc_id")
+    known = words.join(labels.select("id"), "id", "left_semi")
+    labels = labels.join(table("documents").select(F.col("doc_id").alias("id")), "id", "left_semi")
+    return words, naive_bayes.learn(known, labels, FB)
+
+
+@query(f"WITH {_NB} SELECT word, class, logp FROM lp")
+def nb_learn(spark, table):
+    return _nb(table)[1][0]
+
+
+@query(f"""WITH {_NB}, m AS (SELECT id, word, count(*) AS m FROM t GROUP BY 1, 2), s AS (SELECT id, class, sum(m * logp) AS part FROM m JOIN lp USING (word) GROUP BY 1, 2),
+z AS (SELECT d.id, pr.class, prior + coalesce(part, 0) AS score FROM (SELECT DISTINCT id FROM t) d CROSS JOIN pr LEFT JOIN s ON s.id = d.id AND s.class = pr.class)
+SELECT id, arg_max(class, (score, -class)) AS class FROM z GROUP BY 1""")
+def nb_predict(spark, table):
+    words, (logp, prior) = _nb(table)
+    return naive_bayes.predict(words, logp, prior)
+
+
+LR = ["one", "size", "english"]
+_LR_ROWS = "(SELECT doc_id, 1024::BIGINT AS one, trunc(least(n_chars, 8000) / 8000.0 * 1024)::BIGINT AS size, (lang = 'en')::BIGINT * 1024 AS english, quality::BIGINT * 1024 AS label FROM documents JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY 1) USING (doc_id))"
+
+
+def _lr_rows(table) -> DataFrame:
+    labels = table("labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    size = rg.encode(F.least("n_chars", F.lit(8000)) / 8000.0, FB)
+    return table("documents").join(labels, "doc_id").select("doc_id", big(1024).alias("one"), size.alias("size"), ((F.col("lang") == "en").cast("bigint") * 1024).alias("english"), (F.col("quality").cast("bigint") * 1024).alias("label"))
+
+
+def _lr_sql(rounds: int) -> str:
+    z = lambda w: "(" + " + ".join(f"x.{c} * {w}.{c}" for c in LR) + ") >> 10"
+    clip = lambda w: f"CASE WHEN {z(w)} <= -512 THEN 0 WHEN {z(w)} >= 512 THEN 1024 ELSE ({z(w)}) + 512 END"
+    steps = ["x AS MATERIALIZED (SELECT * FROM " + _LR_ROWS + ")", "w0 AS (SELECT " + ", ".join(f"0::BIGINT AS {c}" for c in LR) + ")"]
+    for k in range(rounds):
+        g = ", ".join(f"(sum(x.{c} * (x.label - ({clip(f'w{k}')})))::BIGINT >> 10) AS {c}" for c in LR)
+        steps.append(f"w{k + 1} AS MATERIALIZED (SELECT " + ", ".join(f"w{k}.{c} + ((g.{c} * 16) >> 10) AS {c}" for c in LR) + f" FROM w{k}, (SELECT {g} FROM x, w{k}) g)")
+    return "WITH " + ", ".join(steps), clip(f"w{rounds}")
+
+
+_LR_WITH, _LR_CLIP = _lr_sql(3)
+
+
+@query(_LR_WITH + " SELECT one, size, english FROM w3")
+def lr_learn(spark, table):
+    w = logistic.learn(_lr_rows(table), LR, "label", f=FB, rate=16, rounds=3)
+    return spark.range(1).select(*(big(v).alias(c) for c, v in zip(LR, w, strict=True)))
+
+
+@query(_LR_WITH + f" SELECT x.doc_id, (({_LR_CLIP}) >= 512)::INTEGER AS predicted FROM x, w3")
+def lr_predict(spark, table):
+    rows = _lr_rows(table)
+    w = logistic.learn(rows, LR, "label", f=FB, rate=16, rounds=3)
+    return logistic.predict(rows, LR, w, FB).select("doc_id", "predicted")
+
+
+# Trees
+
+
+def _tree_rows(table) -> DataFrame:
+    return dz.binned(_features(table), FEATURES, 5, FB).select(F.lit(0).alias("tree"), "label", "bins", F.lit(0).cast("bigint").alias("node"))
+
+
+@query(f"SELECT label, count(*) AS n, count(*) = (SELECT count(*) FROM lineitem) AS constant FROM {_BINNED} GROUP BY 1")
+def class_frequencies(spark, table):
+    f = trees.frequencies(_tree_rows(table), 2)
+    return f.select(F.posexplode("freqs").alias("label", "n"), trees.is_constant(F.col("freqs"), F.col("size")).alias("constant")).filter("n > 0")
+
+
+_CONT = "(" + " UNION ALL ".join(f"SELECT {i} AS slot, s{i} AS bin, label, count(*) AS n FROM b GROUP BY 2, 3" for i in range(4)) + ")"
+_GINI = f"(SELECT slot, sum(part)::BIGINT AS score FROM (SELECT slot, bin, floor(sum(n * n)::DOUBLE * 1024 / (sum(n) + 1)::DOUBLE)::BIGINT AS part FROM {_CONT} GROUP BY 1, 2) GROUP BY 1)"
+_B = f"WITH b AS MATERIALIZED (SELECT * FROM {_BINNED})"
+
+
+@query(f"{_B} SELECT slot, score FROM {_GINI}")
+def gini_scores(spark, table):
+    return trees.gini_scores(trees.contingency(_tree_rows(table))).select("slot", "score")
+
+
+@query(f"{_B} SELECT arg_max(slot, (score, -slot)) AS slot FROM {_GINI}")
+def gini_best(spark, table):
+    return trees.best_slots(trees.gini_scores(trees.contingency(_tree_rows(table)))).select("slot")
+
+
+@query(f"""{_B}, s AS (SELECT arg_max(slot, (score, -slot)) AS slot FROM {_GINI}),
+leaf AS (SELECT (CASE s.slot WHEN 0 THEN s0 WHEN 1 THEN s1 WHEN 2 THEN s2 ELSE s3 END + 1)::BIGINT AS node, count(*) FILTER (label = 0) AS n0, count(*) FILTER (label = 1) AS n1 FROM b, s GROUP BY 1)
+SELECT 0::BIGINT AS node, 0 AS layer, slot::INTEGER AS slot, 0::BIGINT AS n0, 0::BIGINT AS n1 FROM s UNION ALL SELECT node, 1, NULL, n0, n1 FROM leaf""")
+def tree_learn(spark, table):
+    nodes = trees.induce(_tree_rows(table).drop("node"), trees.TreeConfig(bins=5, depth=2))
+    return nodes.select("node", "layer", "slot", F.get("freqs", F.lit(0)).alias("n0"), F.get("freqs", F.lit(1)).alias("n1"))
+
+
+def _customers(table) -> DataFrame:
+    """Few orders or many, from a customer's balance, nation and name."""
+    n = table("orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n"), F.max("o_totalprice").alias("most"))
+    rows = table("customer").join(n, "c_custkey", "left")
+    nation = F.col("c_nationkey").cast("bigint") * 1024
+    return rows.select("c_custkey", enc("c_acctbal").alias("balance"), nation.alias("nation"), rg.encode(F.coalesce("most", F.lit(0.0)) / 100.0, FB).alias("most"), (F.coalesce("n", F.lit(0)) >= 10).cast("int").alias("label"))
+
+
+CUSTOMER = ["balance", "nation", "most"]
+
+
+@query()
+def random_forest_votes(spark, table):
+    rows = _customers(table)
+    forest = trees.train_random_forest(rows, CUSTOMER, "label", trees.TreeConfig(depth=3), f=FB, trees=5, features=2, instances=rows.count() // 2, seed=3)
+    return trees.votes(rows, forest, "c_custkey")
+
+
+@query()
+def extra_trees_votes(spark, table):
+    rows = _customers(table)
+    forest = trees.train_extra_trees(rows, CUSTOMER, "label", trees.TreeConfig(depth=3), f=FB, trees=5, features=3, seed=3)
+    return trees.votes(rows, forest, "c_custkey", soft=True)
+
+
+_C = "c AS MATERIALIZED (SELECT c_custkey, trunc(c_acctbal * 1024)::BIGINT AS balance, c_nationkey::BIGINT * 1024 AS nation, trunc(coalesce(most, 0.0) / 100.0 * 1024)::BIGINT AS most, (coalesce(n, 0) >= 10)::INTEGER AS label FROM customer LEFT JOIN (SELECT o_custkey AS c_custkey, count(*) AS n, max(o_totalprice) AS most FROM orders GROUP BY 1) USING (c_custkey))"
+_CB = "b AS MATERIALIZED (SELECT c_custkey, label, " + ", ".join("(" + " + ".join(f"({c} >= (SELECT min({c}) + (({r} * (max({c}) - min({c}))) >> 10) FROM c))::BIGINT" for r in (204, 409, 614, 819)) + f") AS s{i}" for i, c in enumerate(CUSTOMER)) + " FROM c)"
+_CG = "(SELECT slot, sum(part)::BIGINT AS score FROM (SELECT slot, bin, floor(sum(n * n)::DOUBLE * 1024 / (sum(n) + 1)::DOUBLE)::BIGINT AS part FROM (" + " UNION ALL ".join(f"SELECT {i} AS slot, s{i} AS bin, label, count(*) AS n FROM b GROUP BY 2, 3" for i in range(3)) + ") GROUP BY 1, 2) GROUP BY 1)"
+_VOTE = f"""WITH {_C}, {_CB}, s AS (SELECT arg_max(slot, (score, -slot)) AS slot FROM {_CG}),
+p AS (SELECT c_custkey, label, CASE s.slot WHEN 0 THEN s0 WHEN 1 THEN s1 ELSE s2 END AS bin FROM b, s),
+v AS (SELECT bin, (count(*) FILTER (label = 1) > count(*) FILTER (label = 0))::INTEGER AS class FROM p GROUP BY 1)"""
+
+
+def _one_tree(table):
+    rows = _customers(table)
+    return rows, trees.train_random_forest(rows, CUSTOMER, "label", trees.TreeConfig(depth=2, epsilon=0.0), f=FB, single_tree=True)
+
+
+@query(f"{_VOTE} SELECT c_custkey, class FROM p JOIN v USING (bin)")
+def classify_majority(spark, table):
+    rows, forest = _one_tree(table)
+    return trees.votes(rows, forest, "c_custkey")
+
+
+@query(f"{_VOTE} SELECT c_custkey, class FROM p JOIN v USING (bin)")
+def classify_soft(spark, table):
+    rows, forest = _one_tree(table)
+    return trees.votes(rows, forest, "c_custkey", soft=True)
+
+
+@query(f"{_VOTE} SELECT count(*) FILTER (class = label) AS correct, count(*) AS rows, count(*) FILTER (class = label) / count(*) AS accuracy FROM p JOIN v USING (bin)")
+def tree_accuracy(spark, table):
+    rows, forest = _one_tree(table)
+    return trees.accuracy(trees.votes(rows, forest, "c_custkey"), rows, "c_custkey", "label")
