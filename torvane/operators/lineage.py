@@ -23,7 +23,17 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/torvane-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.torvane_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes tables that cut() returned, once nothing reads them any more. Frames derived from one don't count as it."""
+    for df in tables:
+        if path := getattr(df, "torvane_path", None):
+            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def with_index(df: DataFrame, name: str = "i") -> DataFrame:
