@@ -1,0 +1,49 @@
+"""The operators' queries and the pipeline over a whole small table, and against SQL where there is some."""
+
+import duckdb
+import pytest
+
+import __spark_entry__ as entry
+import corpus_pipeline
+from torvane.llm import jaccard, queries, winnow
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", queries.oracle_sql())
+def test_query_is_its_sql(spark, name):
+    c = duckdb.connect()
+    for t in ("documents", "benchmark", "conversations"):
+        c.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
+    df, want = queries.queries()[name](spark, SF), c.sql(queries.oracle_sql()[name])
+    names = sorted(df.columns)
+    assert sorted(want.columns) == names
+    at = [want.columns.index(n) for n in names]
+    assert sorted(repr([r[n] for n in names]) for r in df.collect()) == sorted(repr([r[i] for i in at]) for r in want.fetchall())
+
+
+def test_one_query_for_each_operator():
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 11))
+    assert set(queries.queries()) | {"pipeline"} <= set(entry.queries())
+
+
+def test_pipeline_stages(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    columns, before = docs.dtypes, docs.count()
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, SF).cache()
+        assert docs.dtypes == columns and 0 < docs.count() <= before, name
+        before = docs.count()
+        if name == "n-gram Jaccard join":
+            assert jaccard.similar_components(docs).filter("doc_id <> component_id").count() == 0
+    assert not winnow.contamination(docs, spark.read.parquet(f"{SF}/benchmark.parquet")).filter("contaminated").count()
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == before
+
+
+def test_pipeline_of_nothing_and_of_nulls(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    odd = spark.createDataFrame([(None, None, None, None, None), (1, "", "en", "s", 0), (1, "", "en", "s", 0), (2, "a b c", None, None, 5)], docs.schema)
+    for rows in (docs.limit(0), odd):
+        for _, stage in corpus_pipeline.STAGES:
+            rows = stage(spark, rows, SF)
+        rows.collect()

@@ -73,12 +73,11 @@ def default_rules() -> dict[str, Column]:
     }
 
 
-def fit(patterns: list[tuple[tuple[int, ...], int]]) -> tuple[float, list[dict[str, tuple[float, ...]]]]:
+def fit(patterns: list[tuple[tuple[int, ...], int]], rules: int) -> tuple[float, list[dict[str, tuple[float, ...]]]]:
     """Share of good rows, and by rule the chances of (bad, abstain, good) on bad and on good rows; patterns: (votes, rows)."""
-    k = len(patterns[0][0]) if patterns else 0
-    prior, table = PRIOR, [dict(START) for _ in range(k)]
+    prior, table = PRIOR, [dict(START) for _ in range(rules)]
     for _ in range(ROUNDS):
-        sums = [{"bad": [0.0] * 3, "good": [0.0] * 3} for _ in range(k)]
+        sums = [{"bad": [0.0] * 3, "good": [0.0] * 3} for _ in range(rules)]
         good = total = 0.0
         for votes, rows in patterns:
             p = posterior(prior, table, votes)
@@ -117,7 +116,7 @@ def judge(docs: DataFrame, *, rules: dict[str, Column] | None = None, threshold:
     names = [f"vote_{x}" for x in rules]
     voted = cut(measures(docs).withColumns(dict(zip(names, (v.cast("byte") for v in rules.values()), strict=True))))
     patterns = voted.groupBy(*names).count().collect()  # at most 3 ** rules
-    prior, table = fit(sorted((tuple(r[:-1]), r[-1]) for r in patterns))
+    prior, table = fit(sorted((tuple(r[:-1]), r[-1]) for r in patterns), len(names))
     base, logs = _odds(prior, table)
     x = F.lit(base)
     for name, own in zip(names, logs, strict=True):
