@@ -73,4 +73,4 @@ def parse_hex128(text: Column) -> Column:
 def unsigned(text: Column) -> Column:
     """The ring value of an unsigned 64-bit decimal number."""
     d = F.trim(text).cast("decimal(20,0)")
-    return F.when(d >= F.lit(1 << 63).cast("decimal(20,0)"), (d - F.lit(1 << 64).cast("decimal(20,0)")).cast("bigint")).otherwise(d.cast("bigint"))
+    return F.when(d >= F.lit(str(1 << 63)).cast("decimal(20,0)"), (d - F.lit(str(1 << 64)).cast("decimal(20,0)")).cast("bigint")).otherwise(d.cast("bigint"))
