@@ -2,8 +2,9 @@
 
 Each rule is a column expression over counts of one text. Rows are grouped by their votes, of which there are at most
 3 ** rules, so the counts of all documents reach the driver as that many rows; EM fits how often each rule
-votes how on good and on bad documents, and the posterior becomes a column expression again. Documents are handled
-by DataFrame functions alone.
+votes how on good documents and on each kind of bad ones, and the posterior becomes a column expression again. Bad
+documents are of as many kinds as there are rules, each starting as what one rule is made for: rules for different
+faults seldom agree, so a single bad class would take most of their votes for noise. Documents are handled by DataFrame functions alone.
 """
 
 from __future__ import annotations
@@ -21,10 +22,10 @@ ROUNDS = 40
 BLANKS = r"[\x20\x09-\x0D]+"
 GOOD, BAD, ABSTAIN = 1, -1, 0
 
-#: Where EM starts: chance of a vote (bad, abstain, good) on bad and on good documents; and pseudo-rows behind it.
-START = {"bad": (0.5, 0.3, 0.2), "good": (0.03, 0.27, 0.7)}
+#: Where EM starts: the chance that a rule that votes votes bad, on a document without its fault and with it; and pseudo-rows behind them.
+SOUND, FAULTY = 0.03, 0.95
 WEIGHT = 20.0
-#: Share of good documents at the start.
+#: Share of good documents at the start; the kinds of bad ones share the rest.
 PRIOR = 0.8
 
 
@@ -68,38 +69,47 @@ def default_rules() -> dict[str, Column]:
         "symbols": vote(10 * c("n_symbols") > n, 50 * c("n_symbols") <= n),
         "upper": vote(10 * c("n_upper") > 3 * c("word_chars"), 100 * c("n_upper") <= 15 * c("word_chars")),
         "marks": vote(5 * c("n_marks") > n, 25 * c("n_marks") <= n),
-        "lines": vote(10 * c("n_dup_lines") > 3 * c("n_lines"), 20 * c("n_dup_lines") <= c("n_lines")),
+        "lines": vote(2 * c("n_dup_lines") > c("n_lines"), 20 * c("n_dup_lines") <= c("n_lines")),
         "repeats": vote(100 * c("n_repeat_words") > 20 * n, 100 * c("n_repeat_words") <= 5 * n),
     }
 
 
-def fit(patterns: list[tuple[tuple[int, ...], int]], rules: int) -> tuple[float, list[dict[str, tuple[float, ...]]]]:
-    """Share of good rows, and by rule the chances of (bad, abstain, good) on bad and on good rows; patterns: (votes, rows)."""
-    prior, table = PRIOR, [dict(START) for _ in range(rules)]
-    for _ in range(ROUNDS):
-        sums = [{"bad": [0.0] * 3, "good": [0.0] * 3} for _ in range(rules)]
-        good = total = 0.0
+Model = tuple[list[float], list[list[float]]]
+
+
+def _start(rules: int) -> Model:
+    kinds = [[SOUND] * rules, *([FAULTY if j == k else SOUND for j in range(rules)] for k in range(rules))]
+    return [PRIOR, *([(1 - PRIOR) / rules] * rules)], kinds
+
+
+def fit(patterns: list[tuple[tuple[int, ...], int]], rules: int) -> Model:
+    """Shares of the kinds of documents, the good ones first, and by kind and rule the chance of a bad vote among its votes; patterns: (votes, rows)."""
+    shares, table = first_shares, first = _start(rules)
+    for _ in range(ROUNDS if patterns else 0):
+        bad, cast = ([[0.0] * rules for _ in table] for _ in range(2))
+        mass = [0.0] * len(table)
         for votes, rows in patterns:
-            p = posterior(prior, table, votes)
-            good, total = good + p * rows, total + rows
-            for j, v in enumerate(votes):
-                sums[j]["good"][v + 1] += p * rows
-                sums[j]["bad"][v + 1] += (1 - p) * rows
-        if not total:
-            break
-        prior = (good + WEIGHT * PRIOR) / (total + WEIGHT)
-        table = [{y: tuple((x + WEIGHT * s) / (sum(own[y]) + WEIGHT) for x, s in zip(own[y], START[y], strict=True)) for y in ("bad", "good")} for own in sums]
-    return prior, table
+            for k, p in enumerate(kinds_of(shares, table, votes)):
+                mass[k] += p * rows
+                for j, v in enumerate(votes):
+                    bad[k][j] += p * rows * (v == BAD)
+                    cast[k][j] += p * rows * (v != ABSTAIN)
+        whole = sum(mass) + WEIGHT
+        shares = [(m + WEIGHT * s) / whole for m, s in zip(mass, first_shares, strict=True)]
+        table = [[(bad[k][j] + WEIGHT * first[k][j]) / (cast[k][j] + WEIGHT) for j in range(rules)] for k in range(len(table))]
+    return shares, table
 
 
-def _odds(prior: float, table) -> tuple[float, list[tuple[float, ...]]]:
-    return math.log(prior / (1 - prior)), [tuple(math.log(g / b) for g, b in zip(t["good"], t["bad"], strict=True)) for t in table]
+def kinds_of(shares: list[float], table, votes: tuple[int, ...]) -> list[float]:
+    """Posterior of each kind; a rule that abstains says nothing."""
+    logs = [math.log(s) + sum(math.log(b if v == BAD else 1 - b) for b, v in zip(own, votes, strict=True) if v != ABSTAIN) for s, own in zip(shares, table, strict=True)]
+    top = max(logs)
+    each = [math.exp(x - top) for x in logs]
+    return [x / sum(each) for x in each]
 
 
-def posterior(prior: float, table, votes: tuple[int, ...]) -> float:
-    base, logs = _odds(prior, table)
-    x = base + sum(own[v + 1] for own, v in zip(logs, votes, strict=True))
-    return 1 / (1 + math.exp(-max(-700.0, min(700.0, x))))
+def posterior(shares: list[float], table, votes: tuple[int, ...]) -> float:
+    return kinds_of(shares, table, votes)[0]
 
 
 def judge(docs: DataFrame, *, rules: dict[str, Column] | None = None, threshold: float = 0.5) -> DataFrame:
@@ -116,11 +126,13 @@ def judge(docs: DataFrame, *, rules: dict[str, Column] | None = None, threshold:
     names = [f"vote_{x}" for x in rules]
     voted = cut(measures(docs).withColumns(dict(zip(names, (v.cast("byte") for v in rules.values()), strict=True))))
     patterns = voted.groupBy(*names).count().collect()  # at most 3 ** rules
-    prior, table = fit(sorted((tuple(r[:-1]), r[-1]) for r in patterns), len(names))
-    base, logs = _odds(prior, table)
-    x = F.lit(base)
-    for name, own in zip(names, logs, strict=True):
-        x = x + F.when(F.col(name) == BAD, own[0]).when(F.col(name) == GOOD, own[2]).otherwise(own[1])
+    shares, table = fit(sorted((tuple(r[:-1]), r[-1]) for r in patterns), len(names))
+    odds = F.lit(0.0)  # of each bad kind against the good one
+    for share, own in zip(shares[1:], table[1:], strict=True):
+        x = F.lit(math.log(share / shares[0]))
+        for name, bad, good in zip(names, own, table[0], strict=True):
+            x = x + F.when(F.col(name) == BAD, math.log(bad / good)).when(F.col(name) == GOOD, math.log((1 - bad) / (1 - good))).otherwise(0.0)
+        odds = odds + F.exp(x)
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    out = voted.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (1 / (1 + F.exp(-x))).alias("quality"))
+    out = voted.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (1 / (1 + odds)).alias("quality"))
     return out.select(*out.columns[:-1], (~F.col("base_failed") & (F.col("quality") >= threshold)).alias("kept"), "quality")
