@@ -99,6 +99,25 @@ FROM w LEFT JOIN n USING (doc_id) LEFT JOIN sets USING (doc_id) LEFT JOIN rep ON
 
 ALNUM = SPACED.replace(r"[^\x20\x09-\x0D]+", r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
+_PHRASES = ", ".join(f"('{p}', {len(p.split())}, '{label}')" for p, label in license.PHRASES.items())
+_NOTICES = ", ".join(f"({k}, '{label}', '{t}')" for k, (label, text) in enumerate(license.NOTICES) for t in sorted({*license._tokens(text)}))
+_BLOCK = ALNUM.replace("coalesce(text, '')", "b")
+
+OP3 = rf"""
+WITH d AS MATERIALIZED (SELECT doc_id, {ALNUM} AS w FROM documents),
+place AS (SELECT doc_id, label, s - 1 AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS s FROM d) JOIN (VALUES {_PHRASES}) p(phrase, k, label) ON array_to_string(w[s:s + k - 1], ' ') = phrase),
+base AS (SELECT doc_id, count(*) AS n_base, min(s) AS first_word, max(s) AS last_word, list(DISTINCT label) AS ls FROM place GROUP BY 1),
+notice AS (SELECT * FROM (VALUES {_NOTICES}) v(k, label, word)), size AS (SELECT k, count(*) AS n FROM notice GROUP BY 1),
+block AS (SELECT DISTINCT doc_id, unnest(list_concat(string_split(text, chr(10)), string_split_regex(text, '\n[\x20\x09-\x0D]*\n'))) AS b FROM documents),
+bw AS (SELECT DISTINCT doc_id, b, unnest({_BLOCK}) AS word FROM block),
+held AS (SELECT doc_id, label, count(*) / n AS share FROM bw JOIN notice USING (word) JOIN size USING (k) GROUP BY doc_id, b, k, label, n HAVING count(*) >= ceil(0.8 * n - 1e-9)),
+more AS (SELECT doc_id, list(DISTINCT label) AS ls, max(share) AS share FROM held GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word, last_word, coalesce(array_to_string(list_sort(base.ls), ','), '') AS base_labels,
+    coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base.ls, []), coalesce(more.ls, [])))), ','), '') AS labels,
+    CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(share, 0.0)::DOUBLE END AS score
+FROM d LEFT JOIN base USING (doc_id) LEFT JOIN more USING (doc_id)
+"""
+
 OP9 = rf"""
 WITH d AS (SELECT doc_id, {ALNUM} AS w FROM documents),
 i AS (SELECT item_id, w, least(len(w), 10) AS n FROM (SELECT item_id, {ALNUM} AS w FROM benchmark) WHERE len(w) > 0),
@@ -127,4 +146,4 @@ FROM e GROUP BY conv_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_ngram_jaccard": OP2, "op9_decontamination": OP9, "op10_chat_formatting": OP10}
+    return {"op2_ngram_jaccard": OP2, "op3_license_scan": OP3, "op9_decontamination": OP9, "op10_chat_formatting": OP10}
