@@ -19,12 +19,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from torvane.llm import textnum as tn
-from torvane.llm.shared import bitmap, components, cut, longs
+from torvane.llm.shared import bitmap, components, cut, longs, release
 
 #: The table of frequent shingles has this many buckets: a fixed bound for what is broadcast.
 SKETCH_BITS = 18
 #: Classes that one signature tree holds; larger blocks are dealt as pairs of chunks. Children of a node.
 CHUNK, FANOUT = 512, 8
+#: Bits of a token bitmap for each shingle, at least.
+SPREAD = 4
 #: Rounds that compare each class with one other before trees are built.
 SWEEPS = 2
 
@@ -49,8 +51,8 @@ def digest(s: np.ndarray) -> np.uint64:
 
 
 def signature(s: np.ndarray) -> bytes:
-    """Token bitmap of a set, of 64 bits or as many as the power of two that holds its size."""
-    bits = max(64, 1 << int(len(s) - 1).bit_length())
+    """Token bitmap of a set, of 64 bits or as many as the power of two that holds its size SPREAD times."""
+    bits = max(64, 1 << int(SPREAD * len(s) - 1).bit_length())
     flags = np.zeros(bits, np.uint8)
     flags[s & np.uint64(bits - 1)] = 1
     return np.packbits(flags, bitorder="little").tobytes()
@@ -165,7 +167,9 @@ def links(docs: DataFrame, pairs: DataFrame, classes: DataFrame, k: int, num: in
     sets = docs.select("doc_id", "text").mapInArrow(_wanted_sets(k, wanted), "node long, s binary")
     sets = cut(sets.join(nodes.select("node"), "node", "left_semi").groupBy("node").agg(F.first("s").alias("s")))
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("left")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("right")), "b")
-    return cut(both.mapInArrow(_verify(num, den), "a long, b long"))
+    found = cut(both.mapInArrow(_verify(num, den), "a long, b long"))
+    release(nodes, sets)
+    return found
 
 
 def _may_link(num: int, den: int):
@@ -344,7 +348,10 @@ def similar_components(docs: DataFrame, *, k: int = 5, num: int = 80, den: int =
         edges = found if edges is None else edges.union(found)
         comps = components(edges)
         members = cut(alone.drop("comp").join(comps, "node", "left").select("token", "node", F.coalesce("comp", "node").alias("comp")))
-    open_ = members.groupBy("token").agg(F.count("*").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
+    # of blocks with the same nodes, by two hashes of theirs, one is enough
+    one, two = (F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"d{i}") for i in (1, 2))
+    open_ = members.groupBy("token").agg(F.count("*").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), one, two).filter("lo <> hi")
+    open_ = open_.groupBy("m", "d1", "d2").agg(F.min("token").alias("token"))
     chunks = F.ceil(F.col("m") / CHUNK).cast("int")
     dealt = members.join(open_.select("token", chunks.alias("q")), "token").withColumn("own", F.pmod(F.xxhash64("node"), F.col("q")).cast("int"))
     dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("q") - 1)))

@@ -2,37 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from torvane.operators.lineage import cut, release, shared_dir  # noqa: F401
+
 #: A membership bitmap has at most 2 ** MAX_BITS bits (32 MB); more keys only make it less selective.
 MAX_BITS = 28
 BITS_PER_KEY = 32
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = f"{tempfile.gettempdir()}/checkpoints/torvane"
-        spark.sparkContext.setCheckpointDir(base)
-    return base
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Written as a table in the shared folder and read again: lineage ends, and lost executors take nothing along."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/torvane-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def longs(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64) if x.dtype == np.uint64 else x.astype(np.int64))
 
@@ -78,13 +61,15 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     both = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("comp")))
     for _ in range(max_rounds):
-        around = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("comp").alias("m")).withColumnRenamed("a", "node")
-        near = labels.join(around, "node").select("node", F.least("comp", "m").alias("to"), F.col("comp").alias("was"))
+        around = both.join(labels.select(F.col("node").alias("b"), "comp"), "b").groupBy("a").agg(F.min("comp").alias("m")).withColumnRenamed("a", "node")
+        near = labels.select("node", "comp").join(around, "node").select("node", F.least("comp", "m").alias("to"), F.col("comp").alias("was"))
         jump = near.select(F.col("node").alias("to"), F.col("to").alias("then"))
         new = cut(near.join(jump, "to").select("node", F.least("to", "then").alias("comp"), "was"))
+        release(labels)
         if new.filter("comp <> was").isEmpty():
+            release(both)
             return new.select("node", "comp")
-        labels = new.select("node", "comp")
+        labels = new
     raise RuntimeError("components did not settle")
 
 
