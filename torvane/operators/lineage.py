@@ -28,7 +28,7 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
-def release(*tables: DataFrame) -> None:
+def release(*tables: DataFrame | None) -> None:
     """Deletes tables that cut() returned, once nothing reads them any more. Frames derived from one don't count as it."""
     for df in tables:
         if path := getattr(df, "torvane_path", None):
