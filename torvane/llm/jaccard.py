@@ -26,7 +26,7 @@ SKETCH_BITS = 18
 #: Classes that one signature tree holds; larger blocks are dealt as pairs of chunks. Children of a node.
 CHUNK, FANOUT = 512, 8
 #: Bits of a token bitmap for each shingle, at least.
-SPREAD = 4
+SPREAD = 2
 #: Rounds that compare each class with one other before trees are built.
 SWEEPS = 2
 
@@ -336,18 +336,22 @@ def similar_components(docs: DataFrame, *, k: int = 5, num: int = 80, den: int =
     named = classes.filter("doc_id is not null")
     fits = F.expr(f"{den} * least(nx, ny) >= {num} * greatest(nx, ny)")
     x, y = (classes.select(F.col("node").alias(c), F.col("n").alias(f"n{v}"), F.col("sig").alias(f"s{v}")) for c, v in (("a", "x"), ("b", "y")))
-    alone = members = members.withColumn("comp", F.col("node"))
-    edges = tested = None
+    alone, members = members, members.withColumn("comp", F.col("node"))
+    edges = tested = comps = None
+    done = [told, classes, alone]
     for _ in range(SWEEPS):
-        pairs = _partners(members, tested)
+        pairs, before = _partners(members, tested), [tested, comps, members]
         tested = cut(pairs if tested is None else pairs.union(tested))
         likely = tested.join(x, "a").join(y, "b").filter(fits).mapInArrow(_may_link(num, den), "a long, b long")
         if edges is not None:
             likely = likely.join(edges, ["a", "b"], "left_anti")
-        found = links(docs, cut(likely), named, k, num, den)
+        likely = cut(likely)
+        found = links(docs, likely, named, k, num, den)
+        done.append(found)
         edges = found if edges is None else edges.union(found)
         comps = components(edges)
-        members = cut(alone.drop("comp").join(comps, "node", "left").select("token", "node", F.coalesce("comp", "node").alias("comp")))
+        members = cut(alone.select("token", "node").join(comps, "node", "left").select("token", "node", F.coalesce("comp", "node").alias("comp")))
+        release(likely, *before)
     # of blocks with the same nodes, by two hashes of theirs, one is enough
     one, two = (F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"d{i}") for i in (1, 2))
     open_ = members.groupBy("token").agg(F.count("*").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), one, two).filter("lo <> hi")
@@ -360,11 +364,15 @@ def similar_components(docs: DataFrame, *, k: int = 5, num: int = 80, den: int =
     pairs = dealt.repartition("token", "c", "d").sortWithinPartitions("token", "c", "d").mapInArrow(_trees(num, den), "a long, b long").distinct()
     rest = cut(pairs.join(tested, ["a", "b"], "left_anti"))
     more = links(docs, rest, named, k, num, den)
+    done += [tested, comps, members, rest, more]
     if not more.isEmpty():
         comps = components(edges.union(more))
+        done.append(comps)
 
     smallest = classes.join(comps, "node", "left").select("node", "doc_id", F.coalesce("comp", "node").alias("comp"))
     heads = smallest.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     heads = cut(smallest.join(heads, "comp").select("node", "component_id"))
     linked = filled.select("doc_id", "n", "node").join(heads, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return linked.unionByName(each.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    out = cut(linked.unionByName(each.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))))
+    release(heads, *done)
+    return out

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from torvane.llm import textnum as tn
-from torvane.llm.shared import cut, longs
+from torvane.llm.shared import cut, longs, release
 
 #: Buckets of features. Both models together are 1 MB, whatever the corpus.
 BITS = 16
@@ -194,5 +194,6 @@ def resample(docs: DataFrame, labels: DataFrame, *, share: float | None = None,
 
 def drawn(docs: DataFrame, labels: DataFrame, *, share: float | None = None, seed: int = 7) -> DataFrame:
     """The rows of docs, with all their columns, that resample() keeps. Weights are taken again row by row, so nothing is joined."""
-    _, ratio, last = _fitted(docs, labels, share, seed)
+    scored, ratio, last = _fitted(docs, labels, share, seed)
+    release(scored)
     return docs.mapInArrow(_kept(ratio, last, seed), docs.schema)

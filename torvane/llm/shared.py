@@ -68,7 +68,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         release(labels)
         if new.filter("comp <> was").isEmpty():
             release(both)
-            return new.select("node", "comp")
+            out = new.select("node", "comp")
+            out.torvane_path = new.torvane_path
+            return out
         labels = new
     raise RuntimeError("components did not settle")
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from torvane.llm import textnum as tn
-from torvane.llm.shared import Bitmap, bitmap, cut, longs, merged
+from torvane.llm.shared import Bitmap, bitmap, cut, longs, merged, release
 
 #: Words of a passage that counts as repeated, and of the hashed beginning of a suffix.
 MIN_WORDS, K = 50, 40
@@ -170,23 +170,29 @@ def repeated_spans(docs: DataFrame, *, min_words: int = MIN_WORDS, k: int = K) -
     sc = docs.sparkSession.sparkContext
     docs = keyed(docs)
     counts = docs.select("text").mapInArrow(_beginnings(min_words, k), "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
-    shared = bitmap(cut(counts.filter("n > 1").select("g")), "g")
+    counts = cut(counts.filter("n > 1").select("g"))
+    shared = bitmap(counts, "g")
     rows = cut(docs.mapInArrow(_suffixes(min_words, k, sc.broadcast(shared)), _ROW))
-    spans, more = [], True
+    release(counts)
+    spans, more, done = [], True, []
     while more:
         n = -(-max(rows.count(), 1) // ROWS)
         order = ["g", "rights", "doc_id", "key", "pos"]
         dealt = rows.repartitionByRange(n, *order) if n > 1 else rows.coalesce(1)
         more = n > 1
         told = cut(dealt.sortWithinPartitions(*order).mapInArrow(_matches(min_words, k, more), _SPAN))
+        release(rows)
         spans.append(told.filter("kind = 0"))
+        done.append(told)
         rows = told.filter("kind = 1").select("g", "doc_id", "key", "pos", "lefts", "rights")
     spans = [s.select("doc_id", "key", "start", "end", "source", F.lit(0).alias("at")) for s in spans]
     whole = spans[0]
     for s in spans[1:]:
         whole = whole.unionByName(s)
     whole = merged(whole.withColumn("at", F.col("start")).withColumn("id", F.coalesce("doc_id", F.lit(-1 << 63))), ["id", "key"])
-    return whole.select(F.when(F.col("id") != -1 << 63, F.col("id")).alias("doc_id"), "key", F.col("start").alias("start_word"), F.col("end").alias("end_word"), F.col("source").alias("first_doc_id"))
+    out = cut(whole.select(F.when(F.col("id") != -1 << 63, F.col("id")).alias("doc_id"), "key", F.col("start").alias("start_word"), F.col("end").alias("end_word"), F.col("source").alias("first_doc_id")))
+    release(*done)
+    return out
 
 
 def _without(schema: pa.Schema, names: list[str]):
@@ -216,7 +222,7 @@ def without_repeats(docs: DataFrame, *, min_words: int = MIN_WORDS, k: int = K)
     Documents of which nothing but white space is left go, if a passage was cut from them. n_chars, where there is
     such a column, follows the text.
     """
-    spans = cut(repeated_spans(docs, min_words=min_words, k=k))
+    spans = repeated_spans(docs, min_words=min_words, k=k)
     cuts = spans.groupBy(F.col("doc_id").alias("torvane_id"), F.col("key").alias("torvane_key")).agg(F.collect_list(F.struct("start_word", "end_word")).alias("torvane_cuts"))
     key = F.xxhash64(docs["doc_id"].cast("long"), docs["text"].cast("string"))
     both = docs.withColumn("torvane_own", key)
