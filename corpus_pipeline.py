@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from torvane.llm import jaccard, mixing, resample, suffixes, winnow
-from torvane.llm.shared import cut
+from torvane.llm.shared import cut, release
 
 #: No SQL: the stages resample, train and round at random from hashes.
 ORACLE_SQL = None
@@ -23,7 +23,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents, the one with the smallest doc_id. Rows with a null doc_id stay; of rows alike in id and text one does."""
-    heads = cut(jaccard.similar_components(docs, k=5, num=80, den=100).select("component_id").filter("component_id is not null").distinct())
+    groups = jaccard.similar_components(docs, k=5, num=80, den=100)
+    heads = cut(groups.select("component_id").filter("component_id is not null").distinct())
+    release(groups)
     named = docs.join(heads, docs["doc_id"].cast("long") == heads["component_id"], "left_semi").dropDuplicates(["doc_id", "text"])
     return named.unionByName(docs.filter("doc_id is null"))
 
