@@ -5,6 +5,8 @@ import hashlib
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from torvane.llm import jaccard, suffixes, winnow
@@ -69,6 +71,57 @@ def test_components_are_the_brute_force_ones(spark, rows):
     assert len({c for _, c in got.values()}) < len(rows) - 5
 
 
+def edited(r, words, cut, more):
+    """The words without some, and with new ones among them."""
+    words = list(words)
+    for _ in range(cut):
+        del words[r.randrange(len(words))]
+    for _ in range(more):
+        words.insert(r.randrange(len(words)), f"n{r.random()}")
+    return words
+
+
+@pytest.mark.parametrize("size", [64, 128, 256, 512])
+def test_signatures_of_two_widths_drop_no_link(size):
+    r = np.random.default_rng(size)
+    sets = []
+    for _ in range(300):  # pairs just above the threshold, on either side of the width's edge
+        n = int(r.integers(size * 9 // 10, size + 1))
+        s = r.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2)
+        more = r.integers(0, 1 << 63, size * 5 // 4, dtype=np.uint64)
+        sets += [np.unique(s), np.unique(np.append(s, more[: n // 4]))]
+    n, sig = np.array([len(s) for s in sets]), [jaccard.signature(s) for s in sets]
+    pairs = [(i, i + 1) for i in range(0, len(sets), 2) if 100 * n[i] >= 80 * n[i + 1] and len(sig[i]) != len(sig[i + 1])]
+    assert len(pairs) > 50
+    a, b = np.array(pairs).T
+    batch = pa.record_batch([pa.array(a), pa.array(b), pa.array(n[a]), pa.array(n[b]), pa.array([sig[i] for i in a]), pa.array([sig[i] for i in b])], names=["a", "b", "nx", "ny", "sx", "sy"])
+    assert sum(out.num_rows for out in jaccard._may_link(80, 100)([batch])) == len(pairs)
+    node = np.arange(len(sets))
+    block = {"node": node, "comp": node, "n": n, "side": 0 * node, "sig": np.array([*sig, None], object)[:-1], "width": np.array([len(s) for s in sig])}
+    found = {tuple(sorted(p)) for p in zip(*(x.tolist() for x in jaccard._pairs_of_block(block, 80, 100)), strict=True)}
+    assert set(pairs) <= found
+
+
+def test_components_at_the_edges_of_widths(spark):
+    r, texts = random.Random(11), []
+    for size in (64, 128, 256, 512):
+        for _ in range(12):
+            words = [f"w{r.random()}" for _ in range(size + 4 + r.randrange(-2, 3))]
+            few = size // 60
+            texts += [words, edited(r, words, r.randrange(few + 1), few), edited(r, words, few, r.randrange(few + 1)), edited(r, words, 0, 2 * few)]
+            tail = [f"t{r.random()}" for _ in range(size // 4 - 1)]
+            texts.append(words + tail)
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    sets, head = [shingles(t) for _, t in rows], list(range(len(rows)))
+    for a in range(len(sets)):
+        for b in range(a // 5 * 5, a):
+            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) and head[a] != head[b]:
+                x, y = sorted((head[a], head[b]))
+                head = [x if h == y else h for h in head]
+    got = {r.doc_id: r.component_id for r in jaccard.similar_components(frame(spark, rows)).collect()}
+    assert got == dict(enumerate(head))
+
+
 def test_components_of_nulls_repeats_and_nothing(spark):
     same = "a b c d e f g h"
     got = jaccard.similar_components(frame(spark, [(5, same), (5, same), (None, same), (9, same), (None, None)])).collect()

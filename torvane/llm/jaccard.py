@@ -184,9 +184,10 @@ def _may_link(num: int, den: int):
             for u, v in set(zip(wx.tolist(), wy.tolist(), strict=True)):
                 at = np.flatnonzero((wx == u) & (wy == v))
                 p, q = (np.frombuffer(b"".join(s[at]), np.uint64).reshape(len(at), -1) for s in (x, y))
-                slack = np.minimum(nx[at] - np.bitwise_count(p).sum(1, dtype=np.int64), ny[at] - np.bitwise_count(q).sum(1, dtype=np.int64))
                 width = min(u, v) // 8
-                most = np.bitwise_count(_fold(p, width) & _fold(q, width)).sum(1, dtype=np.int64) + slack
+                p, q = _fold(p, width), _fold(q, width)
+                slack = np.minimum(nx[at] - np.bitwise_count(p).sum(1, dtype=np.int64), ny[at] - np.bitwise_count(q).sum(1, dtype=np.int64))
+                most = np.bitwise_count(p & q).sum(1, dtype=np.int64) + slack
                 ok[at] = (num + den) * most >= num * (nx[at] + ny[at])
             yield pa.record_batch([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(ok))
 
@@ -198,7 +199,7 @@ class Tree:
 
     def __init__(self, node: np.ndarray, comp: np.ndarray, n: np.ndarray, sig: np.ndarray):
         order = np.lexsort((n, comp))
-        self.node = node[order]
+        self.node, self.narrower = node[order], {}
         sig, n, comp = sig[order], n[order], comp[order]
         slack = n - np.bitwise_count(sig).sum(1, dtype=np.int64)  # shingles that share a bit with another of their set
         self.levels = [(sig, n, n, slack, comp, comp)]
@@ -207,6 +208,15 @@ class Tree:
             at = np.arange(0, len(sig), FANOUT)
             self.levels.append((np.bitwise_or.reduceat(sig, at, 0), np.minimum.reduceat(least, at), np.maximum.reduceat(most, at), np.maximum.reduceat(slack, at), np.minimum.reduceat(c0, at), np.maximum.reduceat(c1, at)))
 
+    def folded(self, width: int) -> Tree:
+        """The tree of the same classes at a bitmap width, where more shingles of a set share bits."""
+        sig, n, _, _, comp, _ = self.levels[0]
+        if sig.shape[1] == width:
+            return self
+        if width not in self.narrower:
+            self.narrower[width] = Tree(self.node, comp, n, _fold(sig, width))
+        return self.narrower[width]
+
 
 def _fold(sig: np.ndarray, width: int) -> np.ndarray:
     while sig.shape[1] > width:
@@ -217,14 +227,14 @@ def _fold(sig: np.ndarray, width: int) -> np.ndarray:
 
 def traverse(x: Tree, y: Tree, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of leaves, as nodes, that may overlap enough and are of different components."""
+    width = min(x.levels[0][0].shape[1], y.levels[0][0].shape[1])
+    x, y = x.folded(width), y.folded(width)
     lx, ly = len(x.levels) - 1, len(y.levels) - 1
     i, j = np.zeros(1, np.int64), np.zeros(1, np.int64)
     while True:
         (sx, nx, mx, kx, cx, dx), (sy, ny, my, ky, cy, dy) = x.levels[lx], y.levels[ly]
         if x is y and lx == ly:
             i, j = i[i <= j], j[i <= j]
-        width = min(sx.shape[1], sy.shape[1])
-        sx, sy = _fold(sx, width), _fold(sy, width)
         keep = (den * mx[i] >= num * ny[j]) & (den * my[j] >= num * nx[i])  # sizes
         keep &= ~((cx[i] == dx[i]) & (cy[j] == dy[j]) & (cx[i] == cy[j]))  # one component already
         i, j = i[keep], j[keep]
