@@ -235,3 +235,31 @@ def test_kth_largest(spark):
     for k in range(1, len(values) + 1):
         assert resample.kth_largest(df, "v", k) == sorted(values, reverse=True)[k - 1]
     assert resample.kth_largest(df, "v", 0) is None and resample.kth_largest(df, "v", 9) is None
+
+
+def test_every_training_document_is_learnt_from_once(spark, tmp_path, monkeypatch):
+    rows = [(i, f"w{i}") for i in range(400)]
+
+    def told(weights, words):
+        def run(batches):
+            for batch in batches:
+                for t in batch.column("text").to_pylist():
+                    with open(f"{tmp_path}/{t}", "a") as f:
+                        f.write("x")
+            yield from ()
+
+        return run
+
+    monkeypatch.setattr(lm, "_trained", told)
+    learnt = [f"w{x.doc_id}" for x in lm.score(frame(spark, rows)).collect() if not x.held_out]
+    assert {p.name: p.read_text() for p in tmp_path.iterdir()} == dict.fromkeys(learnt, "x") and len(learnt) > 300
+
+
+def test_every_symbol_is_learnt_from(monkeypatch):
+    seen, gradient = [], lm.Network.gradient
+    monkeypatch.setattr(lm.Network, "gradient", lambda self, x, y, h: seen.append(y.size) or gradient(self, x, y, h))
+    for n in (1, 40, 1000, 5003):
+        seen.clear()
+        net = lm.Network.start(np.ones(lm.VOCABULARY), 1)
+        lm.train_on(net, np.arange(n) % 9, lm._Adam(net.SIZE))
+        assert sum(seen) == n

@@ -2,8 +2,8 @@
 
 Words are counted over all training documents in Spark. The most frequent ones are the network's vocabulary; any
 other word is one symbol for the network, times its smoothed share among such words, so a text's score is the
-log-probability of its very words. Training is by truncated backpropagation in each partition of a fixed share of the
-training documents (which grows with the corpus), and weights are averaged in Spark after each round. Scoring carries the state of each document
+log-probability of its very words. Training is by truncated backpropagation over all training documents, dealt by a hash
+into as many disjoint parts as there are rounds; weights are averaged in Spark after each round. Scoring carries the state of each document
 from window to window to its end. Counts of the words that one broadcast table of fixed size can't hold are joined.
 """
 
@@ -27,8 +27,8 @@ HIDDEN, CLASSES, IN_CLASS = 16, 32, 32
 VOCABULARY = CLASSES * IN_CLASS
 #: Words whose counts are broadcast, at most (4 MB); the others' are joined.
 HEAVY = 1 << 18
-#: Training: one document in SHARE for each round, streams side by side, steps of backpropagation, learning rate.
-SHARE, ROUNDS, STREAMS, STEPS, RATE = 32, 2, 64, 16, 0.01
+#: Training: rounds, each over its own part of the documents, streams side by side, steps of backpropagation, learning rate.
+ROUNDS, STREAMS, STEPS, RATE = 2, 64, 16, 0.01
 #: Steps that scoring takes before it turns states into probabilities.
 WINDOW = 32
 SMOOTH = 0.1
@@ -208,7 +208,8 @@ def train_on(net: Network, symbols: np.ndarray, adam: _Adam, streams: int = STRE
         g, h, part = net.gradient(x[:, t : t + STEPS], y[:, t : t + STEPS], h)
         adam.step(net, g)
         loss += part
-    return loss
+    rest = symbols[size * streams :]  # fewer than there are streams
+    return loss + train_on(net, rest, adam, 1) if len(rest) else loss
 
 
 def _trained(weights, words):
@@ -339,7 +340,7 @@ def score(docs: DataFrame, *, folds: int = 10, seed: int = 5) -> DataFrame:
     flat = Network.start(symbols, seed).flat
     words = sc.broadcast(table)
     for k in range(ROUNDS):
-        own = learnt.filter(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(SHARE)) == k).select("text")
+        own = learnt.filter(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(ROUNDS)) == k).select("text")
         parts = own.rdd.getNumPartitions()
         told = own.coalesce(max(1, parts // 8)).mapInArrow(_trained(sc.broadcast(flat), words), "at int, v double, n long")
         mean = told.groupBy("at").agg((F.sum("v") / F.sum("n")).alias("v")).toArrow()  # a row for each weight
