@@ -11,6 +11,7 @@ from torvane.operators import discretize as dz
 from torvane.operators import linalg, packing, sets
 from torvane.operators.lineage import with_index
 from torvane.operators.models import logistic, naive_bayes, trees
+from torvane.plans import catalogue
 from torvane.plans.dispatch import model
 from torvane.sources import files
 from torvane.streaming.shares import shared_window_sums
@@ -223,3 +224,14 @@ def test_dispatch():
     assert model("naivebayes", "learning") is naive_bayes.learn
     with pytest.raises(ValueError):
         model("time_test", "learning")
+
+
+def test_products_take_every_row(spark, tmp_path):
+    r = random.Random(5)
+    rows = [(k, 2 * r.randrange(50)) for k, n in ((1, 1), (2, 4), (3, 13), (4, 3000)) for _ in range(n)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int").write.parquet(f"{tmp_path}/lineitem.parquet")
+    want: dict[int, int] = {}
+    for k, v in rows:
+        want[k] = want.get(k, 1) * (v + 1) % (1 << 64)
+    got = {x.o_orderkey: x["product"] % (1 << 64) for x in catalogue.queries()["products_whole"](spark, str(tmp_path)).collect()}
+    assert got == want

@@ -276,6 +276,16 @@ def products(spark, table):
     return rows.groupBy("o_orderkey").agg(ag.product(F.col("v")).alias("product"), F.count("*").alias("n")).filter("n <= 12").drop("n")
 
 
+_WHOLE = "SELECT l_orderkey AS o_orderkey, list_reduce(list(l_linenumber::HUGEINT + 1), lambda a, b: (a * b) % 18446744073709551616::HUGEINT) AS p FROM lineitem GROUP BY 1"
+
+
+@query(f"SELECT o_orderkey, (CASE WHEN p >= 9223372036854775808 THEN p - 18446744073709551616 ELSE p END)::BIGINT AS product FROM ({_WHOLE})")
+def products_whole(spark, table):
+    """Of all rows of every order, however many; products() is what a BIGINT in SQL holds."""
+    rows = table("lineitem").select(F.col("l_orderkey").alias("o_orderkey"), (F.col("l_linenumber").cast("bigint") + 1).alias("v"))
+    return ag.long_product(rows, ["o_orderkey"], "v")
+
+
 @query("SELECT o_custkey, bit_and(o_orderkey) AS every FROM orders GROUP BY 1")
 def and_aggregate(spark, table):
     return table("orders").groupBy("o_custkey").agg(ag.and_all(F.col("o_orderkey")).alias("every"))
