@@ -146,6 +146,21 @@ def test_repeated_spans_are_the_brute_force_ones(spark, rows, size, monkeypatch)
     assert got == want and len(want) > 10
 
 
+@pytest.mark.parametrize("size", [1 << 18, 60, 8])
+def test_repeats_to_the_left_across_partitions(spark, size, monkeypatch):
+    """40 words in very many texts, of which only the first and the last also share the ten words before."""
+    monkeypatch.setattr(suffixes, "ROWS", size)
+    r = random.Random(7)
+    word = lambda: f"w{r.random()}"
+    shared, before = [word() for _ in range(40)], [word() for _ in range(10)]
+    rows = []
+    for i in range(240):
+        own = before if i in (0, 239) else [word() for _ in range(10)]
+        rows.append((i, " ".join([*own, *shared, f"{i:03d}", *(word() for _ in range(15))])))
+    got = {(x.doc_id, x.first_doc_id, x.start_word, x.end_word) for x in suffixes.repeated_spans(frame(spark, rows)).collect()}
+    assert got == {(239, 0, 0, 50)}
+
+
 def test_texts_without_repeats(spark):
     long = " ".join(f"w{i}" for i in range(80))
     rows = [(1, f"{long}\nend one"), (2, f"begin two {long} end two"), (3, long), (4, None), (5, ""), (None, f"{long} null"), (7, "short"), (7, "short")]

@@ -4,9 +4,9 @@ A suffix is kept where the hash of its first k words is the least in a window of
 words that occurs twice keeps a suffix at the same place in each occurrence. Suffixes whose first k words occur once
 are left out. The others are sorted by what follows, over range partitions, so a passage that very many documents
 hold spreads over several; neighbours are compared, and matches are extended by the words to the left and right. A
-second order, by the words to the left, finds matches that end with the k words. Of equal passages the
-first one, by document and place, stays. Runs that reach the edge of a partition send their first suffix to one
-more round, which is as small as there are partitions.
+second order, by the words to the left, is a range-partitioned sort of its own and finds matches that end with the k
+words. Of equal passages the first one, by document and place, stays. In either order the suffixes at the edges of a
+partition and the first ones of the runs there go on to one more round, which is as small as there are partitions.
 """
 
 from __future__ import annotations
@@ -114,7 +114,8 @@ def repeats(g: np.ndarray, rank: np.ndarray, lefts: np.ndarray, rights: np.ndarr
     return more, less, source, run
 
 
-def _matches(span: int, k: int, edges: bool):
+def _matches(span: int, k: int, edges: bool, side: str):
+    """Of rows in order by their rights or lefts (side). What a partition holds is compared in the other order too."""
     m = span - k
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,11 +132,11 @@ def _matches(span: int, k: int, edges: bool):
         rank = np.empty(len(g), np.int64)
         rank[order] = np.cumsum(fresh)  # repeated rows share a rank
         more, less, source, runs = repeats(g, rank, lefts, rights, m)
-        by_left = np.lexsort((rank, *lefts.T[::-1], g))
-        l, r, s, _ = repeats(g[by_left], rank[by_left], lefts[by_left], rights[by_left], m)  # noqa: E741
+        other = np.lexsort((rank, *(lefts if side == "rights" else rights).T[::-1], g))
+        l, r, s, _ = repeats(g[other], rank[other], lefts[other], rights[other], m)  # noqa: E741
         found = s >= 0
-        i = by_left[found]
-        source[i] = np.where(source[i] < 0, by_left[s[found]], source[i])
+        i = other[found]
+        source[i] = np.where(source[i] < 0, other[s[found]], source[i])
         more[i], less[i] = np.maximum(more[i], l[found]), np.maximum(less[i], r[found])
         at = np.flatnonzero(source >= 0)
         names = ["kind", *t.column_names, "start", "end", "source"]
@@ -143,11 +144,12 @@ def _matches(span: int, k: int, edges: bool):
         out = t.take(pa.array(at))
         yield from pa.table([pa.array(np.zeros(len(at), np.int8)), *(out.column(c) for c in ("g", "doc_id", "key", "pos")), none, none, pa.array(pos[at] - more[at]), pa.array(pos[at] + k + less[at]), t.column("doc_id").take(pa.array(source[at]))], names=names).to_batches()
         if edges:
-            ends = []
+            ends = {0, len(g) - 1}  # these meet the next partition's edge
             for x in np.unique(runs[[0, -1]]):  # the run at either edge
                 own = np.flatnonzero(runs == x)
-                ends.append(own[np.argmin(rank[own])])
-            out = t.take(pa.array(np.array(ends)))
+                ends.add(int(own[np.argmin(rank[own])]))
+            ends = np.array(sorted(ends))
+            out = t.take(pa.array(ends))
             void = pa.nulls(len(ends), pa.int64())
             yield from pa.table([pa.array(np.ones(len(ends), np.int8)), *(out.column(c) for c in t.column_names), void, void, void], names=names).to_batches()
 
@@ -174,17 +176,18 @@ def repeated_spans(docs: DataFrame, *, min_words: int = MIN_WORDS, k: int = K) -
     shared = bitmap(counts, "g")
     rows = cut(docs.mapInArrow(_suffixes(min_words, k, sc.broadcast(shared)), _ROW))
     release(counts)
-    spans, more, done = [], True, []
-    while more:
-        n = -(-max(rows.count(), 1) // ROWS)
-        order = ["g", "rights", "doc_id", "key", "pos"]
-        dealt = rows.repartitionByRange(n, *order) if n > 1 else rows.coalesce(1)
-        more = n > 1
-        told = cut(dealt.sortWithinPartitions(*order).mapInArrow(_matches(min_words, k, more), _SPAN))
-        release(rows)
-        spans.append(told.filter("kind = 0"))
-        done.append(told)
-        rows = told.filter("kind = 1").select("g", "doc_id", "key", "pos", "lefts", "rights")
+    spans, done, whole = [], [], rows
+    for side in ("rights", "lefts"):
+        rows, n, order = whole, None, ["g", side, "doc_id", "key", "pos"]
+        while n != 1:
+            fit = -(-max(rows.count(), 1) // ROWS)
+            n = fit if n is None else max(1, min(fit, n // 2))
+            dealt = rows.repartitionByRange(n, *order) if n > 1 else rows.coalesce(1)
+            told = cut(dealt.sortWithinPartitions(*order).mapInArrow(_matches(min_words, k, n > 1, side), _SPAN))
+            spans.append(told.filter("kind = 0"))
+            done.append(told)
+            rows = told.filter("kind = 1").select("g", "doc_id", "key", "pos", "lefts", "rights")
+    release(whole)
     spans = [s.select("doc_id", "key", "start", "end", "source", F.lit(0).alias("at")) for s in spans]
     whole = spans[0]
     for s in spans[1:]:
