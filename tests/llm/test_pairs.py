@@ -6,7 +6,6 @@ import random
 import re
 
 import numpy as np
-import pyarrow as pa
 import pytest
 
 from torvane.llm import jaccard, suffixes, winnow
@@ -53,7 +52,9 @@ def shingles(text, k=5):
     return {tuple(w)} if 0 < len(w) < k else {tuple(w[i : i + k]) for i in range(len(w) - k + 1)}
 
 
-def test_components_are_the_brute_force_ones(spark, rows):
+@pytest.mark.parametrize("chunk", [2048, 3])
+def test_components_are_the_brute_force_ones(spark, rows, chunk, monkeypatch):
+    monkeypatch.setattr(jaccard, "CHUNK", chunk)
     sets, head = {i: shingles(t) for i, t in rows}, {i: i for i, _ in rows}
 
     def find(i):
@@ -94,12 +95,36 @@ def test_signatures_of_two_widths_drop_no_link(size):
     pairs = [(i, i + 1) for i in range(0, len(sets), 2) if 100 * n[i] >= 80 * n[i + 1] and len(sig[i]) != len(sig[i + 1])]
     assert len(pairs) > 50
     a, b = np.array(pairs).T
-    batch = pa.record_batch([pa.array(a), pa.array(b), pa.array(n[a]), pa.array(n[b]), pa.array([sig[i] for i in a]), pa.array([sig[i] for i in b])], names=["a", "b", "nx", "ny", "sx", "sy"])
-    assert sum(out.num_rows for out in jaccard._may_link(80, 100)([batch])) == len(pairs)
-    node = np.arange(len(sets))
-    block = {"node": node, "comp": node, "n": n, "side": 0 * node, "sig": np.array([*sig, None], object)[:-1], "width": np.array([len(s) for s in sig])}
-    found = {tuple(sorted(p)) for p in zip(*(x.tolist() for x in jaccard._pairs_of_block(block, 80, 100)), strict=True)}
-    assert set(pairs) <= found
+    block = {"node": np.arange(len(sets)), "n": n, "rest": n, "sig": np.array([*sig, None], object)[:-1], "width": np.array([len(s) for s in sig])}
+    both = np.stack([a, b], 1).ravel()
+    few = {k: v[both] for k, v in block.items()} | {"comp": both, "side": 0 * both + 1}
+    assert {*jaccard._few(few, np.arange(0, len(both), 2), np.full(len(pairs), 2), 80, 100)} == set(pairs)
+    for side in (np.ones(len(sets), np.int64), np.arange(len(sets)) % 2):
+        label, _ = jaccard.joined_in_block(block | {"comp": block["node"], "side": side}, 80, 100)
+        assert (label[a] == label[b]).all()
+        label, _ = jaccard.linked_in_cluster(sets, block["node"], side, 80, 100)
+        same = {(i, i + 1) for i in range(0, len(sets), 2) if 100 * n[i] >= 80 * n[i + 1]}
+        assert {(i, j) for j, i in enumerate(label.tolist()) if i != j} == same
+
+
+@pytest.mark.parametrize("widest", [8192, 256])
+def test_links_in_a_cluster_are_the_brute_force_ones(widest, monkeypatch):
+    monkeypatch.setattr(jaccard, "WIDEST", widest)
+    r = random.Random(widest)
+    base = [r.getrandbits(64) for _ in range(90)]
+    sets = []
+    for _ in range(300):
+        own = [*r.sample(base, 90 - r.randrange(14)), *(r.getrandbits(64) for _ in range(r.randrange(14)))]
+        sets.append(np.unique(np.array(own, np.uint64)))
+    head = list(range(len(sets)))
+    for b in range(len(sets)):
+        for a in range(b):
+            common = len(np.intersect1d(sets[a], sets[b]))
+            if 100 * common >= 80 * (len(sets[a]) + len(sets[b]) - common) and head[a] != head[b]:
+                x, y = sorted((head[a], head[b]))
+                head = [x if h == y else h for h in head]
+    label, first = jaccard.linked_in_cluster(sets, np.arange(len(sets)), np.ones(len(sets), np.int64), 80, 100)
+    assert label.tolist() == head and first.tolist() == list(range(len(sets)))
 
 
 def test_components_at_the_edges_of_widths(spark):
@@ -122,6 +147,29 @@ def test_components_at_the_edges_of_widths(spark):
     assert got == dict(enumerate(head))
 
 
+@pytest.mark.parametrize("chunk, held", [(2048, 1 << 15), (16, 1 << 15), (16, 8)])
+def test_components_of_one_large_group(spark, chunk, held, monkeypatch):
+    """Copies with up to four changed words each: some are linked, most pairs lie just below the threshold."""
+    monkeypatch.setattr(jaccard, "CHUNK", chunk)
+    monkeypatch.setattr(jaccard, "HELD", held)
+    r = random.Random(4)
+    base = [f"w{r.random()}" for _ in range(150)]
+    texts = []
+    for _ in range(260):
+        words = list(base)
+        for _ in range(r.choice([1, 2, 3, 3, 4])):
+            words[r.randrange(len(words))] = f"n{r.random()}"
+        texts.append(" ".join(words))
+    sets, head = [shingles(t) for t in texts], list(range(len(texts)))
+    for b in range(len(sets)):
+        for a in range(b):
+            if head[a] != head[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = sorted((head[a], head[b]))
+                head = [x if h == y else h for h in head]
+    got = {r.doc_id: r.component_id for r in jaccard.similar_components(frame(spark, list(enumerate(texts)))).collect()}
+    assert got == dict(enumerate(head)) and 5 < len(set(head)) < 200
+
+
 def test_components_of_nulls_repeats_and_nothing(spark):
     same = "a b c d e f g h"
     got = jaccard.similar_components(frame(spark, [(5, same), (5, same), (None, same), (9, same), (None, None)])).collect()
