@@ -177,7 +177,7 @@ def test_components_of_nulls_repeats_and_nothing(spark):
     assert jaccard.similar_components(frame(spark, [])).collect() == []
 
 
-@pytest.mark.parametrize("size", [1 << 18, 60])
+@pytest.mark.parametrize("size", [1 << 17, 5])
 def test_repeated_spans_are_the_brute_force_ones(spark, rows, size, monkeypatch):
     monkeypatch.setattr(suffixes, "ROWS", size)
     seen, want = set(), collections.defaultdict(set)
@@ -187,26 +187,33 @@ def test_repeated_spans_are_the_brute_force_ones(spark, rows, size, monkeypatch)
             if tuple(w[s : s + 50]) in seen:
                 want[i] |= set(range(s, s + 50))
             seen.add(tuple(w[s : s + 50]))
+    assert covered(suffixes.repeated_spans(frame(spark, rows))) == want and len(want) > 10
+
+
+def covered(spans):
     got = collections.defaultdict(set)
-    for r in suffixes.repeated_spans(frame(spark, rows)).collect():
+    for r in spans.collect():
         assert r.first_doc_id <= r.doc_id and not got[r.doc_id] & set(range(r.start_word, r.end_word))
         got[r.doc_id] |= set(range(r.start_word, r.end_word))
-    assert got == want and len(want) > 10
+    return got
 
 
-@pytest.mark.parametrize("size", [1 << 18, 60, 8])
-def test_repeats_to_the_left_across_partitions(spark, size, monkeypatch):
-    """40 words in very many texts, of which only the first and the last also share the ten words before."""
+@pytest.mark.parametrize("size", [1 << 17, 60])
+def test_repeats_on_both_sides_at_once(spark, size, monkeypatch):
+    """40 words in very many texts, with ten words of two kinds on either side."""
     monkeypatch.setattr(suffixes, "ROWS", size)
     r = random.Random(7)
-    word = lambda: f"w{r.random()}"
-    shared, before = [word() for _ in range(40)], [word() for _ in range(10)]
-    rows = []
-    for i in range(240):
-        own = before if i in (0, 239) else [word() for _ in range(10)]
-        rows.append((i, " ".join([*own, *shared, f"{i:03d}", *(word() for _ in range(15))])))
-    got = {(x.doc_id, x.first_doc_id, x.start_word, x.end_word) for x in suffixes.repeated_spans(frame(spark, rows)).collect()}
-    assert got == {(239, 0, 0, 50)}
+    shared = [f"w{r.random()}" for _ in range(40)]
+    rows = [(i, " ".join([*r.choices("ab", k=10), *shared, *r.choices("cd", k=10), f"end{i}"])) for i in range(400)]
+    rows += [(500 + i, " ".join([f"x{r.random()}" for _ in range(10)] + shared + [f"{i}"] + [f"y{r.random()}" for _ in range(15)])) for i in range(600)]
+    seen, want = set(), collections.defaultdict(set)
+    for i, t in rows:
+        w = t.split()
+        for s in range(len(w) - 49):
+            if tuple(w[s : s + 50]) in seen:
+                want[i] |= set(range(s, s + 50))
+        seen |= {tuple(w[s : s + 50]) for s in range(len(w) - 49)}
+    assert covered(suffixes.repeated_spans(frame(spark, rows))) == want and 200 < len(want) < 400
 
 
 def test_texts_without_repeats(spark):

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from torvane.llm import textnum as tn
-from torvane.llm.shared import bitmap, components, cut, longs, release
+from torvane.llm.shared import bitmap, components, cut, groups, longs, release
 
 #: The table of frequent shingles has this many buckets: a fixed bound for what is broadcast.
 SKETCH_BITS = 18
@@ -273,23 +273,6 @@ def traverse(x: Tree, y: Tree, label: np.ndarray, num: int, den: int, verify=Non
         ahead.append((lx - (lx == up), ly - (ly == up), i, j))
 
 
-def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
-    """Tables of whole groups of rows with equal keys, which come in order, and where each group begins (and the last one ends)."""
-    held = None
-    for batch in itertools.chain(batches, [None]):
-        if batch is not None:
-            t = pa.Table.from_batches([batch])
-            held = t if held is None else pa.concat_tables([held, t])
-        if held is None or not held.num_rows:
-            continue
-        key = np.stack([held.column(k).to_numpy() for k in keys], 1)
-        start = np.r_[0, np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1]
-        end = held.num_rows if batch is None else start[-1]
-        if end:
-            yield held.slice(0, end).combine_chunks(), start if end == start[-1] else np.append(start, end)
-        held = held.slice(end)
-
-
 def _binary(column: pa.ChunkedArray) -> np.ndarray:
     return np.array([*column.to_pylist(), None], object)[:-1]
 
@@ -384,7 +367,7 @@ def _candidates(num: int, den: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         joined = _Joined()
-        for t, start in _groups(batches, ["token", "c", "d"]):
+        for t, start in groups(batches, ["token", "c", "d"]):
             c = {k: t.column(k).to_numpy() for k in ("node", "comp", "n", "rest", "side")}
             c["sig"] = _binary(t.column("sig"))
             c["width"] = np.array([len(s) for s in c["sig"]])
@@ -448,7 +431,7 @@ def _links(num: int, den: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         joined = _Joined()
-        for t, start in _groups(batches, ["token", "c", "d"]):
+        for t, start in groups(batches, ["token", "c", "d"]):
             node, comp, side = (t.column(k).to_numpy() for k in ("node", "comp", "side"))
             s = _binary(t.column("s"))
             for a, b in zip(start[:-1], start[1:], strict=True):

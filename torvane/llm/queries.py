@@ -13,7 +13,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffixes.repeated_spans(table(spark, sf_dir, "documents"), min_words=50, k=40)
+    return suffixes.repeated_spans(table(spark, sf_dir, "documents"), min_words=50, k=40).drop("key")
 
 
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,6 +78,15 @@ def queries():
 #: A-Z only are lower-cased, and words are runs of anything but white space.
 SPACED = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
 
+OP1 = rf"""
+WITH d AS (SELECT doc_id, {SPACED} AS w FROM documents),
+win AS (SELECT doc_id, s, array_to_string(w[s + 1:s + 50], ' ') AS t FROM (SELECT doc_id, w, unnest(range(len(w) - 49)) AS s FROM d WHERE len(w) >= 50)),
+told AS (SELECT doc_id, s, row_number() OVER p AS nth, first_value(doc_id) OVER p AS head FROM win WINDOW p AS (PARTITION BY t ORDER BY doc_id, s)),
+later AS (SELECT doc_id, s, head, coalesce(s > lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 50, false)::INTEGER AS gap FROM told WHERE nth > 1),
+spans AS (SELECT doc_id, s, head, sum(gap) OVER (PARTITION BY doc_id ORDER BY s) AS k FROM later)
+SELECT doc_id, min(s)::BIGINT AS start_word, (max(s) + 50)::BIGINT AS end_word, arg_min(head, s) AS first_doc_id FROM spans GROUP BY doc_id, k
+"""
+
 OP2 = rf"""
 WITH RECURSIVE w AS (SELECT doc_id, {SPACED} AS w FROM documents),
 sh AS (SELECT DISTINCT doc_id, s FROM (
@@ -146,4 +155,4 @@ FROM e GROUP BY conv_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_ngram_jaccard": OP2, "op3_license_scan": OP3, "op9_decontamination": OP9, "op10_chat_formatting": OP10}
+    return {"op1_suffix_dedup": OP1, "op2_ngram_jaccard": OP2, "op3_license_scan": OP3, "op9_decontamination": OP9, "op10_chat_formatting": OP10}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -75,6 +76,23 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
+def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole groups of rows with equal keys, which come in order, and where each group begins (and the last one ends)."""
+    held = None
+    for batch in itertools.chain(batches, [None]):
+        if batch is not None:
+            t = pa.Table.from_batches([batch])
+            held = t if held is None else pa.concat_tables([held, t])
+        if held is None or not held.num_rows:
+            continue
+        key = np.stack([held.column(k).to_numpy() for k in keys], 1)
+        start = np.r_[0, np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1]
+        end = held.num_rows if batch is None else start[-1]
+        if end:
+            yield held.slice(0, end).combine_chunks(), start if end == start[-1] else np.append(start, end)
+        held = held.slice(end)
+
+
 def merged(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Intervals (keys, start, end, source, at), those that touch or overlap within a key joined into one.
 

@@ -2,11 +2,11 @@
 
 A suffix is kept where the hash of its first k words is the least in a window of such hashes, so every span of min_words
 words that occurs twice keeps a suffix at the same place in each occurrence. Suffixes whose first k words occur once
-are left out. The others are sorted by what follows, over range partitions, so a passage that very many documents
-hold spreads over several; neighbours are compared, and matches are extended by the words to the left and right. A
-second order, by the words to the left, is a range-partitioned sort of its own and finds matches that end with the k
-words. Of equal passages the first one, by document and place, stays. In either order the suffixes at the edges of a
-partition and the first ones of the runs there go on to one more round, which is as small as there are partitions.
+are left out. The others meet those with the same first words, sorted by what follows, and once more by what goes before.
+Neighbours that are compared in either order say with which suffixes one shares how many words to the right, and to
+the left; where the two together make min_words, the match is extended by them. Of equal passages the first one, by
+document and place, stays. Beginnings that more than ROWS suffixes have would fill a task: their windows of min_words
+words are grouped by hash instead, summed up before they are dealt.
 """
 
 from __future__ import annotations
@@ -19,14 +19,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from torvane.llm import textnum as tn
-from torvane.llm.shared import Bitmap, bitmap, cut, longs, merged, release
+from torvane.llm.shared import bitmap, cut, groups, longs, merged, release
 
 #: Words of a passage that counts as repeated, and of the hashed beginning of a suffix.
 MIN_WORDS, K = 50, 40
-#: Suffixes that a partition sorts and holds, about.
-ROWS = 1 << 18
+#: Suffixes with one beginning that a task sorts, at most.
+ROWS = 1 << 17
 _ROW = "g long, doc_id long, key long, pos long, lefts binary, rights binary"
-_SPAN = "kind byte, g long, doc_id long, key long, pos long, lefts binary, rights binary, start long, end long, source long"
+_SPAN = "doc_id long, key long, start long, end long, source long"
 
 
 def _minimisers(column: pa.Array, span: int, k: int) -> Iterator[tuple[tn.Words, np.ndarray, np.ndarray, np.ndarray]]:
@@ -54,23 +54,24 @@ def _beginnings(span: int, k: int):
 
 
 def _fixed(values: np.ndarray) -> pa.Array:
-    """Rows of 16-bit numbers as binary values in their order."""
-    data = np.ascontiguousarray(values.astype(">u2"))
-    offsets = (np.arange(len(data) + 1) * data.shape[1] * 2).astype(np.int32)
+    """Rows of 32-bit numbers as binary values in their order."""
+    data = np.ascontiguousarray(values.astype(">u4"))
+    offsets = (np.arange(len(data) + 1) * data.shape[1] * 4).astype(np.int32)
     return pa.Array.from_buffers(pa.binary(), len(data), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())])
 
 
-def _suffixes(span: int, k: int, shared):
+def _suffixes(span: int, k: int, shared, hot):
     m = span - k
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted: Bitmap = shared.value
         for batch in batches:
             for ws, h, g, at in _minimisers(batch.column("text"), span, k):
-                at = at[wanted.has(g[at])]
+                at = at[shared.value.has(g[at])]
+                if hot is not None:
+                    at = at[~hot.value.has(g[at])]
                 if not len(at):
                     continue
-                small = (h >> np.uint64(48)).astype(np.uint16) | np.uint16(1)  # 0 stands for no word
+                small = np.maximum((h >> np.uint64(32)).astype(np.uint32), np.uint32(1))  # 0 stands for no word
                 doc = ws.doc[at]
                 first, last = ws.first[doc][:, None], ws.first[doc + 1][:, None]
                 left, right = at[:, None] - 1 - np.arange(m), at[:, None] + k + np.arange(m)
@@ -85,73 +86,81 @@ def _suffixes(span: int, k: int, shared):
     return run
 
 
-def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """How many words two contexts share from their beginning."""
-    return np.cumprod((a == b) & (a > 0), axis=1).sum(1)
+def _hot_windows(span: int, k: int, hot):
+    """Rows (h, doc_id, key, start) of the windows of span words around hot beginnings."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ws, h, g, at in _minimisers(batch.column("text"), span, k):
+                at = at[hot.value.has(g[at])]
+                start = np.unique((at[:, None] - np.arange(span - k + 1)).ravel())
+                win, whole = ws.windows(h, span)
+                start = start[start >= 0]
+                start = start[whole[start]]
+                if len(start):
+                    doc = ws.doc[start]
+                    row = pa.array(doc + ws.lo)
+                    yield pa.record_batch([longs(win[start]), batch.column("doc_id").take(row), batch.column("key").take(row), pa.array((start - ws.first[doc]).astype(np.int64))], names=["h", "doc_id", "key", "start"])
+
+    return run
 
-def repeats(g: np.ndarray, rank: np.ndarray, lefts: np.ndarray, rights: np.ndarray, need: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of suffixes in order: words that each shares to the left and right with an earlier-ranked one (-1: with none), that one's index, and its run."""
-    n = len(g)
+
+def _classes(words: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """For suffixes in order of g and words: row p numbers those that share g and the first p words with a neighbour alike."""
+    n, m = words.shape
+    lcp = np.cumprod((words[1:] == words[:-1]) & (words[1:] > 0), axis=1).sum(1)
+    lcp[g[1:] != g[:-1]] = -1
+    out = np.zeros((m + 1, n), np.int64)
+    for p in range(m + 1):
+        np.cumsum(lcp < p, out=out[p, 1:])
+    return out
+
+
+def repeats(g: np.ndarray, rank: np.ndarray, lefts: np.ndarray, rights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of suffixes in order of g and rights: words to the left and right that together each shares with an earlier-ranked one (-1: with
+    none), and the first in rank with which it shares the most to the left. lefts and rights are as many words as are needed."""
+    n, m = rights.shape
     more, less, source = np.full(n, -1), np.full(n, -1), np.full(n, -1)
-    here, there = np.arange(1, n), np.arange(n - 1)
-    l, r = _common(lefts[1:], lefts[:-1]), _common(rights[1:], rights[:-1])  # noqa: E741
-    near = (g[1:] == g[:-1]) & (l + r >= need)
-    run = np.concatenate([[0], np.cumsum(~near)])
-    head = np.lexsort((rank, run))
-    head = head[np.searchsorted(run[head], run)]  # of each run, the first in rank
-
-    def take(i: np.ndarray, j: np.ndarray, l: np.ndarray, r: np.ndarray) -> None:  # noqa: E741
-        ok = (l + r >= need) & (rank[j] < rank[i]) & (g[i] == g[j])
-        i, j, l, r = i[ok], j[ok], l[ok], r[ok]  # noqa: E741
-        source[i] = np.where(source[i] < 0, j, source[i])
-        more[i], less[i] = np.maximum(more[i], l), np.maximum(less[i], r)
-
-    every = np.flatnonzero(head != np.arange(n))
-    take(every, head[every], _common(lefts[every], lefts[head[every]]), _common(rights[every], rights[head[every]]))
-    take(here, there, l, r)
-    take(there, here, l, r)
-    return more, less, source, run
-
-
-def _matches(span: int, k: int, edges: bool, side: str):
-    """Of rows in order by their rights or lefts (side). What a partition holds is compared in the other order too."""
+    right = _classes(rights, g)
+    two = lefts[:, ::2].astype(np.uint64) << np.uint64(32)  # two words at a time
+    two[:, : m // 2] |= lefts[:, 1::2]
+    order = np.lexsort((*two.T[::-1], g))
+    left = np.empty_like(right)
+    left[:, order] = _classes(lefts[order], g[order])
+    for many in range(m + 1):  # words to the left
+        a, b = right[m - many], left[many]
+        own = np.flatnonzero((np.bincount(a)[a] > 1) & (np.bincount(b)[b] > 1))
+        pair = a[own] * n + b[own]
+        by = np.lexsort((rank[own], pair))
+        own, pair = own[by], pair[by]
+        fresh = np.r_[True, pair[1:] != pair[:-1]][: len(pair)]
+        head = own[np.maximum.accumulate(np.where(fresh, np.arange(len(own)), 0))]
+        later = rank[own] > rank[head]
+        i, j = own[later], head[later]
+        less[i] = np.maximum(less[i], m - many)
+        more[i], source[i] = many, j
+    return more, less, source
+
+
+def _matches(span: int, k: int):
+    """Of rows in order of g and rights: spans that occur earlier."""
     m = span - k
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        t = pa.Table.from_batches(held).combine_chunks()
-        g, pos = t.column("g").to_numpy(), t.column("pos").to_numpy()
-        lefts, rights = (np.frombuffer(b"".join(t.column(c).to_pylist()), ">u2").reshape(-1, m).astype(np.uint16) for c in ("lefts", "rights"))
-        doc, key = t.column("doc_id").fill_null(np.iinfo(np.int64).max).to_numpy(), t.column("key").to_numpy()
-        order = np.lexsort((pos, key, doc))
-        fresh = np.ones(len(g), bool)
-        fresh[1:] = (doc[order][1:] != doc[order][:-1]) | (key[order][1:] != key[order][:-1]) | (pos[order][1:] != pos[order][:-1])
-        rank = np.empty(len(g), np.int64)
-        rank[order] = np.cumsum(fresh)  # repeated rows share a rank
-        more, less, source, runs = repeats(g, rank, lefts, rights, m)
-        other = np.lexsort((rank, *(lefts if side == "rights" else rights).T[::-1], g))
-        l, r, s, _ = repeats(g[other], rank[other], lefts[other], rights[other], m)  # noqa: E741
-        found = s >= 0
-        i = other[found]
-        source[i] = np.where(source[i] < 0, other[s[found]], source[i])
-        more[i], less[i] = np.maximum(more[i], l[found]), np.maximum(less[i], r[found])
-        at = np.flatnonzero(source >= 0)
-        names = ["kind", *t.column_names, "start", "end", "source"]
-        none = pa.nulls(len(at), pa.binary())
-        out = t.take(pa.array(at))
-        yield from pa.table([pa.array(np.zeros(len(at), np.int8)), *(out.column(c) for c in ("g", "doc_id", "key", "pos")), none, none, pa.array(pos[at] - more[at]), pa.array(pos[at] + k + less[at]), t.column("doc_id").take(pa.array(source[at]))], names=names).to_batches()
-        if edges:
-            ends = {0, len(g) - 1}  # these meet the next partition's edge
-            for x in np.unique(runs[[0, -1]]):  # the run at either edge
-                own = np.flatnonzero(runs == x)
-                ends.add(int(own[np.argmin(rank[own])]))
-            ends = np.array(sorted(ends))
-            out = t.take(pa.array(ends))
-            void = pa.nulls(len(ends), pa.int64())
-            yield from pa.table([pa.array(np.ones(len(ends), np.int8)), *(out.column(c) for c in t.column_names), void, void, void], names=names).to_batches()
+        for t, _ in groups(batches, ["g"]):
+            g, pos = t.column("g").to_numpy(), t.column("pos").to_numpy()
+            lefts, rights = (np.frombuffer(b"".join(t.column(c).to_pylist()), ">u4").reshape(-1, m).astype(np.uint32) for c in ("lefts", "rights"))
+            doc, key = t.column("doc_id").fill_null(np.iinfo(np.int64).max).to_numpy(), t.column("key").to_numpy()
+            order = np.lexsort((pos, key, doc))
+            fresh = np.ones(len(g), bool)
+            fresh[1:] = (doc[order][1:] != doc[order][:-1]) | (key[order][1:] != key[order][:-1]) | (pos[order][1:] != pos[order][:-1])
+            rank = np.empty(len(g), np.int64)
+            rank[order] = np.cumsum(fresh)  # repeated rows share a rank
+            more, less, source = repeats(g, rank, lefts, rights)
+            at = np.flatnonzero(source >= 0)
+            doc_id = t.column("doc_id")
+            out = [doc_id.take(pa.array(at)), t.column("key").take(pa.array(at)), pa.array(pos[at] - more[at]), pa.array(pos[at] + k + less[at]), doc_id.take(pa.array(source[at]))]
+            yield from pa.table(out, names=["doc_id", "key", "start", "end", "source"]).to_batches()
 
     return run
 
@@ -163,39 +172,32 @@ def keyed(docs: DataFrame) -> DataFrame:
 def repeated_spans(docs: DataFrame, *, min_words: int = MIN_WORDS, k: int = K) -> DataFrame:
     """Rows (doc_id, key, start_word, end_word, first_doc_id) of the documents (doc_id, text): passages that occur earlier.
 
-    A passage is min_words or more words (between white space, A-Z lower-cased) that another document, or an earlier place of the same
-    one, holds too; the occurrence first by doc_id (null last), key (a hash of id and text) and place is not returned, and of each passage it stays. Words are counted
-    from 0, end_word is the one behind. Passages that overlap are one row. first_doc_id is the document it was first
-    matched with. Rows that repeat an id and its text are one document here. Null, empty and short texts have no passages;
-    other columns are ignored; an empty table gives no rows. Words of the extension are compared by 16-bit hashes.
+    A passage is a union of windows of min_words words (between white space, A-Z lower-cased), each of which another document, or an
+    earlier place of the same one, holds too; the occurrence first by doc_id (null last), key (a hash of id and text) and
+    place is not returned, and of each window it stays. Windows that overlap or touch are one row. Words are counted from 0, end_word is the one
+    behind. first_doc_id is the first document with the passage's first window. Rows that repeat an id and its text
+    are one document here. Null, empty and short texts have no passages; other columns are ignored; an empty table
+    gives no rows. Beginnings are compared by 64-bit hashes, words of the extension by 32-bit ones.
     """
     sc = docs.sparkSession.sparkContext
     docs = keyed(docs)
     counts = docs.select("text").mapInArrow(_beginnings(min_words, k), "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
-    counts = cut(counts.filter("n > 1").select("g"))
-    shared = bitmap(counts, "g")
-    rows = cut(docs.mapInArrow(_suffixes(min_words, k, sc.broadcast(shared)), _ROW))
+    counts = cut(counts.filter("n > 1"))
+    shared = sc.broadcast(bitmap(counts, "g"))
+    often = counts.filter(F.col("n") > ROWS)
+    hot = None if often.isEmpty() else sc.broadcast(bitmap(often, "g"))
     release(counts)
-    spans, done, whole = [], [], rows
-    for side in ("rights", "lefts"):
-        rows, n, order = whole, None, ["g", side, "doc_id", "key", "pos"]
-        while n != 1:
-            fit = -(-max(rows.count(), 1) // ROWS)
-            n = fit if n is None else max(1, min(fit, n // 2))
-            dealt = rows.repartitionByRange(n, *order) if n > 1 else rows.coalesce(1)
-            told = cut(dealt.sortWithinPartitions(*order).mapInArrow(_matches(min_words, k, n > 1, side), _SPAN))
-            spans.append(told.filter("kind = 0"))
-            done.append(told)
-            rows = told.filter("kind = 1").select("g", "doc_id", "key", "pos", "lefts", "rights")
-    release(whole)
-    spans = [s.select("doc_id", "key", "start", "end", "source", F.lit(0).alias("at")) for s in spans]
-    whole = spans[0]
-    for s in spans[1:]:
-        whole = whole.unionByName(s)
-    whole = merged(whole.withColumn("at", F.col("start")).withColumn("id", F.coalesce("doc_id", F.lit(-1 << 63))), ["id", "key"])
-    out = cut(whole.select(F.when(F.col("id") != -1 << 63, F.col("id")).alias("doc_id"), "key", F.col("start").alias("start_word"), F.col("end").alias("end_word"), F.col("source").alias("first_doc_id")))
-    release(*done)
-    return out
+    rows = docs.mapInArrow(_suffixes(min_words, k, shared, hot), _ROW)
+    spans = rows.repartition("g").sortWithinPartitions("g", "rights").mapInArrow(_matches(min_words, k), _SPAN)
+    if hot is not None:
+        windows = docs.mapInArrow(_hot_windows(min_words, k, hot), "h long, doc_id long, key long, start long").distinct()
+        place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "start")
+        firsts = windows.groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").select("h", "first")
+        later = windows.join(firsts, "h").filter(place != F.col("first"))
+        spans = spans.unionByName(later.select("doc_id", "key", "start", (F.col("start") + min_words).alias("end"), F.col("first.doc_id").alias("source")))
+    whole = spans.select("key", "start", "end", "source", F.col("start").alias("at"), F.coalesce("doc_id", F.lit(-1 << 63)).alias("id"))
+    whole = merged(whole, ["id", "key"])
+    return cut(whole.select(F.when(F.col("id") != -1 << 63, F.col("id")).alias("doc_id"), "key", F.col("start").alias("start_word"), F.col("end").alias("end_word"), F.col("source").alias("first_doc_id")))
 
 
 def _without(schema: pa.Schema, names: list[str]):
