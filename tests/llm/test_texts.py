@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -237,22 +238,53 @@ def test_kth_largest(spark):
     assert resample.kth_largest(df, "v", 0) is None and resample.kth_largest(df, "v", 9) is None
 
 
-def test_every_training_document_is_learnt_from_once(spark, tmp_path, monkeypatch):
-    rows = [(i, f"w{i}") for i in range(400)]
-
-    def told(weights, words):
-        def run(batches):
-            for batch in batches:
-                for t in batch.column("text").to_pylist():
-                    with open(f"{tmp_path}/{t}", "a") as f:
-                        f.write("x")
-            yield from ()
-
-        return run
-
-    monkeypatch.setattr(lm, "_trained", told)
-    learnt = [f"w{x.doc_id}" for x in lm.score(frame(spark, rows)).collect() if not x.held_out]
-    assert {p.name: p.read_text() for p in tmp_path.iterdir()} == dict.fromkeys(learnt, "x") and len(learnt) > 300
+@pytest.mark.parametrize("heavy", [1 << 18, 1100])
+def test_scores_are_those_of_the_network(spark, heavy, monkeypatch):
+    """The whole of score() once more, by plain loops: ranks, rounds, shards, means, and each text symbol by symbol."""
+    monkeypatch.setattr(lm, "HEAVY", heavy)
+    monkeypatch.setattr(lm, "SHARD", 4000)
+    rows = [*ODD, *((100 + r.doc_id, r.text) for r in read(spark, "documents").limit(60).collect())]
+    df = frame(spark, rows)
+    tokens = lambda t: [*re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(UP)), None]
+    learnt = [(i, t) for i, t in rows if i is not None and zlib.crc32(str(i).encode()) % 10]
+    c = collections.Counter(x for _, t in learnt for x in tokens(t))
+    place = {lm.ENDING: lm.END}
+    hashed = {x: int(h) for x in c if x is not None for _, hs, _ in lm._tokens(pa.array([x])) for h in hs[:1]}
+    ranked = sorted(hashed, key=lambda x: (-c[x], hashed[x]))
+    place = {None: lm.END} | {x: 2 + k for k, x in enumerate(ranked[: lm.VOCABULARY - 2])}
+    counts = np.zeros(lm.VOCABULARY)
+    for x, k in place.items():
+        counts[k] = c[x]
+    total, rest = sum(c.values()), [x for x in c if x not in place]
+    left = counts[lm.OTHER] = sum(c[x] for x in rest)
+    net = lm.Network.start(counts, 5)
+    keys = {(r.doc_id, r.text): r.key for r in df.select("doc_id", "text", F.xxhash64("doc_id", "text", F.lit(5)).alias("key")).collect()}
+    shards = -(-total // (4000 * lm.ROUNDS))
+    assert shards > 2
+    for k in range(lm.ROUNDS):
+        ends = []
+        for shard in range(shards):
+            own = sorted((keys[i, t], [place.get(x, lm.OTHER) for x in tokens(t)]) for i, t in learnt if keys[i, t] % lm.ROUNDS == k and (keys[i, t] >> 8) % shards == shard)
+            if own:
+                one = lm.Network(net.flat.copy())
+                lm.train_on(one, np.concatenate([x for _, x in own]).astype(np.int32), lm._Adam(lm.Network.SIZE))
+                ends.append(one.flat.astype(np.float64))
+        net = lm.Network(np.mean(ends, 0))
+    texts = dict(rows)
+    got = lm.score(df).collect()
+    for r in got:
+        h, x, want = np.zeros((1, lm.HIDDEN), np.float32), np.array([lm.END]), 0.0
+        for w in tokens(texts[r.doc_id])[:3000]:
+            y = place.get(w, lm.OTHER)
+            h = net.step(x, h)[0]
+            want += net.log_probability(h, np.array([y]))[0] / math.log(10)
+            if y == lm.OTHER:
+                want += math.log10((c[w] + 0.1) / (left + 0.1 * (len(rest) + 1)))
+            x = np.array([y])
+        if r.n_tokens <= 3000:
+            assert r.score == pytest.approx(want, rel=1e-3)
+    again = {(r.doc_id, r.score) for r in lm.score(df.repartition(7)).collect()}
+    assert all(any(i == r.doc_id and x == pytest.approx(r.score, rel=1e-5) for i, x in again) for r in got)
 
 
 def test_every_symbol_is_learnt_from(monkeypatch):

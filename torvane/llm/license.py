@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from torvane.llm.shared import cut
+from torvane.llm.shared import cut, release
 
 # Phrases with their labels, and notices with theirs.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -122,7 +122,7 @@ def scan(docs: DataFrame, *, threshold: float = 0.8, phrases: dict[str, str] | N
 
     base = F.array_sort(F.array_distinct(F.transform("facts", lambda x: x.label)))
     out = told.drop("blocks").join(by_key, "key", "left")
-    return out.select(
+    out = cut(out.select(
         "doc_id", "n_words",
         F.aggregate("facts", F.lit(0).cast("long"), lambda a, x: a + x.n).alias("n_base"),
         F.array_min(F.transform("facts", lambda x: x.first)).alias("first_word"),
@@ -130,4 +130,6 @@ def scan(docs: DataFrame, *, threshold: float = 0.8, phrases: dict[str, str] | N
         F.array_join(base, ",").alias("base_labels"),
         F.array_join(F.array_sort(F.array_union(base, F.coalesce("more", F.array().cast("array<string>")))), ",").alias("labels"),
         F.when(F.size("facts") > 0, 1.0).otherwise(F.coalesce("share", F.lit(0.0))).alias("score"),
-    )
+    ))
+    release(told)
+    return out

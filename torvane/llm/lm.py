@@ -3,8 +3,9 @@
 Words are counted over all training documents in Spark. The most frequent ones are the network's vocabulary; any
 other word is one symbol for the network, times its smoothed share among such words, so a text's score is the
 log-probability of its very words. Training is by truncated backpropagation over all training documents, dealt by a hash
-into as many disjoint parts as there are rounds; weights are averaged in Spark after each round. Scoring carries the state of each document
-from window to window to its end. Counts of the words that one broadcast table of fixed size can't hold are joined.
+into as many disjoint parts as there are rounds, and each part into shards of about SHARD tokens; a shard's documents come in one
+order, and the weights that shards end with are averaged in Spark after each round, so that neither files nor partitions matter. Scoring
+carries the state of each document from window to window to its end. Counts of the words that one broadcast table of fixed size can't hold are joined.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from torvane.llm import textnum as tn
 from torvane.llm.langid import remainder
-from torvane.llm.shared import cut, longs
+from torvane.llm.shared import cut, groups, longs, release
 
 #: State size, classes of the softmax, words in a class. Their product bounds the vocabulary: 1,024 symbols.
 HIDDEN, CLASSES, IN_CLASS = 16, 32, 32
@@ -29,6 +30,10 @@ VOCABULARY = CLASSES * IN_CLASS
 HEAVY = 1 << 18
 #: Training: rounds, each over its own part of the documents, streams side by side, steps of backpropagation, learning rate.
 ROUNDS, STREAMS, STEPS, RATE = 2, 64, 16, 0.01
+#: Tokens of a shard, about: their number grows with the corpus.
+SHARD = 1 << 21
+#: Weights are summed up as whole numbers of this part, in which no order of additions shows.
+PART = 1 << 32
 #: Steps that scoring takes before it turns states into probabilities.
 WINDOW = 32
 SMOOTH = 0.1
@@ -212,18 +217,31 @@ def train_on(net: Network, symbols: np.ndarray, adam: _Adam, streams: int = STRE
     return loss + train_on(net, rest, adam, 1) if len(rest) else loss
 
 
-def _trained(weights, words):
+def _dealt(words):
+    """Rows (shard, key, ids): each text's symbols as 16-bit numbers, the end included."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net, adam, seen, table = Network(weights.value.copy()), _Adam(Network.SIZE), 0, words.value
         for batch in batches:
-            parts = [table.find(h) for _, h, _ in _tokens(batch.column("text"))]
-            if parts:
-                ids = np.concatenate(parts)
+            for lo, h, bounds in _tokens(batch.column("text")):
+                ids = words.value.find(h)
                 ids[(ids < 0) | (ids >= VOCABULARY)] = OTHER
-                train_on(net, ids, adam)
-                seen += len(ids)
-        if seen:
-            yield pa.record_batch([pa.array(np.arange(Network.SIZE, dtype=np.int32)), pa.array(net.flat.astype(np.float64) * seen), pa.array(np.full(Network.SIZE, seen, np.int64))], names=["at", "v", "n"])
+                data = pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer((2 * bounds).astype(np.int32).tobytes()), pa.py_buffer(ids.astype("<u2").tobytes())])
+                own = slice(lo, lo + len(bounds) - 1)
+                yield pa.record_batch([batch.column("shard")[own], batch.column("key")[own], data], names=["shard", "key", "ids"])
+
+    return run
+
+
+def _trained(weights):
+    """Of rows (shard, key, ids) in order: the weights that each shard ends with, in whole parts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, start in groups(batches, ["shard"]):
+            texts = t.column("ids").to_pylist()
+            for a, b in zip(start[:-1], start[1:], strict=True):
+                net = Network(weights.value.copy())
+                train_on(net, np.frombuffer(b"".join(texts[a:b]), "<u2").astype(np.int32), _Adam(Network.SIZE))
+                yield pa.record_batch([pa.array(np.arange(Network.SIZE, dtype=np.int32)), pa.array(np.rint(net.flat.astype(np.float64) * PART).astype(np.int64))], names=["at", "v"])
 
     return run
 
@@ -301,7 +319,7 @@ def score(docs: DataFrame, *, folds: int = 10, seed: int = 5) -> DataFrame:
     Learns from rows whose crc32 of the id as text isn't 0 modulo folds (a null id counts as 0). Tokens are words between white
     space, A-Z lower-cased, and one end for each text; a null text has its end only. base_score: sum of log10((c + 0.1) / (N + 0.1 * (V +
     1))) over tokens; score: the network's log10 probability of the text, other words at their smoothed share. Repeated rows
-    count, and are scored, as often as they occur; other columns are ignored. Without training rows the network stays
+    count, and are scored, as often as they occur; other columns are ignored. Scores don't depend on how the table is partitioned. Without training rows the network stays
     as it starts; an empty table gives no rows.
     """
     spark = docs.sparkSession
@@ -339,11 +357,14 @@ def score(docs: DataFrame, *, folds: int = 10, seed: int = 5) -> DataFrame:
     symbols[OTHER] = left
     flat = Network.start(symbols, seed).flat
     words = sc.broadcast(table)
+    shards = max(1, -(-int(total) // (SHARD * ROUNDS)))
+    key = F.xxhash64("doc_id", "text", F.lit(seed))
+    keyed = learnt.select("text", key.alias("key"))
     for k in range(ROUNDS):
-        own = learnt.filter(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(ROUNDS)) == k).select("text")
-        parts = own.rdd.getNumPartitions()
-        told = own.coalesce(max(1, parts // 8)).mapInArrow(_trained(sc.broadcast(flat), words), "at int, v double, n long")
-        mean = told.groupBy("at").agg((F.sum("v") / F.sum("n")).alias("v")).toArrow()  # a row for each weight
+        own = keyed.filter(F.pmod("key", F.lit(ROUNDS)) == k).withColumn("shard", F.pmod(F.shiftright("key", 8), F.lit(shards)).cast("int"))
+        dealt = own.mapInArrow(_dealt(words), "shard int, key long, ids binary").repartitionById(shards, "shard").sortWithinPartitions("shard", "key", "ids")
+        told = dealt.mapInArrow(_trained(sc.broadcast(flat)), "at int, v long")
+        mean = told.groupBy("at").agg((F.sum("v") / F.count("*") / PART).alias("v")).toArrow()  # a row for each weight
         if mean.num_rows:
             flat = np.zeros(Network.SIZE, np.float32)
             flat[mean.column("at").to_numpy()] = mean.column("v").to_numpy()
@@ -356,7 +377,9 @@ def score(docs: DataFrame, *, folds: int = 10, seed: int = 5) -> DataFrame:
     sums = tails.groupBy("row").agg(F.sum(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + F.lit(SMOOTH))).alias("logs"), F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("more"))
     out = told.filter("kind = 0").join(sums, "row", "left")
     logs = F.coalesce("logs", F.lit(0.0))
-    return out.select(
+    out = cut(out.select(
         "doc_id", "held_out", F.col("n").alias("n_tokens"), (F.col("known") + F.coalesce("more", F.lit(0))).cast("long").alias("n_known"),
         F.lit(int(total)).cast("long").alias("train_tokens"), (F.col("base") + logs).alias("base_score"), (F.col("score") + logs).alias("score"),
-    )
+    ))
+    release(told, counts)
+    return out

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from torvane.llm import textnum as tn
-from torvane.llm.shared import cut
+from torvane.llm.shared import cut, release
 
 WEIGHTS = (3, 1, 2)
 #: Documents, or residuals, that one chunk pairs, about.
@@ -118,13 +118,17 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, share: float = 1
     p = F.when(F.col("size") > 0, F.col("r") - F.col("whole")).otherwise(0.0)
     rows = rows.select("doc_id", "source", "size", "source_size", "target", "whole", p.alias("p"), "key", F.pmod("key", chunks).alias("chunk"))
     rows = cut(rows.withColumn("settled", (F.col("p") <= 0) | (F.col("p") >= 1)))
-    done, left = rows.filter("settled"), rows.filter("not settled")
+    release(sized)
+    done, left, tables = rows.filter("settled"), rows.filter("not settled"), [goals, rows]
     most_chunks, level = goals.agg(F.max(chunks)).first()[0] or 0, 0
     while most_chunks:
         dealt = left.repartition("source", "chunk").sortWithinPartitions("source", "chunk", "key", "doc_id")
         after = cut(dealt.mapInArrow(_paired(level, seed), _STATE))
+        tables.append(after)
         done = done.unionByName(after.filter("settled"))
         left = after.filter("not settled").withColumn("chunk", F.floor(F.col("chunk") / CHUNK).cast("long"))
         most_chunks, level = 0 if most_chunks == 1 else -(-most_chunks // CHUNK), level + 1
     copies = F.col("whole") * F.col("size") + F.round(F.col("p") * F.col("size")).cast("long")
-    return done.unionByName(left).select("doc_id", "source", "size", "source_size", "target", copies.cast("long").alias("taken"))
+    out = cut(done.unionByName(left).select("doc_id", "source", "size", "source_size", "target", copies.cast("long").alias("taken")))
+    release(*tables)
+    return out

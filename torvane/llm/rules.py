@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from torvane.llm.shared import cut
+from torvane.llm.shared import cut, release
 
 #: Words of a window whose repetition counts.
 WINDOW = 5
@@ -135,4 +135,6 @@ def judge(docs: DataFrame, *, rules: dict[str, Column] | None = None, threshold:
         odds = odds + F.exp(x)
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     out = voted.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (1 / (1 + odds)).alias("quality"))
-    return out.select(*out.columns[:-1], (~F.col("base_failed") & (F.col("quality") >= threshold)).alias("kept"), "quality")
+    out = cut(out.select(*out.columns[:-1], (~F.col("base_failed") & (F.col("quality") >= threshold)).alias("kept"), "quality"))
+    release(voted)
+    return out

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from torvane.llm import textnum as tn
-from torvane.llm.shared import Bitmap, bitmap, cut, longs
+from torvane.llm.shared import Bitmap, bitmap, cut, longs, release
 
 #: Words of a fingerprint.
 K = 5
@@ -97,8 +97,9 @@ def _doc_rows(span: int, k: int, marks, shorts):
     return run
 
 
-def hits(docs: DataFrame, items: DataFrame, *, span: int = 10, k: int = K) -> tuple[DataFrame, DataFrame]:
-    """(rows, places): rows (row, doc_id, key, n_words) of all documents, and (row, start, len, item) of each window of an item in one."""
+def hits(docs: DataFrame, items: DataFrame, *, span: int = 10, k: int = K) -> tuple[DataFrame, DataFrame, DataFrame, list[DataFrame]]:
+    """(rows, places, windows, tables): rows (row, doc_id, key, n_words) of all documents, (row, start, len, h) of each place where one
+    holds a window of some item, (len, h, item) of the items' windows, and the tables to release once these aren't read any more."""
     sc = docs.sparkSession.sparkContext
     told = cut(items.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string")).mapInArrow(_item_rows(span, k), "kind byte, len int, h long, item string").distinct())
     marks = bitmap(told.filter("kind = 0").select("h").distinct(), "h")
@@ -109,8 +110,9 @@ def hits(docs: DataFrame, items: DataFrame, *, span: int = 10, k: int = K) -> tu
     kinds = "kind byte, row long, doc_id long, key long, start long, len int, h long"
     seen = cut(slim.mapInArrow(_doc_rows(span, k, sc.broadcast(marks), sc.broadcast(shorts)), kinds))
     rows = seen.filter("kind = 0").select("row", "doc_id", "key", F.col("start").alias("n_words"))
-    places = seen.filter("kind = 1").select("row", "start", "len", "h").join(told.filter("kind = 1").select("len", "h", "item"), ["len", "h"])
-    return rows, cut(places.select("row", "start", "len", "item"))
+    windows = told.filter("kind = 1").select("len", "h", "item")
+    places = cut(seen.filter("kind = 1").select("row", "start", "len", "h").join(windows.select("len", "h").distinct(), ["len", "h"], "left_semi"))
+    return rows, places, windows, [told, seen, places]
 
 
 def contamination(docs: DataFrame, items: DataFrame, *, span: int = 10, k: int = K) -> DataFrame:
@@ -122,20 +124,24 @@ def contamination(docs: DataFrame, items: DataFrame, *, span: int = 10, k: int =
     rows are judged one by one; items with a null id count as hits, not as items. Equality of windows is that of
     64-bit hashes. Other columns are ignored; no items means no hits, and an empty table gives no rows.
     """
-    rows, places = hits(docs, items, span=span, k=k)
+    rows, places, windows, tables = hits(docs, items, span=span, k=k)
     before = Window.partitionBy("row").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
     spans = places.select("row", "start", (F.col("start") + F.col("len")).alias("end")).distinct()
     fresh = F.greatest(F.lit(0), F.col("end") - F.greatest("start", F.coalesce(F.max("end").over(before), F.lit(0))))
     covered = spans.select("row", fresh.alias("fresh")).groupBy("row").agg(F.sum("fresh").cast("long").alias("n_hit"))
-    named = places.select("row", "item").distinct().groupBy("row").agg(F.count("item").alias("n_items"), F.concat_ws(",", F.array_sort(F.collect_list("item"))).alias("ids"))
+    # an item is told once for each document and window, wherever and however often the window stands
+    named = places.select("row", "len", "h").distinct().join(windows, ["len", "h"]).select("row", "item").distinct().groupBy("row").agg(F.count("item").alias("n_items"), F.concat_ws(",", F.array_sort(F.collect_list("item"))).alias("ids"))
     out = rows.join(covered.join(named, "row"), "row", "left")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
-    return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"), F.sha2(F.coalesce("ids", F.lit("")), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+    out = cut(out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"), F.sha2(F.coalesce("ids", F.lit("")), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated")))
+    release(*tables)
+    return out
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, *, span: int = 10, k: int = K) -> DataFrame:
     """The rows of docs, with all their columns, that contamination() doesn't call contaminated. Rows alike in id and text share one fate."""
     key = F.xxhash64(docs["doc_id"].cast("long"), docs["text"].cast("string"))
-    rows, places = hits(docs, items, span=span, k=k)
+    rows, places, _, tables = hits(docs, items, span=span, k=k)
     bad = cut(rows.join(places.select("row").distinct(), "row", "left_semi").select(F.col("key").alias("torvane_bad")).distinct())
+    release(*tables)
     return docs.withColumn("torvane_key", key).join(bad, F.col("torvane_key") == F.col("torvane_bad"), "left_anti").drop("torvane_key")
