@@ -25,6 +25,8 @@ from torvane.llm.shared import bitmap, cut, groups, longs, merged, release
 MIN_WORDS, K = 50, 40
 #: Suffixes with one beginning that a task sorts, at most.
 ROWS = 1 << 17
+#: Parts that the places of one window are dealt into, where a beginning is beyond that.
+SALTS = 64
 _ROW = "g long, doc_id long, key long, pos long, lefts binary, rights binary"
 _SPAN = "doc_id long, key long, start long, end long, source long"
 
@@ -193,7 +195,10 @@ def repeated_spans(docs: DataFrame, *, min_words: int = MIN_WORDS, k: int = K) -
         windows = docs.mapInArrow(_hot_windows(min_words, k, hot), "h long, doc_id long, key long, start long").distinct()
         place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "start")
         firsts = windows.groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").select("h", "first")
-        later = windows.join(firsts, "h").filter(place != F.col("first"))
+        # one window may have very many places: they are dealt by a salt, and its first place goes to each
+        firsts = firsts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        dealt = windows.withColumn("salt", F.pmod(F.xxhash64("key", "start"), F.lit(SALTS)).cast("int"))
+        later = dealt.join(firsts, ["h", "salt"]).filter(place != F.col("first"))
         spans = spans.unionByName(later.select("doc_id", "key", "start", (F.col("start") + min_words).alias("end"), F.col("first.doc_id").alias("source")))
     whole = spans.select("key", "start", "end", "source", F.col("start").alias("at"), F.coalesce("doc_id", F.lit(-1 << 63)).alias("id"))
     whole = merged(whole, ["id", "key"])
