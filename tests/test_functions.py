@@ -3,7 +3,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from torvane.config import EngineConfig
+from torvane.config import Arguments, EngineConfig
 from torvane.functions import bits, share
 from torvane.functions import ring as rg
 from torvane.functions.ring import ring
@@ -57,10 +57,15 @@ def test_ansi_mode_is_restored(spark):
 def test_shared_bits_and_comparison(spark, pairs):
     X, Y = F.col("x"), F.col("y")  # noqa: N806
     small = pairs.filter("x between -2047 and 2047 and y between -2047 and 2047")
-    rows = run(spark, small, b=share.open_xor(D.bit(D.share(X, "x"), 7)), g=share.open_xor(D.geq(D.share(X, "x"), D.share(Y, "y"), 26)), plain=bits.geq(X, Y, 26), e=share.open_xor(D.equal_bits(D.share_bits(X, "x"), D.share_bits(Y, "y"), 11)))
+    with ring(spark):
+        at = share.Held(small)
+        found = D.bits(at, D.share(X, "x"), (0, 7, 31, 63))
+        g, e = D.geq(at, D.share(X, "x"), D.share(Y, "y"), 26), D.equal_bits(at, D.share_bits(X, "x"), D.share_bits(Y, "y"), 11)
+        opened = {f"b{p}": share.open_xor(b) for p, b in zip((0, 7, 31, 63), found, strict=True)}
+        rows = at.done(**opened, g=share.open_xor(g), e=share.open_xor(e), plain=bits.geq(X, Y, 26)).collect()
     assert len(rows) > 2
     for r in rows:
-        assert r.b == (r.x >> 7) & 1
+        assert [r.b0, r.b7, r.b31, r.b63] == [(r.x >> p) & 1 for p in (0, 7, 31, 63)]
         assert r.g == r.plain == int(r.x >= r.y)
         assert r.e == int(r.x % 2048 == r.y % 2048)
 
@@ -116,3 +121,19 @@ def test_config():
             EngineConfig(**bad)
     with pytest.raises(ValueError):
         EngineConfig.parse(color="red")
+
+
+def test_settings_from_files_and_words(tmp_path):
+    path = tmp_path / "engine.toml"
+    path.write_text("[engine]\nf = 8\ni = 20\n")
+    assert EngineConfig.load(str(path), {}) == EngineConfig(8, 20)
+    assert EngineConfig.load(str(path), {"APP_I": "30", "OTHER": "x"}) == EngineConfig(8, 30)
+    with pytest.raises(ValueError):
+        EngineConfig.load(str(path), {"APP_F": "60"})
+    assert Arguments.parse([f"cfg={path}", "ti=true"]) == Arguments(str(path), True) and not Arguments.parse([f"cfg={path}"]).ti
+    for bad in ([], ["ti=true"], [f"cfg={path}", "x=1"], [f"cfg={path}", "ti=yes"], ["cfg=/nowhere/at/all"], [f"cfg={path}", f"cfg={path}"], ["word"]):
+        with pytest.raises(ValueError):
+            Arguments.parse(bad)
+    path.write_text("[engine")
+    with pytest.raises(ValueError):
+        EngineConfig.load(str(path), {})

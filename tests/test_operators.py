@@ -9,7 +9,7 @@ from torvane.functions.share import Dealer, open_sum
 from torvane.operators import aggregates as ag
 from torvane.operators import discretize as dz
 from torvane.operators import linalg, packing, sets
-from torvane.operators.lineage import with_index
+from torvane.operators.lineage import shared_dir, with_index
 from torvane.operators.models import logistic, naive_bayes, trees
 from torvane.plans import catalogue
 from torvane.plans.dispatch import model
@@ -119,7 +119,7 @@ def test_naive_bayes_prefers_the_first_on_ties(spark):
         words = spark.createDataFrame([(1, "x"), (1, "x"), (2, "y"), (3, "unknown")], "id long, word string")
         logp = spark.createDataFrame([("x", 0, -5), ("x", 1, -9), ("y", 0, -9), ("y", 1, -5)], "word string, class int, logp long")
         prior = spark.createDataFrame([(0, -1), (1, -1)], "class int, prior long")
-        assert {r.id: r["class"] for r in naive_bayes.predict(words, logp, prior).collect()} == {1: 0, 2: 1, 3: 0}
+        assert {r.id: r["class"] for r in naive_bayes.predict(naive_bayes.counted(words), logp, prior).collect()} == {1: 0, 2: 1, 3: 0}
 
 
 def test_logistic_regression_separates(spark):
@@ -233,5 +233,48 @@ def test_products_take_every_row(spark, tmp_path):
     want: dict[int, int] = {}
     for k, v in rows:
         want[k] = want.get(k, 1) * (v + 1) % (1 << 64)
-    got = {x.o_orderkey: x["product"] % (1 << 64) for x in catalogue.queries()["products_whole"](spark, str(tmp_path)).collect()}
+    got = {x.o_orderkey: x["product"] % (1 << 64) for x in catalogue.queries()["products"](spark, str(tmp_path)).collect()}
     assert got == want
+
+
+def test_readers_keep_the_order_of_lines_over_many_splits(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    lines = [str(i * 7 + 10**9) for i in range(30000)]
+    (tmp_path / "in/a.csv").write_text("\n".join(lines[:100]) + "\n")
+    (tmp_path / "in/b.csv").write_text("\n\n".join(lines[100:]) + "\n \n")
+    size, cost = (spark.conf.get(f"spark.sql.files.{k}") for k in ("maxPartitionBytes", "openCostInBytes"))
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        with ring(spark):
+            got = files.read_column(spark, f"{tmp_path}/in").collect()
+            index = with_index(spark.range(1000, numPartitions=7).withColumn("v", F.col("id"))).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", cost)
+    assert [r.v for r in sorted(got, key=lambda r: r.row)] == [int(x) for x in lines] and [r.row for r in sorted(got)] == list(range(30000))
+    assert all(r.i == r.v for r in index) and len(index) == 1000
+
+
+def test_bulk_training_is_runs_side_by_side(spark, labelled):
+    forest = trees.train_extra_trees(labelled, ["a", "b", "c"], "label", trees.TreeConfig(depth=3, epsilon=0.0), f=10, trees=6, features=3, seed=2)
+    out = trees.bulk_votes(labelled, forest, "id", 2)
+    assert out.groupBy("run").count().collect() == [(0, 400), (1, 400)] or {r.run: r["count"] for r in out.groupBy("run").count().collect()} == {0: 400, 1: 400}
+    one = trees.Forest(forest.nodes.filter("tree >= 3"), forest.cuts.filter("tree >= 3"), forest.columns, forest.config)
+    assert sorted(out.filter("run = 1").drop("run").collect()) == sorted(trees.votes(labelled, one, "id").collect())
+    with pytest.raises(ValueError):
+        trees.bulk_votes(labelled, forest, "id", 4)
+
+
+def test_shared_folder_must_be_named_on_a_cluster():
+    class Conf:
+        get = staticmethod(lambda *_: None)
+
+    class Context:
+        master, getCheckpointDir = "yarn", staticmethod(lambda: None)  # noqa: N815
+
+    class Session:
+        conf, sparkContext = Conf, Context  # noqa: N815
+
+    with pytest.raises(ValueError):
+        shared_dir(Session)

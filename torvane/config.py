@@ -1,8 +1,12 @@
-"""Settings of the engine: fixed-point format, truncation mode and seed."""
+"""Settings of the engine: fixed-point format, truncation mode and seed, from code, text, a file, the environment or a command line."""
 
 from __future__ import annotations
 
+import os
+import tomllib
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from pathlib import Path
 
 
 @dataclass(frozen=True)
@@ -35,3 +39,43 @@ class EngineConfig:
         if unknown := settings.keys() - kinds.keys():
             raise ValueError(f"unknown settings: {', '.join(sorted(unknown))}")
         return cls(**{k: kinds[k](v) for k, v in settings.items()})
+
+    @classmethod
+    def load(cls, path: str, environment: Mapping[str, str] | None = None, prefix: str = "APP") -> EngineConfig:
+        """From the table [engine] of a TOML file that must exist; a variable like APP_F or APP_SEED goes before the file's value."""
+        file = Path(path)
+        if not file.is_file():
+            raise ValueError(f"no such file: {path}")
+        try:
+            settings = tomllib.loads(file.read_text()).get("engine", {})
+        except tomllib.TOMLDecodeError as e:
+            raise ValueError(f"not a settings file: {path}: {e}") from e
+        own = {k: str(v) for k, v in settings.items()}
+        names = {f"{prefix}_{k}".upper(): k for k in cls.__dataclass_fields__}
+        own |= {names[k.upper()]: v for k, v in (os.environ if environment is None else environment).items() if k.upper() in names}
+        return cls.parse(**own)
+
+
+@dataclass(frozen=True)
+class Arguments:
+    """cfg: path of a settings file, which must exist. ti: whether to only deal randomness."""
+
+    cfg: str
+    ti: bool = False
+
+    @classmethod
+    def parse(cls, words: Sequence[str]) -> Arguments:
+        """From words like cfg=PATH and ti=true; anything else, and a word given twice, is an error."""
+        given: dict[str, str] = {}
+        for word in words:
+            name, equals, value = word.partition("=")
+            if not equals or name not in ("cfg", "ti") or name in given:
+                raise ValueError(f"not understood: {word}")
+            given[name] = value
+        if "cfg" not in given:
+            raise ValueError("cfg=PATH is missing")
+        if not Path(given["cfg"]).is_file():
+            raise ValueError(f"no such file: {given['cfg']}")
+        if given.get("ti", "false") not in ("true", "false"):
+            raise ValueError(f"ti is true or false: {given['ti']}")
+        return cls(given["cfg"], given.get("ti") == "true")

@@ -7,10 +7,10 @@ shares checks the algebra; it keeps nothing secret.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from torvane.functions.ring import big
@@ -20,13 +20,22 @@ def pair(s0: Column, s1: Column) -> Column:
     return F.struct(s0.cast("bigint").alias("s0"), s1.cast("bigint").alias("s1"))
 
 
-def let(value: Column, f: Callable[[Column], Column]) -> Column:
-    """f(value), where value is evaluated once however often f uses it: nested operators stay as long as their text."""
-    return F.get(F.transform(F.array(value), f), F.lit(0))
+class Held:
+    """Rows that get the intermediate shares of an operator as plain columns, round by round, so that each is computed once, in generated code."""
 
+    def __init__(self, rows: DataFrame):
+        self.rows, self.own, self.n = rows, rows.columns, 0
 
-def both(x: Column, y: Column, f: Callable[[Column, Column], Column]) -> Column:
-    return let(F.struct(x.alias("x"), y.alias("y")), lambda t: f(t.x, t.y))
+    def hold(self, *shares: Column) -> list[Column]:
+        """The same shares, read from columns."""
+        names = [f"torvane_{self.n + i}_" for i in range(len(shares))]
+        self.n += len(shares)
+        self.rows = self.rows.withColumns({name + part: x.getField(part) for name, x in zip(names, shares, strict=True) for part in ("s0", "s1")})
+        return [pair(F.col(f"{name}s0"), F.col(f"{name}s1")) for name in names]
+
+    def done(self, **columns: Column) -> DataFrame:
+        """The rows with these columns, and without what was held."""
+        return self.rows.select(*self.own, *(c.alias(k) for k, c in columns.items()))
 
 
 def open_sum(s: Column) -> Column:
@@ -112,78 +121,62 @@ class Dealer:
         return pair(one("s0"), one("s1").bitwiseXOR(d.bitwiseAND(e)))
 
     def xor01(self, x: Column, y: Column, *salt) -> Column:
-        return both(x, y, lambda x, y: let(self.multiply(x, y, "xor", *salt), lambda z: subtract(add(x, y), scale(z, 2))))
+        return subtract(add(x, y), scale(self.multiply(x, y, "xor", *salt), 2))
 
     def or01(self, x: Column, y: Column, *salt) -> Column:
-        return both(x, y, lambda x, y: let(self.multiply(x, y, "or", *salt), lambda z: subtract(add(x, y), z)))
+        return subtract(add(x, y), self.multiply(x, y, "or", *salt))
 
     def mux(self, bit: Column, x: Column, y: Column, *salt) -> Column:
         """y + bit * (x - y)."""
-        return both(both(x, y, lambda x, y: F.struct(subtract(x, y).alias("d"), y.alias("y"))), bit, lambda t, b: let(self.multiply(b, t.d, "mux", *salt), lambda z: add(t.y, z)))
+        return add(y, self.multiply(bit, subtract(x, y), "mux", *salt))
 
     def bits_to_ring(self, b: Column, *salt) -> Column:
         """An XOR-shared bit as additive shares: s0 + s1 - 2 * s0 * s1, where each party shares its own bit."""
-        return let(b, lambda b: self.xor01(pair(b.s0.bitwiseAND(big(1)), big(0)), pair(big(0), b.s1.bitwiseAND(big(1))), "z2", *salt))
-
-    def bit(self, x: Column, p: int, *salt) -> Column:
-        """XOR shares of bit p of a shared value: both shares' bits and the carry into them, found in as many rounds of word-wide shared ANDs as p has binary digits."""
-        return let(x, lambda x: self._bit(x, p, *salt))
+        return self.xor01(pair(b.s0.bitwiseAND(big(1)), big(0)), pair(big(0), b.s1.bitwiseAND(big(1))), "z2", *salt)
 
-    def _bit(self, x: Column, p: int, *salt) -> Column:
+    def bits(self, at: Held, x: Column, places: Sequence[int], *salt) -> list[Column]:
+        """XOR shares of some bits of a shared value: both shares' bits and the carry into them. The carries into all places
+        are found together, in as many rounds of word-wide shared ANDs as the highest place has binary digits."""
         one = lambda v, i: F.shiftrightunsigned(v, i).bitwiseAND(big(1))
-        if p == 0:
-            return pair(one(x.s0, 0), one(x.s1, 0))
-        # all places at once: t.g has those that make a carry, t.q those that pass one on, over runs twice as long each time
-        made = self.multiply_bits(pair(x.s0, big(0)), pair(big(0), x.s1), "make", *salt)
-        state = F.struct(made.alias("g"), pair(x.s0, x.s1).alias("q"))
-        d = 1
-        while d < p:
-            state, d = let(state, self._longer(d, *salt)), 2 * d
-        return let(state, lambda t: pair(one(x.s0, p).bitwiseXOR(one(t.g.s0, p - 1)), one(x.s1, p).bitwiseXOR(one(t.g.s1, p - 1))))
-
-    def _longer(self, d: int, *salt) -> Callable[[Column], Column]:
-        up = lambda v: pair(F.shiftleft(v.s0, d), F.shiftleft(v.s1, d))
-
-        def step(t: Column) -> Column:
-            g = both(t.g, self.multiply_bits(t.q, up(t.g), "carry", str(d), *salt), xor_shares)
-            return F.struct(g.alias("g"), self.multiply_bits(t.q, up(t.q), "pass", str(d), *salt).alias("q"))
-
-        return step
-
-    def geq(self, x: Column, y: Column, p: int, *salt) -> Column:
+        up = lambda v, d: pair(F.shiftleft(v.s0, d), F.shiftleft(v.s1, d))
+        (x,) = at.hold(x)
+        # all places at once: g has those that make a carry, q those that pass one on, over runs twice as long each time
+        (g,), q, d = at.hold(self.multiply_bits(pair(x.s0, big(0)), pair(big(0), x.s1), "make", *salt)), x, 1
+        while d < max(places):
+            more = self.multiply_bits(q, up(g, d), "carry", str(d), *salt)
+            g, q = at.hold(xor_shares(g, more), self.multiply_bits(q, up(q, d), "pass", str(d), *salt))
+            d *= 2
+        carry = lambda v, p: one(v, p - 1) if p else big(0)
+        return [pair(one(x.s0, p).bitwiseXOR(carry(g.s0, p)), one(x.s1, p).bitwiseXOR(carry(g.s1, p))) for p in places]
+
+    def geq(self, at: Held, x: Column, y: Column, p: int, *salt) -> Column:
         """XOR shares of 1 where x >= y, for differences below 2 ** p in size."""
-        difference = both(x, y, subtract)
-        return let(self.bit(difference, p, "geq", *salt), lambda b: pair(b.s0, b.s1.bitwiseXOR(big(1))))
+        (b,) = self.bits(at, subtract(x, y), [p], "geq", *salt)
+        return pair(b.s0, b.s1.bitwiseXOR(big(1)))
 
-    def equal_bits(self, x: Column, y: Column, n: int, *salt) -> Column:
+    def equal_bits(self, at: Held, x: Column, y: Column, n: int, *salt) -> Column:
         """XOR shares of 1 where the lowest n bits of two XOR-shared words agree: the AND of all bits of ~(x ^ y), halved step by step."""
-        every = (1 << n) - 1 if n < 64 else -1
-        same = both(x, y, lambda x, y: pair(x.s0.bitwiseXOR(y.s0).bitwiseAND(big(every)), x.s1.bitwiseXOR(y.s1).bitwiseXOR(big(-1)).bitwiseAND(big(every))))
-        return self.and_all(same, n, *salt)
+        every = big((1 << n) - 1 if n < 64 else -1)
+        return self.and_all(at, pair(x.s0.bitwiseXOR(y.s0).bitwiseAND(every), x.s1.bitwiseXOR(y.s1).bitwiseXOR(big(-1)).bitwiseAND(every)), n, *salt)
 
-    def and_all(self, b: Column, n: int, *salt) -> Column:
+    def and_all(self, at: Held, b: Column, n: int, *salt) -> Column:
         """XOR shares of the AND of the lowest n bits; the higher ones of both shares must be 0."""
-        if n < 2:
-            return b
-        half = n // 2
-        low = big((1 << (n - half)) - 1)
-
-        def step(b: Column) -> Column:
+        while n > 1:
+            (b,), half = at.hold(b), n // 2
+            low = big((1 << (n - half)) - 1)
             upper = pair(F.shiftrightunsigned(b.s0, n - half), F.shiftrightunsigned(b.s1, n - half))
             if n % 2:  # the odd bit out meets a one
                 upper = pair(upper.s0, upper.s1.bitwiseOR(big(1 << half)))
             z = self.multiply_bits(pair(b.s0.bitwiseAND(low), b.s1.bitwiseAND(low)), upper, "and", str(n), *salt)
-            return let(z, lambda z: pair(z.s0.bitwiseAND(low), z.s1.bitwiseAND(low)))
+            b, n = pair(z.s0.bitwiseAND(low), z.s1.bitwiseAND(low)), n - half
+        return b
 
-        return self.and_all(let(b, step), n - half, *salt)
-
-    def clipped_relu(self, x: Column, f: int, p: int, *salt) -> Column:
+    def clipped_relu(self, at: Held, x: Column, f: int, p: int, *salt) -> Column:
         """Shares of clipped_relu: two comparisons, then two products."""
         half = 1 << (f - 1)
-
-        def ramp(x: Column) -> Column:
-            above = self.bits_to_ring(self.geq(x, constant(half), p, "hi", *salt), "hi", *salt)
-            inside = self.bits_to_ring(self.geq(x, constant(-half), p, "lo", *salt), "lo", *salt)
-            return both(inside, add(x, constant(half)), lambda i, y: self.mux(above, constant(1 << f), self.multiply(i, y, "ramp", *salt), "clip", *salt))
-
-        return let(x, ramp)
+        (x,) = at.hold(x)
+        above = self.geq(at, x, constant(half), p, "hi", *salt)
+        inside = self.geq(at, x, constant(-half), p, "lo", *salt)
+        above, inside = at.hold(self.bits_to_ring(above, "hi", *salt), self.bits_to_ring(inside, "lo", *salt))
+        (ramp,) = at.hold(self.multiply(inside, add(x, constant(half)), "ramp", *salt))
+        return self.mux(above, constant(1 << f), ramp, "clip", *salt)

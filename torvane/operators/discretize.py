@@ -34,13 +34,19 @@ def one_hot(number: Column, bins: int) -> Column:
     return F.array(*((number == b).cast("bigint") for b in range(bins)))
 
 
+def hashed(*parts: Column | str | int) -> Column:
+    """60 bits of a hash of numbers and names, the same in any engine: the first 15 digits of the MD5 of their text."""
+    text = F.concat_ws("-", *(p if isinstance(p, Column) else F.lit(str(p)) for p in parts))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("bigint")
+
+
 def _slots(spark: SparkSession, trees: int, slots: int) -> DataFrame:
     return spark.range(trees * slots).select(F.floor(F.col("id") / slots).cast("int").alias("tree"), (F.col("id") % slots).cast("int").alias("slot"))
 
 
 def pick_with_replacement(spark: SparkSession, trees: int, slots: int, size: int, seed: int) -> DataFrame:
     """Rows (tree, slot, attr)."""
-    return _slots(spark, trees, slots).withColumn("attr", F.pmod(F.xxhash64("tree", "slot", F.lit(seed)), F.lit(size)).cast("int"))
+    return _slots(spark, trees, slots).withColumn("attr", (hashed(F.col("tree"), F.col("slot"), seed) % size).cast("int"))
 
 
 def pick_without_replacement(spark: SparkSession, trees: int, slots: int, size: int, seed: int) -> DataFrame:
@@ -48,7 +54,7 @@ def pick_without_replacement(spark: SparkSession, trees: int, slots: int, size:
     from pyspark.sql import Window
 
     every = _slots(spark, trees, size).withColumnRenamed("slot", "attr")
-    order = Window.partitionBy("tree").orderBy(F.xxhash64("tree", "attr", F.lit(seed)), "attr")
+    order = Window.partitionBy("tree").orderBy(hashed(F.col("tree"), F.col("attr"), seed), "attr")
     return every.withColumn("slot", (F.row_number().over(order) - 1).cast("int")).filter(F.col("slot") < slots).select("tree", "slot", "attr")
 
 
@@ -62,13 +68,13 @@ def bootstrap(indexed: DataFrame, trees: int, draws: int, n_rows: int, seed: int
     spark = indexed.sparkSession
     if not 0 < draws < n_rows:
         return indexed.crossJoin(F.broadcast(spark.range(trees).select(F.col("id").cast("int").alias("tree"))))
-    drawn = _slots(spark, trees, draws).select("tree", F.pmod(F.xxhash64("tree", "slot", F.lit(seed)), F.lit(n_rows)).alias("i"))
+    drawn = _slots(spark, trees, draws).select("tree", (hashed(F.col("tree"), F.col("slot"), seed) % n_rows).alias("i"))
     return drawn.join(indexed, "i")
 
 
 def random_ratio(f: int, seed: int) -> Column:
     """For (tree, slot), a number below 1 in fixed point."""
-    return F.pmod(F.xxhash64("tree", "slot", F.lit(seed), F.lit("ratio")), F.lit(1 << f))
+    return hashed(F.col("tree"), F.col("slot"), seed, "ratio") % (1 << f)
 
 
 def random_cuts(rows: DataFrame, columns: list[str], picks: DataFrame, f: int, seed: int) -> DataFrame:

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set, as in tests."""
+    """The folder that driver and executors share; one of our own only where none is set and all run on one machine, as in tests."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[[\d*, ]+\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir isn't set: executors need a folder that all of them see")
         base = f"{tempfile.gettempdir()}/checkpoints/torvane"
         spark.sparkContext.setCheckpointDir(base)
     return base
@@ -37,13 +40,23 @@ def release(*tables: DataFrame | None) -> None:
 
 
 def with_index(df: DataFrame, name: str = "i") -> DataFrame:
-    """df with a column that counts its rows from 0. Only a count for each partition is collected."""
-    df = cut(df)
-    at = F.monotonically_increasing_id()
-    own = cut(df.withColumn("torvane_part", F.shiftright(at, 33)).withColumn("torvane_at", at.bitwiseAND(F.lit((1 << 33) - 1))))
-    first, offsets = 0, []
-    for part, n in own.groupBy("torvane_part").count().orderBy("torvane_part").collect():
-        offsets.append((part, first))
+    """df with a column that counts its rows from 0, in their order: partition by partition. Only a count for each partition is collected."""
+    own = cut(df.withColumn("torvane_at", F.monotonically_increasing_id()))
+    return numbered(own, F.shiftright("torvane_at", 33), ["torvane_part"], name).select(*df.columns, name)
+
+
+def numbered(rows: DataFrame, part: Column, order: list[str], name: str) -> DataFrame:
+    """rows with a column that counts them from 0: parts by order, where torvane_at counts the rows of a part without gaps."""
+    rows = rows.withColumn("torvane_part", part)
+    first, starts = 0, []
+    for *_, key, least, n in rows.groupBy(*dict.fromkeys([*order, "torvane_part"])).agg(F.min("torvane_at"), F.count("*")).orderBy(*order).collect():
+        starts.append((key, first - least))
         first += n
-    starts = df.sparkSession.createDataFrame(offsets, "torvane_part long, torvane_first long")
-    return own.join(F.broadcast(starts), "torvane_part").select(*df.columns, (F.col("torvane_first") + F.col("torvane_at")).alias(name))
+    kind = rows.schema["torvane_part"].dataType.simpleString()
+    starts = rows.sparkSession.createDataFrame(starts, f"torvane_part {kind}, torvane_first long")
+    return rows.join(F.broadcast(starts), "torvane_part").withColumn(name, F.col("torvane_first") + F.col("torvane_at"))
+
+
+def broadcast_if_small(df: DataFrame, rows: int = 1 << 20) -> DataFrame:
+    """A table for a join, broadcast if it has at most so many rows; else Spark chooses. df is counted, so it should be cheap to read."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -21,10 +21,11 @@ def learn(rows: DataFrame, features: list[str], label: str, *, f: int, rate: int
     aggregate over the rows, and only its sums, one for each feature, reach the driver, so no lineage grows."""
     weights = [0] * len(features)
     with ring(rows.sparkSession):
-        rows = rows.select(*features, label).persist()
+        # rows alike are one, with a count: sums in the ring are the same in any order
+        rows = rows.groupBy(*features, label).agg(F.count("*").alias("torvane_n")).persist()
         try:
             for _ in range(rounds):
-                d = F.col(label) - response(features, weights, f)
+                d = F.col("torvane_n") * (F.col(label) - response(features, weights, f))
                 g = rows.select(*features, d.alias("d")).agg(*(truncate(F.sum(F.col(x) * F.col("d")), f).alias(x) for x in features)).first()
                 weights = [w + ((rate * (g[x] or 0)) >> f) for w, x in zip(weights, features, strict=True)]
         finally:

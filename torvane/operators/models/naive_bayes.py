@@ -7,12 +7,18 @@ from pyspark.sql import functions as F
 
 from torvane.functions.ring import encode
 from torvane.operators.aggregates import first_argmax
+from torvane.operators.lineage import broadcast_if_small
 
 
-def learn(words: DataFrame, labels: DataFrame, f: int) -> tuple[DataFrame, DataFrame]:
-    """(word, class, logp) and (class, prior) in fixed point, from rows (id, word) and (id, class); counts smoothed by one."""
-    own = words.join(labels, "id").groupBy("class", "word").agg(F.count("*").alias("n"))
-    vocabulary = words.select("word").distinct()
+def counted(words: DataFrame) -> DataFrame:
+    """Rows (id, word, m) of rows (id, word): how often an example has a word."""
+    return words.groupBy("id", "word").agg(F.count("*").alias("m"))
+
+
+def learn(counts: DataFrame, labels: DataFrame, f: int) -> tuple[DataFrame, DataFrame]:
+    """(word, class, logp) and (class, prior) in fixed point, from rows (id, word, m) as counted() gives them, and (id, class); counts smoothed by one."""
+    own = counts.join(labels, "id").groupBy("class", "word").agg(F.sum("m").alias("n"))
+    vocabulary = counts.select("word").distinct()
     size = vocabulary.agg(F.count("*").alias("size"))
     classes = labels.groupBy("class").agg(F.count("*").alias("rows"))
     totals = classes.join(own.groupBy("class").agg(F.sum("n").alias("total")), "class", "left")
@@ -24,14 +30,16 @@ def learn(words: DataFrame, labels: DataFrame, f: int) -> tuple[DataFrame, DataF
     return logp, prior
 
 
-def scores(words: DataFrame, logp: DataFrame, prior: DataFrame) -> DataFrame:
-    """Rows (id, class, score): the prior and, for each word as often as the example has it, its log-probability; unknown words add nothing."""
-    counts = words.groupBy("id", "word").agg(F.count("*").alias("m"))
-    matched = counts.join(logp, "word").groupBy("id", "class").agg(F.sum(F.col("m") * F.col("logp")).alias("part"))
-    every = words.select("id").distinct().crossJoin(F.broadcast(prior))  # classes are few
+def scores(counts: DataFrame, logp: DataFrame, prior: DataFrame) -> DataFrame:
+    """Rows (id, class, score) from rows (id, word, m): the prior and, for each word as often as the example has it, its log-probability; unknown words add nothing.
+
+    A frequent word has a row in most examples; the table of log-probabilities is broadcast if it is small, so that these rows stay where they are.
+    """
+    matched = counts.join(broadcast_if_small(logp), "word").groupBy("id", "class").agg(F.sum(F.col("m") * F.col("logp")).alias("part"))
+    every = counts.select("id").distinct().crossJoin(F.broadcast(prior))  # classes are few
     return every.join(matched, ["id", "class"], "left").select("id", "class", (F.col("prior") + F.coalesce("part", F.lit(0).cast("bigint"))).alias("score"))
 
 
-def predict(words: DataFrame, logp: DataFrame, prior: DataFrame) -> DataFrame:
+def predict(counts: DataFrame, logp: DataFrame, prior: DataFrame) -> DataFrame:
     """Rows (id, class): the first class with the largest score."""
-    return scores(words, logp, prior).groupBy("id").agg(first_argmax(F.col("score"), F.col("class")).alias("class"))
+    return scores(counts, logp, prior).groupBy("id").agg(first_argmax(F.col("score"), F.col("class")).alias("class"))

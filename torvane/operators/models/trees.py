@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from torvane.functions.ring import ring
 from torvane.operators import discretize as dz
 from torvane.operators.aggregates import first_argmax
-from torvane.operators.lineage import cut, with_index
+from torvane.operators.lineage import broadcast_if_small, cut, release, with_index
 
 
 @dataclass(frozen=True)
@@ -69,7 +69,7 @@ def induce(rows: DataFrame, config: TreeConfig) -> DataFrame:
     """
     zero = F.array(*(F.lit(0).cast("bigint") for _ in range(config.classes)))
     rows = cut(rows.select("tree", F.col("label").cast("int").alias("label"), "bins", F.lit(0).cast("bigint").alias("node")))
-    total = rows.groupBy("tree").agg(F.count("*").alias("total"))
+    total = cut(rows.groupBy("tree").agg(F.count("*").alias("total")))  # a row for each tree
     layers = []
     for layer in range(config.depth):
         nodes = frequencies(rows, config.classes).join(F.broadcast(total), "tree")
@@ -84,7 +84,9 @@ def induce(rows: DataFrame, config: TreeConfig) -> DataFrame:
         if layer < config.depth - 1:
             going = nodes.filter("not classifies").select("tree", "node", "slot")
             child = config.bins * F.col("node") + F.element_at("bins", F.col("slot") + 1) + 1
-            rows = cut(rows.join(going, ["tree", "node"]).select("tree", "label", "bins", child.alias("node")))
+            before, rows = rows, cut(rows.join(going, ["tree", "node"]).select("tree", "label", "bins", child.alias("node")))
+            release(before)
+    release(rows)
     out = layers[0]
     for nodes in layers[1:]:
         out = out.unionByName(nodes)
@@ -149,14 +151,15 @@ def paths(rows: DataFrame, forest: Forest, key: str) -> DataFrame:
     The walk moves before it looks, so the root's own frequencies are never asked for.
     """
     config, c = forest.config, forest.cuts
-    nodes = F.broadcast(forest.nodes.select("tree", "node", "slot", F.when(F.array_max("freqs") > 0, F.col("freqs")).alias("freqs")))
+    nodes = broadcast_if_small(forest.nodes.select("tree", "node", "slot", F.when(F.array_max("freqs") > 0, F.col("freqs")).alias("freqs")))
+    edges = broadcast_if_small(c.select("tree", "slot", "attr", "edges"))
     trees = F.broadcast(forest.nodes.select("tree").distinct())
     with ring(rows.sparkSession):
         at = rows.select(F.col(key), F.array(*forest.columns).alias("x")).crossJoin(trees).withColumn("node", F.lit(0).cast("bigint"))
         found = F.lit(None).cast("array<bigint>")
         at = at.withColumn("said", found)
         for _ in range(config.depth - 1):
-            here = at.join(nodes.select("tree", "node", "slot"), ["tree", "node"], "left").join(F.broadcast(c.select("tree", "slot", "attr", "edges")), ["tree", "slot"], "left")
+            here = at.join(nodes.select("tree", "node", "slot"), ["tree", "node"], "left").join(edges, ["tree", "slot"], "left")
             moved = config.bins * F.col("node") + dz.bin_of(F.get("x", F.col("attr")), F.col("edges")) + 1
             here = here.select(key, "x", "tree", "said", moved.alias("node")).join(nodes.select("tree", "node", "freqs"), ["tree", "node"], "left")
             at = here.select(key, "x", "tree", F.coalesce("said", "freqs").alias("said"), "node")
@@ -182,6 +185,23 @@ def votes(rows: DataFrame, forest: Forest, key: str, *, soft: bool = False) -> D
     return rows.select(key).join(best, key, "left").select(key, F.coalesce("class", F.lit(0)).alias("class"))
 
 
+def bulk_votes(rows: DataFrame, forest: Forest, key: str, runs: int, *, soft: bool = False) -> DataFrame:
+    """Rows (run, key, class) of a forest whose trees are those of several runs, as many in each: every run's own vote.
+
+    Bulk training is one job with more trees: run r has the trees from r * trees on, which all levels of induce() grow side by side.
+    """
+    trees = forest.nodes.agg(F.max("tree")).first()[0] + 1
+    if trees % runs:
+        raise ValueError(f"{trees} trees can't be {runs} runs")
+    each = trees // runs
+    out = None
+    for r in range(runs):
+        own = F.col("tree").between(r * each, r * each + each - 1)
+        part = votes(rows, Forest(forest.nodes.filter(own), forest.cuts.filter(own), forest.columns, forest.config), key, soft=soft).withColumn("run", F.lit(r))
+        out = part if out is None else out.unionByName(part)
+    return out.select("run", key, "class")
+
+
 def accuracy(predicted: DataFrame, labels: DataFrame, key: str, label: str) -> DataFrame:
     """One row: correct, rows, accuracy."""
     both = predicted.join(labels.select(key, label), key)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from torvane.functions.bits import mask
-from torvane.functions.share import Dealer, open_xor
+from torvane.functions.share import Dealer, Held, open_xor
 
 
 def low_bits(h: Column, bits: int) -> Column:
@@ -24,6 +24,20 @@ def members(dictionary: DataFrame, example: DataFrame, word: str = "word", *, pr
     return dictionary.join(example.select(word).distinct(), word, "left_semi" if present else "left_anti")
 
 
-def shared_match_bit(x: Column, y: Column, bits: int, dealer: Dealer, *salt: str) -> Column:
+def shared_match_bit(at: Held, x: Column, y: Column, bits: int, dealer: Dealer, *salt: str) -> Column:
     """Opened bit that two words' low bits agree, by an equality test on XOR shares."""
-    return open_xor(dealer.equal_bits(dealer.share_bits(x, "x", *salt), dealer.share_bits(y, "y", *salt), bits, *salt))
+    x, y = at.hold(dealer.share_bits(x, "x", *salt), dealer.share_bits(y, "y", *salt))
+    return open_xor(dealer.equal_bits(at, x, y, bits, *salt))
+
+
+def shared_members(dictionary: DataFrame, example: DataFrame, h: str, bits: int, dealer: Dealer, *, bucket: int = 10) -> DataFrame:
+    """dictionary with a column m: how many rows of example have a hash h that agrees on the low bits, by shared tests.
+
+    Only pairs of one bucket, the lowest bits of h, are tested; bits above them are what stays secret. dealer's keys: h and torvane_h.
+    """
+    low = lambda c: F.col(c).bitwiseAND(mask(bucket))
+    pairs = dictionary.withColumn("torvane_b", low(h)).join(example.select(F.col(h).alias("torvane_h")).withColumn("torvane_b", low("torvane_h")), "torvane_b")
+    at = Held(pairs)
+    same = shared_match_bit(at, F.col(h), F.col("torvane_h"), bits, dealer)
+    found = at.done(torvane_m=same).groupBy(h).agg(F.sum("torvane_m").alias("m"))
+    return dictionary.join(found, h, "left").withColumn("m", F.coalesce("m", F.lit(0).cast("bigint")))

@@ -1,11 +1,12 @@
 """Registry of the engine's queries and of the SQL that each must agree with.
 
-Every query runs over whole tables. Those that choose at random from hashes have no SQL; tests check them.
+Every query runs over whole tables. Forests whose trees choose at random from hashes have no SQL; tests check them.
 """
 
 from __future__ import annotations
 
 import functools
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,11 +14,13 @@ from pyspark.sql import functions as F
 from torvane.functions import bits, share
 from torvane.functions import ring as rg
 from torvane.functions.ring import big, ring
-from torvane.functions.share import Dealer
+from torvane.functions.share import Dealer, Held
 from torvane.operators import aggregates as ag
 from torvane.operators import discretize as dz
 from torvane.operators import linalg, packing, sets
+from torvane.operators.lineage import cut, shared_dir, with_index
 from torvane.operators.models import logistic, naive_bayes, trees
+from torvane.sources import files
 
 #: Fraction bits, and the bit that comparisons look at: for values below 2 ** 40 in size.
 FB, TOP = 10, 41
@@ -152,7 +155,9 @@ def clipped_relu(spark, table):
 def clipped_relu_shared(spark, table):
     d = Dealer(("c_custkey",))
     rows = table("customer").select("c_custkey", rg.encode(F.col("c_acctbal") / 4096.0, FB).alias("x"))
-    return rows.select("c_custkey", share.open_sum(d.clipped_relu(d.share(F.col("x")), FB, 26)).alias("v"))
+    at = Held(rows)
+    v = d.clipped_relu(at, d.share(F.col("x")), FB, 26)
+    return at.done(v=share.open_sum(v)).drop("x")
 
 
 @query("SELECT c_custkey, CASE WHEN x > 0 THEN trunc(1.0 / sqrt(x / 1024.0) * 1024)::BIGINT END AS v FROM (SELECT c_custkey, trunc(c_acctbal * 1024)::BIGINT AS x FROM customer)")
@@ -178,23 +183,30 @@ def bit_words(spark, table):
 @query(_SQL["bit_words"])
 def bit_words_shared(spark, table):
     d, k, s = Dealer(("p_partkey",)), F.col("p_partkey"), F.col("p_size").cast("bigint")
-    x, y = d.share_bits(k, "k"), d.share_bits(s, "s")
+    at = Held(table("part").select("p_partkey", "p_size"))
+    x, y = at.hold(d.share_bits(k, "k"), d.share_bits(s, "s"))
     up = share.pair(F.shiftleft(x.s0, 1), F.shiftleft(x.s1, 1))
     pairs = share.open_xor(d.multiply_bits(x, up, "pairs")).bitwiseAND(big(bits.ODD_BITS))
-    return table("part").select("p_partkey", pairs.alias("pairs"), share.open_xor(d.and_all(share.pair(x.s0.bitwiseAND(big(15)), x.s1.bitwiseAND(big(15))), 4, "every")).alias("every"), share.open_xor(d.equal_bits(x, y, 8, "same")).alias("same"))
+    every = d.and_all(at, share.pair(x.s0.bitwiseAND(big(15)), x.s1.bitwiseAND(big(15))), 4, "every")
+    same = d.equal_bits(at, x, y, 8, "same")
+    return at.done(pairs=pairs, every=share.open_xor(every), same=share.open_xor(same)).drop("p_size")
 
 
-@query("SELECT o_orderkey, " + ", ".join(f"(o_orderkey >> {p}) & 1 AS b{p}" for p in (0, 1, 3, 7, 15)) + ", list_transform(range(8), lambda i: ((o_orderkey >> i::INTEGER) & 1)::TINYINT) AS low FROM orders")
+PLACES = (0, 1, 3, 7, 15, 31, 63)
+_BIT = ", ".join(f"((x * y) >> {p}) & 1 AS b{p}" for p in PLACES)
+
+
+@query(f"SELECT o_orderkey, {_BIT}, list_transform(range(8), lambda i: ((o_orderkey >> i::INTEGER) & 1)::TINYINT) AS low FROM {ORDERS}")
 def bit_extract(spark, table):
-    k = F.col("o_orderkey")
-    return table("orders").select("o_orderkey", *(bits.bit(k, p).alias(f"b{p}") for p in (0, 1, 3, 7, 15)), bits.to_bits(k, 8).alias("low"))
+    v = F.col("x") * F.col("y")
+    return _orders(table).select("o_orderkey", *(bits.bit(v, p).alias(f"b{p}") for p in PLACES), bits.to_bits(F.col("o_orderkey"), 8).alias("low"))
 
 
-@query("SELECT o_orderkey, " + ", ".join(f"(o_orderkey >> {p}) & 1 AS b{p}" for p in (0, 1, 3, 7, 15)) + " FROM orders")
+@query(f"SELECT o_orderkey, {_BIT} FROM {ORDERS}")
 def bit_extract_shared(spark, table):
-    x = D.share(F.col("o_orderkey"), "k")
-    rows = table("orders").select("o_orderkey", F.col("o_custkey").alias("c"))
-    return rows.select("o_orderkey", *(share.open_xor(D.bit(x, p, str(p))).alias(f"b{p}") for p in (0, 1, 3, 7, 15)))
+    at = Held(_orders(table))
+    found = D.bits(at, D.share(F.col("x") * F.col("y"), "v"), PLACES)
+    return at.done(**{f"b{p}": share.open_xor(b) for p, b in zip(PLACES, found, strict=True)}).drop("x", "y", "c")
 
 
 @query(f"SELECT o_orderkey, (x >= y)::BIGINT AS ge, (x < y)::BIGINT AS lt, [(x >= y)::BIGINT, (x < y)::BIGINT] AS hot FROM {ORDERS}")
@@ -205,7 +217,9 @@ def compare(spark, table):
 
 @query(f"SELECT o_orderkey, (x >= y)::BIGINT AS ge FROM {ORDERS}")
 def geq_shared(spark, table):
-    return _orders(table).select("o_orderkey", share.open_xor(D.geq(D.share(F.col("x"), "x"), D.share(F.col("y"), "y"), TOP)).alias("ge"))
+    at = Held(_orders(table))
+    ge = D.geq(at, D.share(F.col("x"), "x"), D.share(F.col("y"), "y"), TOP)
+    return at.done(ge=share.open_xor(ge)).select("o_orderkey", "ge")
 
 
 @query("SELECT p_partkey, lpad(lower(hex(p_partkey)), 32, '0') AS h, p_partkey AS lo, 0::BIGINT AS hi FROM part")
@@ -270,22 +284,23 @@ def min_max(spark, table):
     return ag.min_max(_features(table), FEATURES)
 
 
-@query("SELECT o_orderkey, list_reduce(list(v ORDER BY v), lambda a, b: a * b)::BIGINT AS product FROM (SELECT l_orderkey AS o_orderkey, l_linenumber::BIGINT + 1 AS v FROM lineitem WHERE l_linenumber <= 4) GROUP BY 1 HAVING count(*) <= 12")
-def products(spark, table):
-    rows = table("lineitem").filter("l_linenumber <= 4").select(F.col("l_orderkey").alias("o_orderkey"), (F.col("l_linenumber").cast("bigint") + 1).alias("v"))
-    return rows.groupBy("o_orderkey").agg(ag.product(F.col("v")).alias("product"), F.count("*").alias("n")).filter("n <= 12").drop("n")
-
-
 _WHOLE = "SELECT l_orderkey AS o_orderkey, list_reduce(list(l_linenumber::HUGEINT + 1), lambda a, b: (a * b) % 18446744073709551616::HUGEINT) AS p FROM lineitem GROUP BY 1"
 
 
 @query(f"SELECT o_orderkey, (CASE WHEN p >= 9223372036854775808 THEN p - 18446744073709551616 ELSE p END)::BIGINT AS product FROM ({_WHOLE})")
-def products_whole(spark, table):
-    """Of all rows of every order, however many; products() is what a BIGINT in SQL holds."""
+def products(spark, table):
+    """Of all rows of every order, however many."""
     rows = table("lineitem").select(F.col("l_orderkey").alias("o_orderkey"), (F.col("l_linenumber").cast("bigint") + 1).alias("v"))
     return ag.long_product(rows, ["o_orderkey"], "v")
 
 
+@query(_SQL["products"])
+def products_whole(spark, table):
+    """The same with the factors of a group gathered at once: for groups that a task holds, as orders are."""
+    rows = table("lineitem").select(F.col("l_orderkey").alias("o_orderkey"), (F.col("l_linenumber").cast("bigint") + 1).alias("v"))
+    return rows.groupBy("o_orderkey").agg(ag.product(F.col("v")).alias("product"))
+
+
 @query("SELECT o_custkey, bit_and(o_orderkey) AS every FROM orders GROUP BY 1")
 def and_aggregate(spark, table):
     return table("orders").groupBy("o_custkey").agg(ag.and_all(F.col("o_orderkey")).alias("every"))
@@ -380,26 +395,35 @@ def one_hot_sums(spark, table):
     return cells.select("slot", dz.one_hot(F.col("bin"), 5).alias("hot")).groupBy("slot").agg(*(F.sum(F.get("hot", F.lit(b))).alias(f"b{b}") for b in range(5)))
 
 
-@query()
+
+
+def _sql_hash(*parts: str) -> str:
+    return f"('0x' || substr(md5(concat_ws('-', {', '.join(parts)})), 1, 15))::BIGINT"
+
+
+_PICKS = f"(SELECT tree::INTEGER AS tree, slot::INTEGER AS slot, ({_sql_hash('tree', 'slot', '1')} % 4)::INTEGER AS attr FROM range(5) a(tree), range(5) b(slot))"
+
+
+@query(f"SELECT * FROM {_PICKS}")
 def pick_with_replacement(spark, table):
     return dz.pick_with_replacement(spark, 5, 5, len(FEATURES), 1)
 
 
-@query()
+@query(f"SELECT * FROM (SELECT tree::INTEGER AS tree, (row_number() OVER (PARTITION BY tree ORDER BY {_sql_hash('tree', 'attr', '1')}, attr) - 1)::INTEGER AS slot, attr::INTEGER AS attr FROM range(5) a(tree), range(4) b(attr)) WHERE slot < 3")
 def pick_without_replacement(spark, table):
     return dz.pick_without_replacement(spark, 5, 3, len(FEATURES), 1)
 
 
-@query()
+@query(f"""WITH s AS (SELECT row_number() OVER (ORDER BY s_suppkey) - 1 AS i, s_suppkey FROM supplier), n AS (SELECT count(*) AS n FROM s),
+d AS (SELECT tree::INTEGER AS tree, {_sql_hash('tree', 'slot', '1')} % n AS i FROM range(3) a(tree), (SELECT n, unnest(range(n // 2)) AS slot FROM n))
+SELECT i, tree, s_suppkey FROM d JOIN s USING (i)""")
 def bootstrap_rows(spark, table):
-    from torvane.operators.lineage import with_index
-
-    rows = table("supplier").select("s_suppkey")
+    rows = table("supplier").select("s_suppkey").sort("s_suppkey")
     n = rows.count()
     return dz.bootstrap(with_index(rows), 3, n // 2, n, 1)
 
 
-@query()
+@query(f"SELECT tree, slot, attr, lo + (((hi - lo) * ({_sql_hash('tree', 'slot', '1', "'ratio'")} % 1024)) >> 10) AS cut FROM {_PICKS} p JOIN ({_SQL['min_max']}) r ON r.col = [{', '.join(map(repr, FEATURES))}][attr + 1]")
 def random_cuts(spark, table):
     return dz.random_cuts(_features(table), FEATURES, dz.pick_with_replacement(spark, 5, 5, len(FEATURES), 1), FB, 1)
 
@@ -425,11 +449,11 @@ def psi_missing(spark, table):
     return sets.members(_words(table, "benchmark", "item_id").select("word").distinct(), _words(table, "documents", "doc_id"), present=False)
 
 
-@query("SELECT n_nationkey, r_regionkey, ((n_nationkey & 3) = (r_regionkey & 3))::BIGINT AS same FROM nation, region")
+@query(f"SELECT word, (word IN (SELECT word FROM {_sql_words('documents', 'doc_id')}))::BIGINT AS m FROM (SELECT DISTINCT word FROM {_sql_words('benchmark', 'item_id')})")
 def psi_bits_shared(spark, table):
-    pairs = table("nation").select("n_nationkey").crossJoin(table("region").select("r_regionkey"))
-    d = Dealer(("n_nationkey", "r_regionkey"))
-    return pairs.select("n_nationkey", "r_regionkey", sets.shared_match_bit(F.col("n_nationkey").cast("bigint"), F.col("r_regionkey").cast("bigint"), 2, d).alias("same"))
+    """Whether the documents have a word, by equality tests on shares of 60-bit hashes."""
+    dictionary, example = (_words(table, name, key).select("word").distinct().withColumn("h", dz.hashed(F.col("word"))) for name, key in (("benchmark", "item_id"), ("documents", "doc_id")))
+    return sets.shared_members(dictionary, example, "h", 60, Dealer(("h", "torvane_h"))).select("word", "m")
 
 
 _QUALITY = "(SELECT doc_id AS id, max(quality)::INTEGER AS class FROM labels GROUP BY 1)"
@@ -444,10 +468,11 @@ pr AS (SELECT class, trunc(ln(rows::DOUBLE / (SELECT sum(rows) FROM cls)::DOUBLE
 
 def _nb(table):
     labels = table("labels").groupBy(F.col("doc_id").alias("id")).agg(F.max("quality").cast("int").alias("class"))
-    words = _words(table, "documents", "doc_id")
+    words = cut(naive_bayes.counted(_words(table, "documents", "doc_id")))
     known = words.join(labels.select("id"), "id", "left_semi")
     labels = labels.join(table("documents").select(F.col("doc_id").alias("id")), "id", "left_semi")
-    return words, naive_bayes.learn(known, labels, FB)
+    logp, prior = naive_bayes.learn(known, labels, FB)
+    return words, (cut(logp), cut(prior))
 
 
 @query(f"WITH {_NB} SELECT word, class, logp FROM lp")
@@ -464,38 +489,41 @@ def nb_predict(spark, table):
 
 
 LR = ["one", "size", "english"]
-_LR_ROWS = "(SELECT doc_id, 1024::BIGINT AS one, trunc(least(n_chars, 8000) / 8000.0 * 1024)::BIGINT AS size, (lang = 'en')::BIGINT * 1024 AS english, quality::BIGINT * 1024 AS label FROM documents JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY 1) USING (doc_id))"
+_LR_ROWS = "(SELECT doc_id, 1024::BIGINT AS one, trunc(n_chars / 8000.0 * 1024)::BIGINT AS size, (lang = 'en')::BIGINT * 1024 AS english, quality::BIGINT * 1024 AS label FROM documents JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY 1) USING (doc_id))"
 
 
 def _lr_rows(table) -> DataFrame:
     labels = table("labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    size = rg.encode(F.least("n_chars", F.lit(8000)) / 8000.0, FB)
+    size = rg.encode(F.col("n_chars") / 8000.0, FB)
     return table("documents").join(labels, "doc_id").select("doc_id", big(1024).alias("one"), size.alias("size"), ((F.col("lang") == "en").cast("bigint") * 1024).alias("english"), (F.col("quality").cast("bigint") * 1024).alias("label"))
 
 
-def _lr_sql(rounds: int) -> str:
-    z = lambda w: "(" + " + ".join(f"x.{c} * {w}.{c}" for c in LR) + ") >> 10"
-    clip = lambda w: f"CASE WHEN {z(w)} <= -512 THEN 0 WHEN {z(w)} >= 512 THEN 1024 ELSE ({z(w)}) + 512 END"
-    steps = ["x AS MATERIALIZED (SELECT * FROM " + _LR_ROWS + ")", "w0 AS (SELECT " + ", ".join(f"0::BIGINT AS {c}" for c in LR) + ")"]
-    for k in range(rounds):
-        g = ", ".join(f"(sum(x.{c} * (x.label - ({clip(f'w{k}')})))::BIGINT >> 10) AS {c}" for c in LR)
-        steps.append(f"w{k + 1} AS MATERIALIZED (SELECT " + ", ".join(f"w{k}.{c} + ((g.{c} * 16) >> 10) AS {c}" for c in LR) + f" FROM w{k}, (SELECT {g} FROM x, w{k}) g)")
-    return "WITH " + ", ".join(steps), clip(f"w{rounds}")
+#: As many rounds as the method takes.
+ROUNDS = 300
+
+
+def _lr_sql() -> tuple[str, str]:
+    z = "(" + " + ".join(f"x.{c} * w.{c}" for c in LR) + ") >> 10"
+    clip = f"CASE WHEN {z} <= -512 THEN 0 WHEN {z} >= 512 THEN 1024 ELSE ({z}) + 512 END"
+    g = ", ".join(f"w.{c} + (((sum(x.{c} * (x.label - ({clip})))::BIGINT >> 10) * 16) >> 10)" for c in LR)
+    own = ", ".join(f"w.{c}" for c in LR)
+    first = ", ".join("0::BIGINT" for _ in LR)
+    return f"WITH RECURSIVE x AS MATERIALIZED (SELECT * FROM {_LR_ROWS}), w(k, {', '.join(LR)}) AS (SELECT 0, {first} UNION ALL SELECT w.k + 1, {g} FROM w, x WHERE w.k < {ROUNDS} GROUP BY w.k, {own})", clip
 
 
-_LR_WITH, _LR_CLIP = _lr_sql(3)
+_LR_WITH, _LR_CLIP = _lr_sql()
 
 
-@query(_LR_WITH + " SELECT one, size, english FROM w3")
+@query(_LR_WITH + f" SELECT one, size, english FROM w WHERE k = {ROUNDS}")
 def lr_learn(spark, table):
-    w = logistic.learn(_lr_rows(table), LR, "label", f=FB, rate=16, rounds=3)
+    w = logistic.learn(_lr_rows(table), LR, "label", f=FB, rate=16, rounds=ROUNDS)
     return spark.range(1).select(*(big(v).alias(c) for c, v in zip(LR, w, strict=True)))
 
 
-@query(_LR_WITH + f" SELECT x.doc_id, (({_LR_CLIP}) >= 512)::INTEGER AS predicted FROM x, w3")
+@query(_LR_WITH + f" SELECT x.doc_id, (({_LR_CLIP}) >= 512)::INTEGER AS predicted FROM x, w WHERE k = {ROUNDS}")
 def lr_predict(spark, table):
     rows = _lr_rows(table)
-    w = logistic.learn(rows, LR, "label", f=FB, rate=16, rounds=3)
+    w = logistic.learn(rows, LR, "label", f=FB, rate=16, rounds=ROUNDS)
     return logistic.predict(rows, LR, w, FB).select("doc_id", "predicted")
 
 
@@ -589,3 +617,69 @@ def classify_soft(spark, table):
 def tree_accuracy(spark, table):
     rows, forest = _one_tree(table)
     return trees.accuracy(trees.votes(rows, forest, "c_custkey"), rows, "c_custkey", "label")
+
+
+# Files, written and read back
+
+
+def _written(spark, lines: DataFrame) -> str:
+    path = f"{shared_dir(spark)}/torvane-files-{uuid.uuid4().hex}"
+    files.write_lines(lines, path)
+    return path
+
+
+@query("SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS row, o_orderkey AS v FROM orders")
+def file_column(spark, table):
+    return files.read_column(spark, _written(spark, table("orders").sort("o_orderkey").select(F.col("o_orderkey").cast("string").alias("value"))))
+
+
+@query("SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS row, p_partkey % 2 AS hi, p_partkey * 1000003 AS lo FROM part")
+def file_hex(spark, table):
+    k = F.col("p_partkey")
+    text = F.concat(F.lit("0x"), F.upper(bits.hex128(k % 2, k * 1000003)))
+    return files.read_hex_column(spark, _written(spark, table("part").sort(k).select(text.alias("value"))))
+
+
+_PART = "(SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS row, p_partkey, p_size::BIGINT AS p_size, p_retailprice FROM part)"
+
+
+def _part_lines(spark, table, *columns: str) -> str:
+    return _written(spark, table("part").sort("p_partkey").select(F.concat_ws(",", *columns).alias("value")))
+
+
+@query(f"SELECT row, col, v FROM (SELECT row, 0 AS col, p_partkey AS v FROM {_PART} UNION ALL SELECT row, 1, p_size FROM {_PART})")
+def file_matrix(spark, table):
+    return files.read_matrix(spark, _part_lines(spark, table, "p_partkey", "p_size"))
+
+
+@query(f"SELECT row, col, v FROM (SELECT row, 0 AS col, p_partkey::DOUBLE AS v FROM {_PART} UNION ALL SELECT row, 1, p_retailprice FROM {_PART})")
+def file_float_matrix(spark, table):
+    return files.read_float_matrix(spark, _part_lines(spark, table, "p_partkey", "p_retailprice"))
+
+
+@query(f"SELECT row::INTEGER AS tree, col AS slot, v::INTEGER AS attr FROM (SELECT row, 0 AS col, p_partkey AS v FROM {_PART} UNION ALL SELECT row, 1, p_size FROM {_PART})")
+def file_picks(spark, table):
+    return files.read_picks(spark, _part_lines(spark, table, "p_partkey", "p_size"))
+
+
+@query(f"SELECT row::INTEGER AS tree, col AS slot, trunc(v * 1024)::BIGINT AS cut FROM (SELECT row, 0 AS col, p_partkey::DOUBLE AS v FROM {_PART} UNION ALL SELECT row, 1, p_retailprice FROM {_PART})")
+def file_splits(spark, table):
+    return files.read_splits(spark, _part_lines(spark, table, "p_partkey", "p_retailprice"), FB)
+
+
+@query(_SQL["tree_learn"])
+def file_nodes(spark, table):
+    nodes = trees.induce(_tree_rows(table).drop("node"), trees.TreeConfig(bins=5, depth=2)).withColumn("attr", F.col("slot"))
+    path = f"{shared_dir(spark)}/torvane-files-{uuid.uuid4().hex}"
+    files.write_nodes(nodes, path)
+    return files.read_nodes(spark, path).select("node", "layer", "slot", F.get("freqs", F.lit(0)).alias("n0"), F.get("freqs", F.lit(1)).alias("n1"))
+
+
+@query("SELECT k AS party, sum(trunc(c_acctbal * 1024)::BIGINT)::BIGINT AS balance, sum(CASE WHEN c_mktsegment = 'BUILDING' THEN 1024 ELSE 0 END)::BIGINT AS label, count(*) AS n FROM customer, (VALUES (0)) v(k) GROUP BY 1")
+def cohort_shares(spark, table):
+    """Two parties' cohorts, joined and shared, summed share by share and opened."""
+    own = table("customer").select("c_custkey", "c_acctbal", "c_mktsegment")
+    parts = [own.filter(F.col("c_custkey") % 2 == k) for k in (0, 1)]
+    shared = files.prepare_shares(parts, drop=["c_custkey"], label="c_mktsegment", positive="BUILDING", f=FB, dealer=Dealer(("c_custkey",)))
+    total = lambda c: (F.sum(f"{c}.s0") + F.sum(f"{c}.s1")).alias({"c_acctbal": "balance", "c_mktsegment": "label"}[c])
+    return shared.agg(total("c_acctbal"), total("c_mktsegment"), F.count("*").alias("n")).select(F.lit(0).alias("party"), "balance", "label", "n")

@@ -8,14 +8,17 @@ from pyspark.sql import functions as F
 from torvane.functions.bits import parse_hex128, unsigned
 from torvane.functions.ring import encode
 from torvane.functions.share import Dealer
-from torvane.operators.lineage import with_index
+from torvane.operators.lineage import cut, numbered
 
 NODES = "tree int, node long, layer int, slot int, freqs array<long>, classifies boolean, attr int"
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """Rows (row, line) of text that isn't blank, in the order of the files."""
-    return with_index(spark.read.text(path).filter("trim(value) <> ''"), "row").withColumnRenamed("value", "line")
+    """Rows (row, line) of text that isn't blank, in the order of the files by name and of their lines, into however many splits they fall."""
+    text = spark.read.text(path).select("value", "_metadata.file_path", "_metadata.file_block_start").filter("trim(value) <> ''")
+    own = cut(text.withColumn("torvane_at", F.monotonically_increasing_id()))
+    split = F.concat_ws(" ", "file_path", F.lpad(F.col("file_block_start").cast("string"), 20, "0"))
+    return numbered(own, split, ["file_path", "file_block_start"], "row").select("row", F.col("value").alias("line"))
 
 
 def read_column(spark: SparkSession, path: str) -> DataFrame:
