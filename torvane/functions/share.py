@@ -16,8 +16,26 @@ from pyspark.sql import functions as F
 from torvane.functions.ring import big
 
 
-def pair(s0: Column, s1: Column) -> Column:
-    return F.struct(s0.cast("bigint").alias("s0"), s1.cast("bigint").alias("s1"))
+@dataclass(frozen=True)
+class Pair:
+    """The two parts of a share as expressions. A struct column of a frame serves as one too, as it has the same fields."""
+
+    s0: Column
+    s1: Column
+
+    def __getitem__(self, part: str) -> Column:
+        return getattr(self, part)
+
+    @property
+    def column(self) -> Column:
+        return F.struct(self.s0.alias("s0"), self.s1.alias("s1"))
+
+    def alias(self, name: str) -> Column:
+        return self.column.alias(name)
+
+
+def pair(s0: Column, s1: Column) -> Pair:
+    return Pair(s0.cast("bigint"), s1.cast("bigint"))
 
 
 class Held:
@@ -26,53 +44,53 @@ class Held:
     def __init__(self, rows: DataFrame):
         self.rows, self.own, self.n = rows, rows.columns, 0
 
-    def hold(self, *shares: Column) -> list[Column]:
+    def hold(self, *shares: Pair) -> list[Pair]:
         """The same shares, read from columns."""
         names = [f"torvane_{self.n + i}_" for i in range(len(shares))]
         self.n += len(shares)
-        self.rows = self.rows.withColumns({name + part: x.getField(part) for name, x in zip(names, shares, strict=True) for part in ("s0", "s1")})
-        return [pair(F.col(f"{name}s0"), F.col(f"{name}s1")) for name in names]
+        self.rows = self.rows.withColumns({name + part: x[part] for name, x in zip(names, shares, strict=True) for part in ("s0", "s1")})
+        return [Pair(F.col(f"{name}s0"), F.col(f"{name}s1")) for name in names]
 
     def done(self, **columns: Column) -> DataFrame:
         """The rows with these columns, and without what was held."""
         return self.rows.select(*self.own, *(c.alias(k) for k, c in columns.items()))
 
 
-def open_sum(s: Column) -> Column:
+def open_sum(s: Pair) -> Column:
     return s.s0 + s.s1
 
 
-def open_xor(s: Column) -> Column:
+def open_xor(s: Pair) -> Column:
     return s.s0.bitwiseXOR(s.s1)
 
 
-def add(x: Column, y: Column) -> Column:
+def add(x: Pair, y: Pair) -> Pair:
     return pair(x.s0 + y.s0, x.s1 + y.s1)
 
 
-def subtract(x: Column, y: Column) -> Column:
+def subtract(x: Pair, y: Pair) -> Pair:
     return pair(x.s0 - y.s0, x.s1 - y.s1)
 
 
-def scale(x: Column, by: int) -> Column:
+def scale(x: Pair, by: int) -> Pair:
     return pair(x.s0 * big(by), x.s1 * big(by))
 
 
-def constant(c: int) -> Column:
+def constant(c: int) -> Pair:
     """Public: party 1 holds it."""
     return pair(big(0), big(c))
 
 
-def negate01(x: Column) -> Column:
+def negate01(x: Pair) -> Pair:
     """1 - x."""
     return pair(-x.s0, big(1) - x.s1)
 
 
-def xor_shares(x: Column, y: Column) -> Column:
+def xor_shares(x: Pair, y: Pair) -> Pair:
     return pair(x.s0.bitwiseXOR(y.s0), x.s1.bitwiseXOR(y.s1))
 
 
-def truncate_local(x: Column, f: int) -> Column:
+def truncate_local(x: Pair, f: int) -> Pair:
     """Each party shifts its own share; the opened value is that of truncate() or one more, unless shares wrap (about |x| / 2 ** 64)."""
     return pair(-F.shiftrightunsigned(-x.s0, f), F.shiftrightunsigned(x.s1, f))
 
@@ -87,54 +105,54 @@ class Dealer:
     def random(self, *salt: str | Column) -> Column:
         return F.xxhash64(*(F.col(k) for k in self.keys), F.lit(self.seed), *(s if isinstance(s, Column) else F.lit(s) for s in salt))
 
-    def share(self, x: Column, *salt) -> Column:
+    def share(self, x: Column, *salt) -> Pair:
         r = self.random("share", *salt)
         return pair(r, x - r)
 
-    def share_bits(self, x: Column, *salt) -> Column:
+    def share_bits(self, x: Column, *salt) -> Pair:
         r = self.random("bits", *salt)
         return pair(r, x.bitwiseXOR(r))
 
-    def triple(self, *salt) -> tuple[Column, Column, Column]:
+    def triple(self, *salt) -> tuple[Pair, Pair, Pair]:
         """Additive shares of u, v and u * v."""
         u, v = self.random("u", *salt), self.random("v", *salt)
         split = lambda x, name: pair(self.random(name, *salt), x - self.random(name, *salt))
         return split(u, "u0"), split(v, "v0"), split(u * v, "w0")
 
-    def bit_triple(self, *salt) -> tuple[Column, Column, Column]:
+    def bit_triple(self, *salt) -> tuple[Pair, Pair, Pair]:
         """XOR shares of u, v and u & v."""
         u, v = self.random("bu", *salt), self.random("bv", *salt)
         split = lambda x, name: pair(self.random(name, *salt), x.bitwiseXOR(self.random(name, *salt)))
         return split(u, "bu0"), split(v, "bv0"), split(u.bitwiseAND(v), "bw0")
 
-    def multiply(self, x: Column, y: Column, *salt) -> Column:
+    def multiply(self, x: Pair, y: Pair, *salt) -> Pair:
         """Beaver's product: x - u and y - v are opened, nothing else."""
         u, v, w = self.triple(*salt)
         d, e = open_sum(subtract(x, u)), open_sum(subtract(y, v))
         return pair(w.s0 + d * v.s0 + u.s0 * e, w.s1 + d * v.s1 + u.s1 * e + d * e)
 
-    def multiply_bits(self, x: Column, y: Column, *salt) -> Column:
+    def multiply_bits(self, x: Pair, y: Pair, *salt) -> Pair:
         """The AND of XOR-shared bits."""
         u, v, w = self.bit_triple(*salt)
         d, e = open_xor(xor_shares(x, u)), open_xor(xor_shares(y, v))
         one = lambda k: w[k].bitwiseXOR(d.bitwiseAND(v[k])).bitwiseXOR(u[k].bitwiseAND(e))
         return pair(one("s0"), one("s1").bitwiseXOR(d.bitwiseAND(e)))
 
-    def xor01(self, x: Column, y: Column, *salt) -> Column:
+    def xor01(self, x: Pair, y: Pair, *salt) -> Pair:
         return subtract(add(x, y), scale(self.multiply(x, y, "xor", *salt), 2))
 
-    def or01(self, x: Column, y: Column, *salt) -> Column:
+    def or01(self, x: Pair, y: Pair, *salt) -> Pair:
         return subtract(add(x, y), self.multiply(x, y, "or", *salt))
 
-    def mux(self, bit: Column, x: Column, y: Column, *salt) -> Column:
+    def mux(self, bit: Pair, x: Pair, y: Pair, *salt) -> Pair:
         """y + bit * (x - y)."""
         return add(y, self.multiply(bit, subtract(x, y), "mux", *salt))
 
-    def bits_to_ring(self, b: Column, *salt) -> Column:
+    def bits_to_ring(self, b: Pair, *salt) -> Pair:
         """An XOR-shared bit as additive shares: s0 + s1 - 2 * s0 * s1, where each party shares its own bit."""
         return self.xor01(pair(b.s0.bitwiseAND(big(1)), big(0)), pair(big(0), b.s1.bitwiseAND(big(1))), "z2", *salt)
 
-    def bits(self, at: Held, x: Column, places: Sequence[int], *salt) -> list[Column]:
+    def bits(self, at: Held, x: Pair, places: Sequence[int], *salt) -> list[Pair]:
         """XOR shares of some bits of a shared value: both shares' bits and the carry into them. The carries into all places
         are found together, in as many rounds of word-wide shared ANDs as the highest place has binary digits."""
         one = lambda v, i: F.shiftrightunsigned(v, i).bitwiseAND(big(1))
@@ -149,17 +167,17 @@ class Dealer:
         carry = lambda v, p: one(v, p - 1) if p else big(0)
         return [pair(one(x.s0, p).bitwiseXOR(carry(g.s0, p)), one(x.s1, p).bitwiseXOR(carry(g.s1, p))) for p in places]
 
-    def geq(self, at: Held, x: Column, y: Column, p: int, *salt) -> Column:
+    def geq(self, at: Held, x: Pair, y: Pair, p: int, *salt) -> Pair:
         """XOR shares of 1 where x >= y, for differences below 2 ** p in size."""
         (b,) = self.bits(at, subtract(x, y), [p], "geq", *salt)
         return pair(b.s0, b.s1.bitwiseXOR(big(1)))
 
-    def equal_bits(self, at: Held, x: Column, y: Column, n: int, *salt) -> Column:
+    def equal_bits(self, at: Held, x: Pair, y: Pair, n: int, *salt) -> Pair:
         """XOR shares of 1 where the lowest n bits of two XOR-shared words agree: the AND of all bits of ~(x ^ y), halved step by step."""
         every = big((1 << n) - 1 if n < 64 else -1)
         return self.and_all(at, pair(x.s0.bitwiseXOR(y.s0).bitwiseAND(every), x.s1.bitwiseXOR(y.s1).bitwiseXOR(big(-1)).bitwiseAND(every)), n, *salt)
 
-    def and_all(self, at: Held, b: Column, n: int, *salt) -> Column:
+    def and_all(self, at: Held, b: Pair, n: int, *salt) -> Pair:
         """XOR shares of the AND of the lowest n bits; the higher ones of both shares must be 0."""
         while n > 1:
             (b,), half = at.hold(b), n // 2
@@ -171,7 +189,7 @@ class Dealer:
             b, n = pair(z.s0.bitwiseAND(low), z.s1.bitwiseAND(low)), n - half
         return b
 
-    def clipped_relu(self, at: Held, x: Column, f: int, p: int, *salt) -> Column:
+    def clipped_relu(self, at: Held, x: Pair, f: int, p: int, *salt) -> Pair:
         """Shares of clipped_relu: two comparisons, then two products."""
         half = 1 << (f - 1)
         (x,) = at.hold(x)

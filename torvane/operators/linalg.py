@@ -21,7 +21,7 @@ def shared_matmul(a: DataFrame, b: DataFrame, dealer: Dealer) -> DataFrame:
     """The same of shared v: masked operands are opened, and each party sums its part. dealer's keys: row, m, col."""
     left = a.select("row", F.col("col").alias("m"), F.col("v").alias("x"))
     right = b.select(F.col("row").alias("m"), "col", F.col("v").alias("y"))
-    z = left.join(right, "m").withColumn("z", dealer.multiply(F.col("x"), F.col("y"), "matmul"))
+    z = left.join(right, "m").withColumn("z", dealer.multiply(F.col("x"), F.col("y"), "matmul").column)
     return z.groupBy("row", "col").agg(pair(F.sum("z.s0"), F.sum("z.s1")).alias("v"))
 
 

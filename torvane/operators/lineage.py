@@ -57,6 +57,6 @@ def numbered(rows: DataFrame, part: Column, order: list[str], name: str) -> Data
     return rows.join(F.broadcast(starts), "torvane_part").withColumn(name, F.col("torvane_first") + F.col("torvane_at"))
 
 
-def broadcast_if_small(df: DataFrame, rows: int = 1 << 20) -> DataFrame:
+def broadcast_if_small(df: DataFrame, rows: int = 1 << 17) -> DataFrame:
     """A table for a join, broadcast if it has at most so many rows; else Spark chooses. df is counted, so it should be cheap to read."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

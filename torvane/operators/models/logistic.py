@@ -24,9 +24,10 @@ def learn(rows: DataFrame, features: list[str], label: str, *, f: int, rate: int
         # rows alike are one, with a count: sums in the ring are the same in any order
         rows = rows.groupBy(*features, label).agg(F.count("*").alias("torvane_n")).persist()
         try:
+            own = rows.coalesce(max(1, rows.count() >> 20))  # a task for a million of them, so that a small table needs no shuffle in a round
             for _ in range(rounds):
                 d = F.col("torvane_n") * (F.col(label) - response(features, weights, f))
-                g = rows.select(*features, d.alias("d")).agg(*(truncate(F.sum(F.col(x) * F.col("d")), f).alias(x) for x in features)).first()
+                g = own.select(*features, d.alias("d")).agg(*(truncate(F.sum(F.col(x) * F.col("d")), f).alias(x) for x in features)).first()
                 weights = [w + ((rate * (g[x] or 0)) >> f) for w, x in zip(weights, features, strict=True)]
         finally:
             rows.unpersist()
