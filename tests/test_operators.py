@@ -179,7 +179,7 @@ def test_forests_learn_and_survive_json(spark, labelled, tmp_path):
     files.write_nodes(forest.nodes, f"{tmp_path}/nodes")
     forest.nodes = files.read_nodes(spark, f"{tmp_path}/nodes")
     assert trees.votes(labelled, forest, "id").count() == 400
-    extra = trees.train_extra_trees(labelled, columns, "label", trees.TreeConfig(depth=4, epsilon=0.0), f=10, trees=7, features=3, seed=2)
+    extra = trees.train_extra_trees(labelled, columns, "label", trees.TreeConfig(depth=4, epsilon=0.0), f=10, trees=30, features=3, seed=2)
     assert trees.accuracy(trees.votes(labelled, extra, "id", soft=True), labelled, "id", "label").first().accuracy > 0.8
 
 
