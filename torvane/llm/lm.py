@@ -29,7 +29,7 @@ VOCABULARY = CLASSES * IN_CLASS
 #: Words whose counts are broadcast, at most (4 MB); the others' are joined.
 HEAVY = 1 << 18
 #: Training: rounds, each over its own part of the documents, streams side by side, steps of backpropagation, learning rate.
-ROUNDS, STREAMS, STEPS, RATE = 2, 64, 16, 0.01
+ROUNDS, STREAMS, STEPS, RATE = 2, 128, 16, 0.01
 #: Tokens of a shard, about: their number grows with the corpus.
 SHARD = 1 << 21
 #: Weights are summed up as whole numbers of this part, in which no order of additions shows.
