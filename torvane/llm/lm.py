@@ -30,6 +30,8 @@ VOCABULARY = CLASSES * IN_CLASS
 HEAVY = 1 << 18
 #: Training: rounds, each over its own part of the documents, streams side by side, steps of backpropagation, learning rate.
 ROUNDS, STREAMS, STEPS, RATE = 2, 128, 16, 0.01
+#: Updates that a pass over few symbols makes at least, if need be with fewer streams.
+LEAST = 64
 #: Tokens of a shard, about: their number grows with the corpus.
 SHARD = 1 << 21
 #: Weights are summed up as whole numbers of this part, in which no order of additions shows.
@@ -202,7 +204,7 @@ class _Adam:
 
 def train_on(net: Network, symbols: np.ndarray, adam: _Adam, streams: int = STREAMS) -> float:
     """One pass over texts that follow each other, each closed by END. Returns the sum of losses."""
-    streams = max(1, min(streams, len(symbols) // (2 * STEPS)))
+    streams = max(1, min(streams, len(symbols) // (LEAST * STEPS)))
     size = len(symbols) // streams
     if size < 1:
         return 0.0
