@@ -27,7 +27,7 @@ def test_query_is_its_sql(spark, name):
 
 
 def test_one_query_for_each_operator():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 14))
     assert set(queries.queries()) | {"pipeline"} <= set(entry.queries())
 
 

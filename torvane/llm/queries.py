@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from torvane.llm import chat, jaccard, langid, license, lm, mixing, resample, rules, suffixes, winnow
+from torvane.llm import align, chat, jaccard, langid, license, lm, mixing, phrases, resample, rules, runs, suffixes, winnow
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +60,23 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str, tokenizer: str | None
     return chat.read_back(formatted, path=tokenizer, pattern=pattern).drop("n_tokens")
 
 
+def op11_cross_tokenizer(spark: SparkSession, sf_dir: str, path_a: str | None = None, pattern: str | None = None, path_b: str | None = None) -> DataFrame:
+    if path_a is None:
+        import public_tokenizers
+
+        path_a, pattern, path_b = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, public_tokenizers.path("piece_bpe_32k.model")
+    return align.aligned(table(spark, sf_dir, "documents"), path_a=path_a, pattern=pattern, path_b=path_b)
+
+
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = phrases.without_copies(table(spark, sf_dir, "documents"), span=50)
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digest(runs.periodic_runs(table(spark, sf_dir, "documents"), least=12, plant=True))
+
+
 def queries():
     return {
         "op1_suffix_dedup": op1_suffix_dedup,
@@ -72,6 +89,9 @@ def queries():
         "op8_quality_rules": op8_quality_rules,
         "op9_decontamination": op9_decontamination,
         "op10_chat_formatting": op10_chat_formatting,
+        "op11_cross_tokenizer": op11_cross_tokenizer,
+        "op12_substring_dedup": op12_substring_dedup,
+        "op13_periodic_runs": op13_periodic_runs,
     }
 
 
