@@ -260,3 +260,43 @@ def test_contamination_is_the_brute_force_one(spark, rows):
     assert sorted(r.doc_id or -1 for r in kept.collect()) == sorted(x[0] for x in got if not x[-1])
     assert not winnow.contamination(frame(spark, docs), b.limit(0)).filter("contaminated").count()
     assert winnow.contamination(frame(spark, []), b).collect() == []
+
+
+def test_links_through_rows_without_an_id(spark):
+    """Two documents that only a row without an id links are one component, and so are those of two such rows."""
+    w = [f"w{i}" for i in range(100)]
+    few = [f"v{i}" for i in range(100)]
+    rows = [(1, " ".join(w[:88])), (2, " ".join(w[12:])), (None, " ".join(w)), (7, " ".join(few[:88])), (None, " ".join(few)), (None, " ".join(few[12:])), (None, "alone in the table here")]
+    got = jaccard.similar_components(frame(spark, rows)).collect()
+    assert sorted((r.doc_id or -1, r.n_shingles, r.component_id or -1) for r in got) == [(-1, 1, -1), (-1, 84, 7), (-1, 96, 1), (-1, 96, 7), (1, 84, 1), (2, 84, 1), (7, 84, 7)]
+
+
+@pytest.mark.parametrize("num", [30, 40, 80])
+def test_low_thresholds_compare_all_widths(spark, num):
+    """Sets within others of up to three times their size: bitmaps that differ by more than a factor of two are compared in large blocks as well."""
+    r = random.Random(num)
+    texts = []
+    for _ in range(6):
+        words = [f"w{r.random()}" for _ in range(420)]
+        texts += [" ".join(words[: 4 + int(416 * r.uniform(0.2, 1))]) for _ in range(14)]
+    sets, head = [shingles(t) for t in texts], list(range(len(texts)))
+    for b in range(len(sets)):
+        for a in range(b):
+            if head[a] != head[b] and 100 * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b]):
+                x, y = sorted((head[a], head[b]))
+                head = [x if h == y else h for h in head]
+    got = {r.doc_id: r.component_id for r in jaccard.similar_components(frame(spark, list(enumerate(texts))), num=num).collect()}
+    assert got == dict(enumerate(head))
+
+
+def test_blocks_of_nested_sets_at_a_low_threshold():
+    r = np.random.default_rng(4)
+    sets = []
+    for _ in range(150):
+        s = np.unique(r.integers(0, 1 << 62, 150, dtype=np.uint64))
+        sets += [s[:64], s]
+    n, sig = np.array([len(s) for s in sets]), [jaccard.signature(s) for s in sets]
+    assert {len(b) // len(a) for a, b in zip(sig[::2], sig[1::2], strict=True)} == {4}
+    block = {"node": np.arange(len(sets)), "n": n, "rest": n, "sig": np.array([*sig, None], object)[:-1], "width": np.array([len(s) for s in sig]), "comp": np.arange(len(sets)), "side": np.ones(len(sets), np.int64)}
+    label, _ = jaccard.joined_in_block(block, 40, 100)
+    assert (label[::2] == label[1::2]).all()

@@ -357,7 +357,7 @@ def joined_in_block(c: dict[str, np.ndarray], num: int, den: int) -> tuple[np.nd
                 by[width, side] = Tree(own, c["n"][own], c["rest"][own], c["n"][own], sig)
     for (w, s), x in by.items():
         for (v, r), y in by.items():
-            if s + r and w <= v <= 2 * w and (w < v or s >= r):
+            if s + r and w <= v and num * v <= 2 * den * w and (w < v or s >= r):  # widths of sets whose sizes may fit
                 traverse(x, y, label, num, den)
     return label, first
 
@@ -443,12 +443,13 @@ def _links(num: int, den: int):
     return run
 
 
-def _wanted_sets(k: int, wanted):
+def _wanted_sets(k: int, wanted, nameless: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
+            none = batch.column("doc_id").is_null().to_numpy(zero_copy_only=False)
             ids = batch.column("doc_id").fill_null(0).to_numpy()
-            near = np.flatnonzero(wanted.value.has(tn.mix(ids.astype(np.int64).view(np.uint64))))
+            near = np.flatnonzero(np.where(none, nameless, wanted.value.has(tn.mix(ids.astype(np.int64).view(np.uint64)))))
             if not len(near):
                 continue
             nodes, sets = [], []
@@ -468,9 +469,10 @@ def _mixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _whole_sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
-    """Rows (node, s) of the nodes (node, doc_id), their sets built again from the texts."""
-    wanted = docs.sparkSession.sparkContext.broadcast(bitmap(nodes.select("doc_id").mapInArrow(_mixed, "h long"), "h"))
-    sets = docs.select("doc_id", "text").mapInArrow(_wanted_sets(k, wanted), "node long, s binary")
+    """Rows (node, s) of the nodes (node, doc_id), their sets built again from the texts: of documents with such an id, and of all without one if a node has none."""
+    wanted = docs.sparkSession.sparkContext.broadcast(bitmap(nodes.filter("doc_id is not null").select("doc_id").mapInArrow(_mixed, "h long"), "h"))
+    nameless = not nodes.filter("doc_id is null").isEmpty()
+    sets = docs.select("doc_id", "text").mapInArrow(_wanted_sets(k, wanted, nameless), "node long, s binary")
     return cut(sets.join(nodes.select("node"), "node", "left_semi").groupBy("node").agg(F.first("s").alias("s")))
 
 
@@ -526,7 +528,7 @@ def similar_components(docs: DataFrame, *, k: int = 5, num: int = 80, den: int =
     Documents are linked when den * |common shingles| >= num * |all shingles of both|. A document of fewer than k words
     has its whole sequence as one shingle; one without words (or with a null text) has none, is linked with nothing and
     is its own component. component_id is the smallest doc_id that links reach. Repeated rows are linked like any copies
-    and all returned; a null doc_id keeps its row, never names a component, and gets that of its equals (null if none).
+    and all returned; a null doc_id keeps its row, links like any other, never names a component, and gets that of what it links (null if none has an id).
     An empty table gives no rows.
     """
     spark = docs.sparkSession
@@ -553,7 +555,7 @@ def similar_components(docs: DataFrame, *, k: int = 5, num: int = 80, den: int =
 
     inside = cut(clusters.join(classes.select("node", "doc_id", "n"), "node").select(F.col("comp").alias("token"), "node", "doc_id", "n"))
     sizes = cut(inside.groupBy("token").agg(chunks(F.count("*"), F.sum("n")).alias("q")).filter("q > 1"))
-    sets = _whole_sets(docs, inside.filter("doc_id is not null"), k)
+    sets = _whole_sets(docs, inside, k)
     rows = inside.join(sizes.withColumnRenamed("token", "t"), F.col("token") == F.col("t"), "left").select("token", "node", F.col("t").isNotNull().alias("big"))
     done += [clusters, inside, sizes, sets]
     edges = _resolved(rows, sizes, lambda rows: rows.join(sets, "node"), _links(num, den), done)
