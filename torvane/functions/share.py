@@ -95,6 +95,10 @@ def truncate_local(x: Pair, f: int) -> Pair:
     return pair(-F.shiftrightunsigned(-x.s0, f), F.shiftrightunsigned(x.s1, f))
 
 
+def _place(v: Column, p: int) -> Column:
+    return F.shiftrightunsigned(v, p).bitwiseAND(big(1))
+
+
 @dataclass(frozen=True)
 class Dealer:
     """Shares and correlated randomness for rows that differ in keys; each use takes a salt of its own."""
@@ -152,20 +156,39 @@ class Dealer:
         """An XOR-shared bit as additive shares: s0 + s1 - 2 * s0 * s1, where each party shares its own bit."""
         return self.xor01(pair(b.s0.bitwiseAND(big(1)), big(0)), pair(big(0), b.s1.bitwiseAND(big(1))), "z2", *salt)
 
-    def bits(self, at: Held, x: Pair, places: Sequence[int], *salt) -> list[Pair]:
-        """XOR shares of some bits of a shared value: both shares' bits and the carry into them. The carries into all places
-        are found together, in as many rounds of word-wide shared ANDs as the highest place has binary digits."""
-        one = lambda v, i: F.shiftrightunsigned(v, i).bitwiseAND(big(1))
+    def carries(self, at: Held, x: Pair, places: int, *salt) -> Pair:
+        """XOR shares of the carries out of the lowest places of a shared value, where its two shares are added: all places
+        together, in as many rounds of word-wide shared ANDs as the highest place has binary digits."""
         up = lambda v, d: pair(F.shiftleft(v.s0, d), F.shiftleft(v.s1, d))
-        (x,) = at.hold(x)
         # all places at once: g has those that make a carry, q those that pass one on, over runs twice as long each time
         (g,), q, d = at.hold(self.multiply_bits(pair(x.s0, big(0)), pair(big(0), x.s1), "make", *salt)), x, 1
-        while d < max(places):
+        while d < places:
             more = self.multiply_bits(q, up(g, d), "carry", str(d), *salt)
             g, q = at.hold(xor_shares(g, more), self.multiply_bits(q, up(q, d), "pass", str(d), *salt))
             d *= 2
-        carry = lambda v, p: one(v, p - 1) if p else big(0)
-        return [pair(one(x.s0, p).bitwiseXOR(carry(g.s0, p)), one(x.s1, p).bitwiseXOR(carry(g.s1, p))) for p in places]
+        return g
+
+    def bits(self, at: Held, x: Pair, places: Sequence[int], *salt) -> list[Pair]:
+        """XOR shares of some bits of a shared value: both shares' bits and the carry into them."""
+        (x,) = at.hold(x)
+        g = self.carries(at, x, max(places), *salt)
+        carry = lambda v, p: _place(v, p - 1) if p else big(0)
+        return [pair(_place(x.s0, p).bitwiseXOR(carry(g.s0, p)), _place(x.s1, p).bitwiseXOR(carry(g.s1, p))) for p in places]
+
+    def truncate(self, at: Held, x: Pair, f: int, *salt) -> Pair:
+        """Shares of a signed value without its lowest f bits, rounded down: exactly what ring.truncate() gives.
+
+        Both parties cut their own share, and add the carry out of the bits that are cut; where the shares as unsigned numbers pass 2 ** 64,
+        and where the value is negative, 2 ** (64 - f) goes.
+        """
+        (x,) = at.hold(x)
+        g = self.carries(at, x, 64, "cut", *salt)
+        low = pair(_place(g.s0, f - 1), _place(g.s1, f - 1))
+        over = pair(_place(g.s0, 63), _place(g.s1, 63))
+        sign = pair(_place(x.s0, 63).bitwiseXOR(_place(g.s0, 62)), _place(x.s1, 63).bitwiseXOR(_place(g.s1, 62)))
+        low, over, sign = at.hold(*(self.bits_to_ring(b, name, *salt) for b, name in ((low, "low"), (over, "over"), (sign, "sign"))))
+        one = lambda k: F.shiftrightunsigned(x[k], f) + low[k] - F.shiftleft(over[k] + sign[k], 64 - f)
+        return pair(one("s0"), one("s1"))
 
     def geq(self, at: Held, x: Pair, y: Pair, p: int, *salt) -> Pair:
         """XOR shares of 1 where x >= y, for differences below 2 ** p in size."""

@@ -28,8 +28,8 @@ def product(x: Column) -> Column:
 
 
 def long_product(rows: DataFrame, keys: list[str], x: str) -> DataFrame:
-    """Rows (keys, product) for groups of any size: pieces of a group, dealt by a hash, are multiplied first."""
-    salt = F.pmod(F.xxhash64(F.col(x), F.monotonically_increasing_id()), F.lit(64))
+    """Rows (keys, product) for groups of any size: pieces of a group, dealt by a hash of the rows' columns, are multiplied first; pass columns that tell rows of a large group apart."""
+    salt = F.pmod(F.xxhash64(*rows.columns), F.lit(64))
     pieces = rows.groupBy(*keys, salt.alias("torvane_salt")).agg(product(F.col(x)).alias("p"))
     return pieces.groupBy(*keys).agg(product(F.col("p")).alias("product"))
 
@@ -55,7 +55,21 @@ def first_argmax(score: Column, index: Column) -> Column:
     return -F.max(F.struct(score.alias("score"), (-index).alias("index"))).getField("index")
 
 
+def ratio_key(n: Column, d: Column) -> Column:
+    """What orders as n / d does, exactly, for any longs n and d > 0, and is equal for equal ratios: the whole part and 126 binary digits.
+
+    Two ratios that differ do so by 1 / (d * d') at least, which is more than 2 ** -126. Digits come from long division in decimals of 38 places, in
+    which what is left of n times 2 ** 63 is exact.
+    """
+    wide = lambda c: c.cast("decimal(19,0)")
+    scale = F.lit(str(1 << 63)).cast("decimal(19,0)")
+    rest = F.pmod(n, d)
+    whole = F.call_function("div", wide(n) - wide(rest), wide(d))
+    first = F.call_function("div", wide(rest) * scale, wide(d))
+    rest = ((wide(rest) * scale) % wide(d)).cast("decimal(19,0)")
+    return F.struct(whole.cast("bigint").alias("whole"), first.cast("bigint").alias("first"), F.call_function("div", rest * scale, wide(d)).cast("bigint").alias("second"))
+
+
 def first_argmax_ratio(rows: DataFrame, keys: list[str], n: str, d: str, index: str) -> DataFrame:
-    """Rows (keys, index) with the largest n / d (d > 0), compared by cross products in decimals; the least index on ties."""
-    exact = (F.col(n).cast("decimal(38,0)") / F.col(d).cast("decimal(19,0)")).alias("score")
-    return rows.groupBy(*keys).agg(first_argmax(exact, F.col(index)).alias(index))
+    """Rows (keys, index) with the largest n / d (d > 0), in exact order; the least index on ties."""
+    return rows.groupBy(*keys).agg(first_argmax(ratio_key(F.col(n), F.col(d)), F.col(index)).alias(index))

@@ -42,7 +42,9 @@ def release(*tables: DataFrame | None) -> None:
 def with_index(df: DataFrame, name: str = "i") -> DataFrame:
     """df with a column that counts its rows from 0, in their order: partition by partition. Only a count for each partition is collected."""
     own = cut(df.withColumn("torvane_at", F.monotonically_increasing_id()))
-    return numbered(own, F.shiftright("torvane_at", 33), ["torvane_part"], name).select(*df.columns, name)
+    out = numbered(own, F.shiftright("torvane_at", 33), ["torvane_part"], name).select(*df.columns, name)
+    out.torvane_path = own.torvane_path  # release(out) deletes what was written
+    return out
 
 
 def numbered(rows: DataFrame, part: Column, order: list[str], name: str) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from torvane.functions.ring import big, clipped_relu, ring, truncate
+from torvane.functions.share import Dealer, Held, Pair, open_sum, pair, scale, subtract
+from torvane.operators.lineage import cut, release
 
 
 def response(features: list[str], weights: list[int], f: int) -> Column:
@@ -34,6 +36,64 @@ def learn(rows: DataFrame, features: list[str], label: str, *, f: int, rate: int
     return weights
 
 
+def _wrapped(x: int) -> int:
+    return (x + (1 << 63)) % (1 << 64) - (1 << 63)
+
+
+def learn_shared(rows: DataFrame, features: list[str], label: str, dealer: Dealer, *, f: int, rate: int, rounds: int, top: int) -> list[tuple[int, int]]:
+    """Shares of the weights that learn() gives, from rows (dealer's keys, features, label) whose features and label are shares.
+
+    Features are opened once, under a mask that every round uses; weights and differences get masks of their own each round. Products are cut exactly, so the
+    weights open to learn()'s. A round is one job, of which only shares of the steps reach the driver. Weighted sums must be below 2 ** top in size once cut.
+    """
+    spark, weights = rows.sparkSession, [(0, 0)] * len(features)
+    with ring(spark):
+        u = {x: dealer.share(dealer.random("mask", x), "mask", x) for x in features}
+        table = cut(rows.select(*dealer.keys, *(open_sum(subtract(F.col(x), u[x])).alias(f"e_{x}") for x in features), *(u[x].alias(f"u_{x}") for x in features), F.col(label).alias("y")))
+        own = table.coalesce(max(1, spark.sparkContext.defaultParallelism))
+        named = [f"{kind}_{x}" for x in features for kind in ("f", "v0", "v1")]
+        for k in range(rounds):
+            name = f"round{k}"
+            # each weight less its mask is public; the mask stays as two shares
+            seeds = spark.range(1).select(*(F.xxhash64(F.lit(dealer.seed), F.lit(name), F.lit(i)).alias(f"c{i}") for i in range(2 * len(features)))).first()
+            row = []
+            for i, (w0, w1) in enumerate(weights):
+                v0, v1 = seeds[2 * i], seeds[2 * i + 1]
+                row += [_wrapped(w0 + w1 - v0 - v1), v0, v1]
+            public = spark.createDataFrame([tuple(row)], ", ".join(f"{c} long" for c in named))
+            at = Held(own.crossJoin(F.broadcast(public)))
+            of = lambda x: (F.col(f"e_{x}"), F.col(f"u_{x}"), F.col(f"f_{x}"), Pair(F.col(f"v0_{x}"), F.col(f"v1_{x}")))
+            z0, z1, dealt = big(0), big(0), big(0)
+            for x in features:
+                e, mask, open_w, v = of(x)
+                z0 = z0 + e * v.s0 + mask.s0 * open_w
+                z1 = z1 + e * v.s1 + mask.s1 * open_w + e * open_w
+                dealt = dealt + open_sum(mask) * open_sum(v)
+            r = dealer.random("scores", name)
+            (z,) = at.hold(dealer.truncate(at, pair(z0 + r, z1 + dealt - r), f, name, "scores"))
+            (d,) = at.hold(subtract(F.col("y"), dealer.clipped_relu(at, z, f, top, name)))
+            t = dealer.share(dealer.random("difference", name), "difference", name)
+            (t,) = at.hold(t)
+            rows_of = at.done(d=open_sum(subtract(d, t)), t=t.column)
+            step = []
+            for i, x in enumerate(features):
+                e, mask, _, _ = of(x)
+                part = lambda s, e=e, mask=mask: e * F.col(f"t.{s}") + mask[s] * F.col("d")
+                step += [F.sum(part("s0")).alias(f"s0_{i}"), F.sum(part("s1") + e * F.col("d")).alias(f"s1_{i}"), F.sum(open_sum(mask) * (F.col("t.s0") + F.col("t.s1"))).alias(f"w_{i}")]
+            at = Held(rows_of.agg(*step).withColumns({k: F.lit(0).cast("bigint") for k in dealer.keys}))
+            moves = {}
+            for i in range(len(features)):
+                r = F.xxhash64(F.lit(dealer.seed), F.lit(name), F.lit("step"), F.lit(i))
+                g = pair(F.col(f"s0_{i}") + r, F.col(f"s1_{i}") + F.col(f"w_{i}") - r)
+                g = dealer.truncate(at, g, f, name, f"gradient{i}")
+                moves[f"m_{i}"] = dealer.truncate(at, scale(g, rate), f, name, f"step{i}").column
+            got = at.done(**moves).first()
+            if got["m_0"]["s0"] is not None:  # no rows leave weights as they are
+                weights = [(_wrapped(w0 + got[f"m_{i}"]["s0"]), _wrapped(w1 + got[f"m_{i}"]["s1"])) for i, (w0, w1) in enumerate(weights)]
+        release(table)
+    return weights
+
+
 def predict(rows: DataFrame, features: list[str], weights: list[int], f: int) -> DataFrame:
     """rows with a column predicted: 1 where the response reaches a half."""
     with ring(rows.sparkSession):

@@ -7,8 +7,11 @@ bins * k + b + 1. The node table has at most trees * bins ** depth rows.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
+from fractions import Fraction
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,20 +47,45 @@ def contingency(rows: DataFrame) -> DataFrame:
     return cells.groupBy("tree", "node", "slot", "bin", "label").agg(F.count("*").alias("n"))
 
 
+def ratio_key(x: Fraction) -> bytes:
+    """Bytes that order as non-negative ratios do, exactly, and are equal for equal ones: the continued fraction, every second term turned round.
+
+    A term is how many bytes it has and these, so longer ones are larger. The end stands for a term beyond all others.
+    """
+    out, n, d, turned = [], x.numerator, x.denominator, False
+    while d:
+        q, r = divmod(n, d)
+        size = (q.bit_length() + 7) // 8
+        term = size.to_bytes(2) + q.to_bytes(size)
+        out.append(bytes(255 - b for b in term) if turned else term)
+        n, d, turned = d, r, not turned
+    return b"".join([*out, b"\0\0" if turned else b"\xff\xff"])
+
+
+def _scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sums = [sum((Fraction(int(s), y) for s, y in zip(*cells, strict=True)), Fraction(0)) for cells in zip(batch.column("squares").to_pylist(), batch.column("sizes").to_pylist(), strict=True)]
+        own = [batch.column(c) for c in ("tree", "node", "slot")]
+        yield pa.record_batch([*own, pa.array([x.numerator * 1024 // x.denominator for x in sums], pa.int64()), pa.array(map(ratio_key, sums), pa.binary())], names=["tree", "node", "slot", "score", "key"])
+
+
 def gini_scores(counts: DataFrame) -> DataFrame:
-    """Rows (tree, node, slot, score) from contingency(): the sum over bins of class counts squared over one more than the bin's rows.
+    """Rows (tree, node, slot, score, key) from contingency(): the sum over bins of class counts squared over one more than the bin's rows.
 
-    Larger is purer. Each bin's part is cut to a whole number of 1024ths, so that sums are exact and equal splits tie
-    whatever the order of additions.
+    Larger is purer. key has the exact order of the sums as ratios of whole numbers of any size, so equal splits tie and no others; score is the sum in whole
+    1024ths, rounded down. What is scored is a row for each slot of a node, after all rows are counted.
     """
-    part = F.floor(F.sum(F.col("n") * F.col("n")).cast("double") * 1024.0 / (F.sum("n") + 1).cast("double")).cast("bigint")
-    by_bin = counts.groupBy("tree", "node", "slot", "bin").agg(part.alias("part"))
-    return by_bin.groupBy("tree", "node", "slot").agg(F.sum("part").alias("score"))
+    wide = F.col("n").cast("decimal(19,0)")
+    by_bin = counts.groupBy("tree", "node", "slot", "bin").agg(F.sum((wide * wide).cast("decimal(38,0)")).alias("squares"), (F.sum("n") + 1).alias("size"))
+    cells = F.sort_array(F.collect_list(F.struct("bin", "squares", "size")))
+    slots = by_bin.groupBy("tree", "node", "slot").agg(cells.alias("cells")).select("tree", "node", "slot", F.col("cells.squares").cast("array<string>").alias("squares"), F.col("cells.size").alias("sizes"))
+    kinds = {f.name: f.dataType.simpleString() for f in slots.schema}
+    return slots.mapInArrow(_scored, f"tree {kinds['tree']}, node {kinds['node']}, slot {kinds['slot']}, score long, key binary")
 
 
 def best_slots(scores: DataFrame) -> DataFrame:
-    """Rows (tree, node, slot): the first slot with the largest score."""
-    return scores.groupBy("tree", "node").agg(first_argmax(F.col("score"), F.col("slot")).cast("int").alias("slot"))
+    """Rows (tree, node, slot): the first slot with the largest score, in the exact order of key."""
+    return scores.groupBy("tree", "node").agg(first_argmax(F.col("key"), F.col("slot")).cast("int").alias("slot"))
 
 
 def induce(rows: DataFrame, config: TreeConfig) -> DataFrame:

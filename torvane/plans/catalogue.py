@@ -17,8 +17,8 @@ from torvane.functions.ring import big, ring
 from torvane.functions.share import Dealer, Held
 from torvane.operators import aggregates as ag
 from torvane.operators import discretize as dz
-from torvane.operators import linalg, packing, sets
-from torvane.operators.lineage import cut, shared_dir, with_index
+from torvane.operators import linalg, packing, sets, shared
+from torvane.operators.lineage import cut, release, shared_dir, with_index
 from torvane.operators.models import logistic, naive_bayes, trees
 from torvane.sources import files
 
@@ -311,10 +311,53 @@ def argmax_first(spark, table):
     return table("orders").groupBy("o_custkey").agg(ag.first_argmax((F.col("o_totalprice") / 50000).cast("bigint"), F.col("o_orderkey")).alias("first_best"))
 
 
-@query("SELECT l_returnflag, arg_max(p, (s, -p)) AS p FROM (SELECT l_returnflag, l_partkey AS p, sum(trunc(l_extendedprice)::BIGINT)::DECIMAL(38, 0) / sum(trunc(l_quantity)::BIGINT)::DECIMAL(19, 0) AS s FROM lineitem GROUP BY 1, 2) GROUP BY 1")
+_RATIOS = "(SELECT l_returnflag, l_partkey AS p, sum(trunc(l_extendedprice)::BIGINT)::HUGEINT AS n, sum(trunc(l_quantity)::BIGINT)::HUGEINT AS d FROM lineitem GROUP BY 1, 2)"
+_BEST = f"SELECT a.l_returnflag, a.p FROM {_RATIOS} a WHERE NOT EXISTS (SELECT 1 FROM {_RATIOS} b WHERE b.l_returnflag = a.l_returnflag AND (b.n * a.d > a.n * b.d OR b.n * a.d = a.n * b.d AND b.p < a.p))"
+
+
+def _part_ratios(table) -> DataFrame:
+    return table("lineitem").groupBy("l_returnflag", F.col("l_partkey").alias("p")).agg(F.sum(F.col("l_extendedprice").cast("bigint")).alias("n"), F.sum(F.col("l_quantity").cast("bigint")).alias("d"))
+
+
+@query(_BEST)
 def argmax_ratio(spark, table):
-    by = table("lineitem").groupBy("l_returnflag", F.col("l_partkey").alias("p")).agg(F.sum(F.col("l_extendedprice").cast("bigint")).alias("n"), F.sum(F.col("l_quantity").cast("bigint")).alias("d"))
-    return ag.first_argmax_ratio(by, ["l_returnflag"], "n", "d", "p")
+    return ag.first_argmax_ratio(_part_ratios(table), ["l_returnflag"], "n", "d", "p")
+
+
+@query(f"SELECT r.l_returnflag, r.p, (b.p IS NOT NULL)::BIGINT AS hot FROM {_RATIOS} r LEFT JOIN ({_BEST}) b USING (l_returnflag, p)")
+def argmax_ratio_shared(spark, table):
+    """Which part has the largest ratio, told as shares of a one-hot vector over all parts of a flag."""
+    d = Dealer(("l_returnflag", "p"))
+    rows = _part_ratios(table).select("l_returnflag", "p", d.share(F.col("n"), "n").alias("n"), d.share(F.col("d"), "d").alias("d"))
+    hot = shared.argmax_ratio(rows, ["l_returnflag"], "p", "n", "d", Dealer(()), TOP)
+    return hot.select("l_returnflag", "p", share.open_sum(F.col("hot")).alias("hot"))
+
+
+def _long_features(table) -> tuple[DataFrame, DataFrame]:
+    """Rows (i, col, v) of shared features by position, and what to release."""
+    rows = with_index(_features(table), shared.I)
+    cells = rows.select(shared.I, F.inline(F.array(*(F.struct(F.lit(c).alias("col"), F.col(c).alias("v")) for c in FEATURES))))
+    return cells.select("col", shared.I, Dealer(("col", shared.I)).share(F.col("v"), "v").alias("v")), rows
+
+
+@query(_SQL["min_max"])
+def min_max_shared(spark, table):
+    """Of every column, by a tree of shared comparisons over all rows."""
+    cells, written = _long_features(table)
+    found = shared.min_max(cells, ["col"], "v", Dealer(()), TOP)
+    release(written)
+    return found.select("col", share.open_sum(F.col("lo")).alias("lo"), share.open_sum(F.col("hi")).alias("hi"))
+
+
+@query(_SQL["products"])
+def products_shared(spark, table):
+    """Of all rows of every order, by a tree of shared products."""
+    rows = table("lineitem").select(F.col("l_orderkey").alias("o_orderkey"), (F.col("l_linenumber").cast("bigint") + 1).alias("v"))
+    placed = shared.positions(rows, ["o_orderkey"], ["v"])
+    d = Dealer(("o_orderkey", shared.I))
+    found = shared.products(placed.select("o_orderkey", shared.I, d.share(F.col("v"), "v").alias("v")), ["o_orderkey"], "v", Dealer(()))
+    release(placed)
+    return found.select("o_orderkey", share.open_sum(F.col("v")).alias("product"))
 
 
 # Linear algebra, over embeddings as a matrix
@@ -355,6 +398,16 @@ def batch_matmul(spark, table):
     return linalg.matmul(_matrix(table), _weights(spark, 3), batch=True)
 
 
+@query(f"SELECT k, a.row, b.col, sum(a.v * b.v)::BIGINT AS v FROM {_CELLS} a JOIN (SELECT k, i AS row, j AS col, (i * 7 + j * 3 + k) % 11 - 5 AS v FROM range(4) c(k), range(64) a(i), range(8) b(j)) b ON a.col = b.row GROUP BY 1, 2, 3")
+def matmul_masked(spark, table):
+    """Two batches of products with one matrix, which is opened under its mask once."""
+    a, b = Dealer(("row", "col")), Dealer(("k", "row", "col"), 2)
+    once = shared.masked(_matrix(table).select("row", "col", a.share(F.col("v"), "a").alias("v")), Dealer(("row", "m")))
+    weights = _weights(spark, 4).select("k", "row", "col", b.share(F.col("v"), "b").alias("v"))
+    parts = [shared.matmul_masked(once, weights.filter(own), Dealer(()), name, batch=True) for own, name in ((F.col("k") < 2, "first"), (F.col("k") >= 2, "second"))]
+    return parts[0].unionByName(parts[1]).select("k", "row", "col", share.open_sum(F.col("v")).alias("v"))
+
+
 @query(f"SELECT col AS row, row AS col, v FROM {_CELLS}")
 def transpose(spark, table):
     return linalg.transpose(_matrix(table))
@@ -396,6 +449,22 @@ def one_hot_sums(spark, table):
 
 
 
+@query(_SQL["one_hot_sums"])
+def one_hot_sums_shared(spark, table):
+    """Bins between shared ends of each column, told as shares of one-hot vectors, summed share by share."""
+    cells, written = _long_features(table)
+    ends = shared.min_max(cells, ["col"], "v", Dealer(()), TOP)
+    d = Dealer(("col", shared.I))
+    at = Held(cells.join(F.broadcast(ends), "col"))  # a row for each column
+    x, lo, hi = at.hold(*(share.Pair(F.col(f"{c}.s0"), F.col(f"{c}.s1")) for c in ("v", "lo", "hi")))
+    hot = shared.bins(at, x, lo, hi, 5, FB, d, TOP + FB)
+    sums = at.done(**{f"b{k}": b.column for k, b in enumerate(hot)}).groupBy("col").agg(*((F.sum(f"b{k}.s0") + F.sum(f"b{k}.s1")).alias(f"b{k}") for k in range(5)))
+    slot = F.array_position(F.array(*(F.lit(c) for c in FEATURES)), F.col("col")).cast("int") - 1
+    out = cut(sums.select(slot.alias("slot"), *(f"b{k}" for k in range(5))))
+    release(written, ends)
+    return out
+
+
 
 def _sql_hash(*parts: str) -> str:
     return f"('0x' || substr(md5(concat_ws('-', {', '.join(parts)})), 1, 15))::BIGINT"
@@ -520,6 +589,19 @@ def lr_learn(spark, table):
     return spark.range(1).select(*(big(v).alias(c) for c, v in zip(LR, w, strict=True)))
 
 
+#: Rounds of the regression on shares: each compares on shares twice.
+SHARED_ROUNDS = 20
+
+
+@query(_LR_WITH + f" SELECT one, size, english FROM w WHERE k = {SHARED_ROUNDS}")
+def lr_learn_shared(spark, table):
+    """The weights after some rounds on shares, exactly those of lr_learn after as many."""
+    d = Dealer(("doc_id",))
+    rows = _lr_rows(table).select("doc_id", *(d.share(F.col(c), c).alias(c) for c in (*LR, "label")))
+    w = logistic.learn_shared(rows, LR, "label", d, f=FB, rate=16, rounds=SHARED_ROUNDS, top=TOP)
+    return spark.range(1).select(*((big(a) + big(b)).alias(c) for c, (a, b) in zip(LR, w, strict=True)))
+
+
 @query(_LR_WITH + f" SELECT x.doc_id, (({_LR_CLIP}) >= 512)::INTEGER AS predicted FROM x, w WHERE k = {ROUNDS}")
 def lr_predict(spark, table):
     rows = _lr_rows(table)
@@ -541,7 +623,22 @@ def class_frequencies(spark, table):
 
 
 _CONT = "(" + " UNION ALL ".join(f"SELECT {i} AS slot, s{i} AS bin, label, count(*) AS n FROM b GROUP BY 2, 3" for i in range(4)) + ")"
-_GINI = f"(SELECT slot, sum(part)::BIGINT AS score FROM (SELECT slot, bin, floor(sum(n * n)::DOUBLE * 1024 / (sum(n) + 1)::DOUBLE)::BIGINT AS part FROM {_CONT} GROUP BY 1, 2) GROUP BY 1)"
+
+
+def _gini_sql(cells: str, by: str = "") -> str:
+    """Scores of slots from cells (slot, bin, label, n): with all bins over one denominator, first in 1024ths, then 40 binary digits at a time, all in whole numbers of 128 bits."""
+    by = f"{by}, " if by else ""
+    sums = f"(SELECT {by}slot, bin, sum(n * n)::HUGEINT AS s, (sum(n) + 1)::HUGEINT AS y FROM {cells} GROUP BY ALL)"
+    whole = f"(SELECT {by}slot, any_value(p) AS d, sum(s * (p // y))::HUGEINT AS r FROM {sums} JOIN (SELECT {by}slot, list_reduce(list(y), lambda a, b: a * b) AS p FROM {sums} GROUP BY ALL) USING ({by}slot) GROUP BY ALL)"
+    out = f"(SELECT {by}slot, d, ((r * 1024) // d)::BIGINT AS score, r // d AS g0, r % d AS r FROM {whole})"
+    for k in range(1, 5):
+        own = ", ".join(f"g{j}" for j in range(k))
+        out = f"(SELECT {by}slot, d, score, {own}, (r * 1099511627776) // d AS g{k}, (r * 1099511627776) % d AS r FROM {out})"
+    return out
+
+
+_KEY = "(g0, g1, g2, g3, g4, -slot)"
+_GINI = _gini_sql(_CONT)
 _B = f"WITH b AS MATERIALIZED (SELECT * FROM {_BINNED})"
 
 
@@ -550,12 +647,12 @@ def gini_scores(spark, table):
     return trees.gini_scores(trees.contingency(_tree_rows(table))).select("slot", "score")
 
 
-@query(f"{_B} SELECT arg_max(slot, (score, -slot)) AS slot FROM {_GINI}")
+@query(f"{_B} SELECT arg_max(slot, {_KEY}) AS slot FROM {_GINI}")
 def gini_best(spark, table):
     return trees.best_slots(trees.gini_scores(trees.contingency(_tree_rows(table)))).select("slot")
 
 
-@query(f"""{_B}, s AS (SELECT arg_max(slot, (score, -slot)) AS slot FROM {_GINI}),
+@query(f"""{_B}, s AS (SELECT arg_max(slot, {_KEY}) AS slot FROM {_GINI}),
 leaf AS (SELECT (CASE s.slot WHEN 0 THEN s0 WHEN 1 THEN s1 WHEN 2 THEN s2 ELSE s3 END + 1)::BIGINT AS node, count(*) FILTER (label = 0) AS n0, count(*) FILTER (label = 1) AS n1 FROM b, s GROUP BY 1)
 SELECT 0::BIGINT AS node, 0 AS layer, slot::INTEGER AS slot, 0::BIGINT AS n0, 0::BIGINT AS n1 FROM s UNION ALL SELECT node, 1, NULL, n0, n1 FROM leaf""")
 def tree_learn(spark, table):
@@ -590,8 +687,8 @@ def extra_trees_votes(spark, table):
 
 _C = "c AS MATERIALIZED (SELECT c_custkey, trunc(c_acctbal * 1024)::BIGINT AS balance, c_nationkey::BIGINT * 1024 AS nation, trunc(coalesce(most, 0.0) / 100.0 * 1024)::BIGINT AS most, (coalesce(n, 0) >= 10)::INTEGER AS label FROM customer LEFT JOIN (SELECT o_custkey AS c_custkey, count(*) AS n, max(o_totalprice) AS most FROM orders GROUP BY 1) USING (c_custkey))"
 _CB = "b AS MATERIALIZED (SELECT c_custkey, label, " + ", ".join("(" + " + ".join(f"({c} >= (SELECT min({c}) + (({r} * (max({c}) - min({c}))) >> 10) FROM c))::BIGINT" for r in (204, 409, 614, 819)) + f") AS s{i}" for i, c in enumerate(CUSTOMER)) + " FROM c)"
-_CG = "(SELECT slot, sum(part)::BIGINT AS score FROM (SELECT slot, bin, floor(sum(n * n)::DOUBLE * 1024 / (sum(n) + 1)::DOUBLE)::BIGINT AS part FROM (" + " UNION ALL ".join(f"SELECT {i} AS slot, s{i} AS bin, label, count(*) AS n FROM b GROUP BY 2, 3" for i in range(3)) + ") GROUP BY 1, 2) GROUP BY 1)"
-_VOTE = f"""WITH {_C}, {_CB}, s AS (SELECT arg_max(slot, (score, -slot)) AS slot FROM {_CG}),
+_CG = _gini_sql("(" + " UNION ALL ".join(f"SELECT {i} AS slot, s{i} AS bin, label, count(*) AS n FROM b GROUP BY 2, 3" for i in range(3)) + ")")
+_VOTE = f"""WITH {_C}, {_CB}, s AS (SELECT arg_max(slot, {_KEY}) AS slot FROM {_CG}),
 p AS (SELECT c_custkey, label, CASE s.slot WHEN 0 THEN s0 WHEN 1 THEN s1 ELSE s2 END AS bin FROM b, s),
 v AS (SELECT bin, (count(*) FILTER (label = 1) > count(*) FILTER (label = 0))::INTEGER AS class FROM p GROUP BY 1)"""
 
