@@ -62,7 +62,11 @@ def test_copies_on_hard_rows(spark, rows):
     """With few rows a shard, all phrases with copies are among those that are dealt by document."""
     got = phrases.without_copies(hard(spark), span=50, rows=rows).collect()
     assert sorted(map(tuple, got), key=repr) == copies(HARD, 50)
-    assert phrases.without_copies(hard(spark).limit(0)).collect() == []
+    gone = collections.Counter()
+    for r in phrases.located(hard(spark), span=50, rows=rows).collect():
+        gone[r.doc_id] += r.end_word - r.start_word
+    assert gone == collections.Counter({i: n for i, _, n, _ in copies(list(dict.fromkeys(HARD)), 50) if n})
+    assert phrases.without_copies(hard(spark).limit(0)).collect() == [] and phrases.located(hard(spark).limit(0)).collect() == []
 
 
 def test_copies_of_short_spans(spark):

@@ -24,12 +24,12 @@ from torvane.llm.suffixes import keyed
 from torvane.llm.winnow import _selected
 
 #: Words of a window that counts as a copy, and of a phrase.
-SPAN, K = 50, 16
+SPAN, K = 50, 10
 #: Places of phrases in a shard, about; phrases with more of them are dealt into SALTS shards.
 ROWS, SALTS = 1 << 15, 64
 _LAST = np.iinfo(np.int64).max
 _PIECE = "shard int, kind tinyint, doc long, key long, start long, words binary"
-_FOUND = "h long, doc long, key long, start long, end long"
+_FOUND = "h long, doc long, key long, spans array<struct<start: long, end: long>>"
 
 
 def _ids(batch: pa.RecordBatch) -> np.ndarray:
@@ -124,18 +124,18 @@ def _windows(words: np.ndarray, span: int) -> np.ndarray:
     return tn.mix((total[span:] - total[:-span]) * down[: len(words) - span + 1])
 
 
-def _stretches(h: np.ndarray | None, at: np.ndarray, doc: np.ndarray, key: np.ndarray, start: np.ndarray, span: int) -> pa.RecordBatch:
-    """Windows at places at as rows; without h, those at consecutive places as one row each."""
-    if h is None:
-        by = np.argsort(at)
-        at, doc, key, start = at[by], doc[by], key[by], start[by]
-        first = np.flatnonzero(np.r_[True, at[1:] != at[:-1] + 1]) if len(at) else np.zeros(0, np.int64)
-        last = np.append(first[1:], len(at))[: len(first)] - 1
-        doc, key, start, end = doc[first], key[first], start[first], start[last] + span
-        column = pa.nulls(len(first), pa.int64())
-    else:
-        column, end = longs(h), start + span
-    return pa.record_batch([column, longs(doc), longs(key), longs(start), longs(end)], names=["h", "doc", "key", "start", "end"])
+def _starts(*columns: np.ndarray) -> np.ndarray:
+    """Where rows begin that differ from the one before in some column."""
+    if not len(columns[0]):
+        return np.zeros(0, np.int64)
+    return np.flatnonzero(np.r_[True, np.logical_or.reduce([c[1:] != c[:-1] for c in columns])])
+
+
+def _told(first: np.ndarray, h: np.ndarray | None, doc: np.ndarray, key: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
+    """A row for each group of spans, which begin at first."""
+    spans = pa.StructArray.from_arrays([longs(start), longs(end)], names=["start", "end"])
+    lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(start)).astype(np.int32)), spans)
+    return pa.record_batch([pa.nulls(len(first), pa.int64()) if h is None else longs(h[first]), longs(doc[first]), longs(key[first]), lists], names=["h", "doc", "key", "spans"])
 
 
 def _search(span: int, k: int):
@@ -167,29 +167,27 @@ def _search(span: int, k: int):
                     s = s[flat[s] > 0]
                     piece = np.searchsorted(off, s, "right") - 1
                     h, doc, key, start = win[s], docs[first:hi][piece], keys[first:hi][piece], starts[first:hi][piece] + s - off[piece]
-                    if value:
-                        yield _stretches(h, s, doc, key, start, span)
+                    if value:  # a row for each window of a document, however often it has it
+                        by = np.lexsort((start, key, doc, h))
+                        h, doc, key, start = h[by], doc[by], key[by], start[by]
+                        yield _told(_starts(h, doc, key), h, doc, key, start, start + span)
                         continue
                     by = np.lexsort((doc, h))
                     fresh = np.r_[True, h[by][1:] != h[by][:-1]][: len(by)]
                     least = doc[by][np.maximum.accumulate(np.where(fresh, np.arange(len(by)), 0))]
-                    late = by[doc[by] > least]
-                    if len(late):
-                        yield _stretches(None, s[late], doc[late], key[late], start[late], span)
+                    late = np.sort(by[doc[by] > least])
+                    if len(late):  # a row for each piece; windows at consecutive places are one span
+                        s, piece, doc, key, start = s[late], piece[late], doc[late], key[late], start[late]
+                        head = np.flatnonzero(np.r_[True, s[1:] != s[:-1] + 1])
+                        last = np.append(head[1:], len(s)) - 1
+                        yield _told(_starts(piece[head]), None, doc[head], key[head], start[head], start[last] + span)
 
     return run
 
 
-def located(docs: DataFrame, *, span: int = SPAN, k: int = K, rows: int = ROWS) -> DataFrame:
-    """Rows (doc_id, key, start_word, end_word) of the documents (doc_id, text): the words that windows of span words cover which a document with a smaller id has too.
-
-    Words stand between white space and are compared as they are; windows that touch or overlap are one row; places count from 0, end_word is the
-    one behind. key is a hash of id and text, which names rows: repeated rows are one document, and an id with several texts has
-    several. A row without an id comes after all others. Null, empty and short texts have no windows; copies within one document stay;
-    other columns are ignored; an empty table gives no rows. Windows are compared by 32-bit hashes of their words.
-    """
+def _found(docs: DataFrame, span: int, k: int, rows: int) -> DataFrame:
+    """Rows (doc, key, spans) of keyed() documents: spans to take out, which may overlap. A null id is _LAST."""
     spark = docs.sparkSession
-    docs = keyed(docs)
     counts = docs.select("doc_id", "text").mapInArrow(_phrases(span, k), "g long, lo long, hi long, n long")
     counts = cut(counts.groupBy("g").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n")).filter("lo < hi").select("g", "n"))
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
@@ -202,11 +200,22 @@ def located(docs: DataFrame, *, span: int = SPAN, k: int = K, rows: int = ROWS)
     found = pieces.mapInArrow(_search(span, k), _FOUND)
     if hot is not None:
         found = cut(found)
-        unjudged = found.filter("h is not null").distinct()
+        unjudged = found.filter("h is not null")
         firsts = unjudged.groupBy("h").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).filter("least < most").select("h", "least")
-        late = unjudged.join(firsts, "h").filter("doc > least").select(found.columns)
-        found = found.filter("h is null").unionByName(late)
-    spans = merged(found.select("doc", "key", "start", "end", F.lit(0).cast("long").alias("source"), F.col("start").alias("at")), ["doc", "key"])
+        found = found.filter("h is null").unionByName(unjudged.join(firsts, "h").filter("doc > least").select(found.columns))
+    return found.select("doc", "key", "spans")
+
+
+def located(docs: DataFrame, *, span: int = SPAN, k: int = K, rows: int = ROWS) -> DataFrame:
+    """Rows (doc_id, key, start_word, end_word) of the documents (doc_id, text): the words that windows of span words cover which a document with a smaller id has too.
+
+    Words stand between white space and are compared as they are; windows that touch or overlap are one row; places count from 0, end_word is the one
+    behind. key is a hash of id and text, which names rows: repeated rows are one document, and an id with several texts has
+    several. A row without an id comes after all others. Null, empty and short texts have no windows; copies within one document stay;
+    other columns are ignored; an empty table gives no rows. Windows are compared by 32-bit hashes of their words.
+    """
+    spans = _found(keyed(docs), span, k, rows).select("doc", "key", F.inline("spans"))
+    spans = merged(spans.select("doc", "key", "start", "end", F.lit(0).cast("long").alias("source"), F.col("start").alias("at")), ["doc", "key"])
     return spans.select(F.when(F.col("doc") != _LAST, F.col("doc")).alias("doc_id"), "key", F.col("start").alias("start_word"), F.col("end").alias("end_word"))
 
 
@@ -216,9 +225,9 @@ def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text, cuts in zip(batch.column("text").to_pylist(), batch.column("cuts").to_pylist(), strict=True):
             words = (text or "").encode().split()  # at ASCII white space
             keep, at = [], 0
-            for a, b in sorted((c["start_word"], c["end_word"]) for c in cuts or ()):
+            for a, b in sorted((c["start"], c["end"]) for c in cuts or ()):
                 keep += words[at:a]
-                at = b
+                at = max(at, b)
             keep += words[at:]
             rows.append((len(words), len(words) - len(keep), b" ".join(keep).decode()))
         n, gone, kept = zip(*rows, strict=True) if rows else ((), (), ())
@@ -230,8 +239,7 @@ def without_copies(docs: DataFrame, *, span: int = SPAN, k: int = K, rows: int =
 
     Null and empty texts have no words, and kept is empty; repeated rows are repeated.
     """
-    spans = located(docs, span=span, k=k, rows=rows)
-    cuts = spans.groupBy(F.col("doc_id").alias("id"), F.col("key").alias("of")).agg(F.collect_list(F.struct("start_word", "end_word")).alias("cuts"))
     own = keyed(docs)
-    both = own.join(cuts, (own["key"] == cuts["of"]) & own["doc_id"].eqNullSafe(cuts["id"]), "left")
+    cuts = _found(own, span, k, rows).groupBy(F.col("doc").alias("id"), F.col("key").alias("of")).agg(F.flatten(F.collect_list("spans")).alias("cuts"))
+    both = own.join(cuts, (own["key"] == cuts["of"]) & (F.coalesce(own["doc_id"], F.lit(_LAST)) == cuts["id"]), "left")
     return both.select("doc_id", "text", "cuts").mapInArrow(_keep, "doc_id long, n_words long, n_removed long, kept string")
