@@ -78,18 +78,16 @@ def learn_shared(rows: DataFrame, features: list[str], label: str, dealer: Deale
             step = []
             for i, x in enumerate(features):
                 e, mask, _, _ = of(x)
-                part = lambda s, e=e, mask=mask: e * F.col(f"t.{s}") + mask[s] * F.col("d")
-                step += [F.sum(part("s0")).alias(f"s0_{i}"), F.sum(part("s1") + e * F.col("d")).alias(f"s1_{i}"), F.sum(open_sum(mask) * (F.col("t.s0") + F.col("t.s1"))).alias(f"w_{i}")]
-            at = Held(rows_of.agg(*step).withColumns({k: F.lit(0).cast("bigint") for k in dealer.keys}))
-            moves = {}
-            for i in range(len(features)):
-                r = F.xxhash64(F.lit(dealer.seed), F.lit(name), F.lit("step"), F.lit(i))
-                g = pair(F.col(f"s0_{i}") + r, F.col(f"s1_{i}") + F.col(f"w_{i}") - r)
-                g = dealer.truncate(at, g, f, name, f"gradient{i}")
-                moves[f"m_{i}"] = dealer.truncate(at, scale(g, rate), f, name, f"step{i}").column
-            got = at.done(**moves).first()
-            if got["m_0"]["s0"] is not None:  # no rows leave weights as they are
-                weights = [(_wrapped(w0 + got[f"m_{i}"]["s0"]), _wrapped(w1 + got[f"m_{i}"]["s1"])) for i, (w0, w1) in enumerate(weights)]
+                sums = F.sum(e * F.col("t.s0") + mask.s0 * F.col("d")), F.sum(e * F.col("t.s1") + mask.s1 * F.col("d") + e * F.col("d")), F.sum(open_sum(mask) * (F.col("t.s0") + F.col("t.s1")))
+                step.append(F.struct(F.lit(i).alias("feature"), *(v.alias(n) for v, n in zip(sums, ("s0", "s1", "w"), strict=True))))
+            # a row for each feature, whose sum is cut, and cut again times the rate
+            at, own_random = Held(rows_of.agg(F.array(*step).alias("all")).select(F.inline("all"))), Dealer(("feature",), dealer.seed)
+            r = own_random.random("step", name)
+            g = own_random.truncate(at, pair(F.col("s0") + r, F.col("s1") + F.col("w") - r), f, name, "gradient")
+            move = own_random.truncate(at, scale(g, rate), f, name, "step")
+            for got in at.done(move=move.column).filter("s0 is not null").collect():  # no rows leave weights as they are
+                w0, w1 = weights[got.feature]
+                weights[got.feature] = _wrapped(w0 + got.move.s0), _wrapped(w1 + got.move.s1)
         release(table)
     return weights
 

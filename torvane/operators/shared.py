@@ -76,14 +76,22 @@ def products(rows: DataFrame, keys: list[str], value: str, dealer: Dealer) -> Da
 
 
 def min_max(rows: DataFrame, keys: list[str], value: str, dealer: Dealer, top: int) -> DataFrame:
-    """Rows (keys, lo, hi): shares of the least and largest value of each group of rows (keys, torvane_i, value), whose differences are below 2 ** top in size."""
+    """Rows (keys, lo, hi): shares of the least and largest value of each group of rows (keys, torvane_i, value), whose differences are below 2 ** top in size.
 
-    def combine(d: Dealer, at: Held, x: Shares, y: Shares, name: str) -> Shares:
-        lo, hi = (d.geq(at, x[c], y[c], top, name, c) for c in ("lo", "hi"))
-        lo, hi = at.hold(d.bits_to_ring(lo, name, "lo"), d.bits_to_ring(hi, name, "hi"))
-        return {"lo": d.mux(lo, y["lo"], x["lo"], name, "lo"), "hi": d.mux(hi, x["hi"], y["hi"], name, "hi")}
+    The least value is the largest negated one, so each row takes part twice and a round is one comparison.
+    """
 
-    return reduced(rows.select(*keys, I, F.col(value).alias("lo"), F.col(value).alias("hi")), keys, ["lo", "hi"], combine, dealer)
+    def combine(d: Dealer, at: Held, x: Shares, y: Shares, name: str) -> Shares:
+        (more,) = at.hold(d.bits_to_ring(d.geq(at, x["v"], y["v"], top, name), name))
+        return {"v": d.mux(more, x["v"], y["v"], name)}
+
+    turned = scale(Pair(F.col(f"{value}.s0"), F.col(f"{value}.s1")), -1)
+    both = F.array(F.struct(F.lit(0).alias("torvane_hi"), turned.alias("v")), F.struct(F.lit(1).alias("torvane_hi"), F.col(value).alias("v")))
+    found = reduced(rows.select(*keys, I, F.inline(both)), [*keys, "torvane_hi"], ["v"], combine, dealer)
+    side = lambda k, part: F.max(F.when(F.col("torvane_hi") == k, F.col(f"v.{part}")))
+    ends = found.groupBy(*keys).agg(pair(-side(0, "s0"), -side(0, "s1")).alias("lo"), pair(side(1, "s0"), side(1, "s1")).alias("hi"))
+    ends.torvane_path = found.torvane_path
+    return ends
 
 
 def argmax_ratio(rows: DataFrame, keys: list[str], index: str, n: str, d: str, dealer: Dealer, top: int) -> DataFrame:

@@ -590,7 +590,7 @@ def lr_learn(spark, table):
 
 
 #: Rounds of the regression on shares: each compares on shares twice.
-SHARED_ROUNDS = 20
+SHARED_ROUNDS = 2
 
 
 @query(_LR_WITH + f" SELECT one, size, english FROM w WHERE k = {SHARED_ROUNDS}")
