@@ -19,7 +19,7 @@ from torvane.operators import aggregates as ag
 from torvane.operators import discretize as dz
 from torvane.operators import linalg, packing, sets, shared
 from torvane.operators.lineage import cut, release, shared_dir, with_index
-from torvane.operators.models import logistic, naive_bayes, trees
+from torvane.operators.models import logistic, naive_bayes, oblivious, trees
 from torvane.sources import files
 
 #: Fraction bits, and the bit that comparisons look at: for values below 2 ** 40 in size.
@@ -660,6 +660,47 @@ def tree_learn(spark, table):
     return nodes.select("node", "layer", "slot", F.get("freqs", F.lit(0)).alias("n0"), F.get("freqs", F.lit(1)).alias("n1"))
 
 
+DEEP = trees.TreeConfig(bins=2, depth=3, epsilon=0.2)
+_GRADED = "(SELECT doc_id, quality AS label, (n_chars >= 1500)::BIGINT AS s0, (lang = 'en')::BIGINT AS s1, contains(text, '|')::BIGINT AS s2, toxic AS s3 FROM documents JOIN (SELECT doc_id, max(quality)::BIGINT AS quality, max(toxic)::BIGINT AS toxic FROM labels GROUP BY 1) USING (doc_id))"
+
+
+def _graded(table) -> DataFrame:
+    """Rows (tree, row, label, bins) of documents with a label: whether one is long, English, has a bar and is toxic."""
+    labels = table("labels").groupBy("doc_id").agg(F.max("quality").cast("int").alias("label"), F.max("toxic").alias("toxic"))
+    bins = F.array(*(c.cast("int") for c in (F.col("n_chars") >= 1500, F.col("lang") == "en", F.contains("text", F.lit("|")), F.col("toxic"))))
+    return table("documents").join(labels, "doc_id").select(F.lit(0).alias("tree"), F.col("doc_id").alias("row"), "label", bins.alias("bins"))
+
+
+def _deep_sql() -> str:
+    """A tree of three layers: rows by node, the best slot of each, and children of those that no rule stops."""
+    out, parts = f"WITH n0 AS MATERIALIZED (SELECT *, 0::BIGINT AS node FROM {_GRADED})", []
+    for k in range(DEEP.depth):
+        cells = "(" + " UNION ALL ".join(f"SELECT node, {i} AS slot, s{i} AS bin, label, count(*) AS n FROM n{k} GROUP BY ALL" for i in range(4)) + ")"
+        out += f", f{k} AS (SELECT node, count(*) AS size, count(*) FILTER (label = 0) AS c0, count(*) FILTER (label = 1) AS c1 FROM n{k} GROUP BY 1)"
+        out += f", t{k} AS MATERIALIZED (SELECT *, {k} = {DEEP.depth - 1} OR {DEEP.epsilon} * (SELECT count(*) FROM n0) >= size OR greatest(c0, c1) = size AS stop FROM f{k} JOIN (SELECT node, arg_max(slot, {_KEY}) AS slot FROM {_gini_sql(cells, 'node')} GROUP BY 1) USING (node))"
+        out += f", n{k + 1} AS MATERIALIZED (SELECT doc_id, label, s0, s1, s2, s3, 2 * node + 1 + CASE slot WHEN 0 THEN s0 WHEN 1 THEN s1 WHEN 2 THEN s2 ELSE s3 END AS node FROM n{k} JOIN t{k} USING (node) WHERE NOT stop)"
+        slot = "NULL" if k == DEEP.depth - 1 else "slot"
+        parts.append(f"SELECT node, {k} AS layer, {slot}::INTEGER AS slot, stop AS classifies, CASE WHEN stop THEN c0 ELSE 0 END AS n0, CASE WHEN stop THEN c1 ELSE 0 END AS n1 FROM t{k}")
+    return f"{out} " + " UNION ALL ".join(parts)
+
+
+def _layers(nodes: DataFrame) -> DataFrame:
+    return nodes.select("node", "layer", "slot", "classifies", F.get("freqs", F.lit(0)).alias("n0"), F.get("freqs", F.lit(1)).alias("n1"))
+
+
+@query(_deep_sql())
+def tree_stops(spark, table):
+    """Three layers, in which rules stop nodes before the last."""
+    return _layers(trees.induce(_graded(table), DEEP))
+
+
+@query(_SQL["tree_stops"])
+def tree_learn_shared(spark, table):
+    """The same tree on shares: each row is a member of every node of a layer, and what is where is opened at the end."""
+    shares = oblivious.dealt(_graded(table), 4, DEEP, Dealer(("tree", "row")))
+    return _layers(oblivious.reveal(oblivious.induce(shares, 4, DEEP), DEEP))
+
+
 def _customers(table) -> DataFrame:
     """Few orders or many, from a customer's balance, nation and name."""
     n = table("orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n"), F.max("o_totalprice").alias("most"))
