@@ -3,10 +3,12 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from torvane.functions.ring import ring
-from torvane.functions.share import Dealer
-from torvane.operators.models import oblivious, trees
+from torvane.functions.share import Dealer, open_sum
+from torvane.operators import lineage
+from torvane.operators.models import naive_bayes, oblivious, trees
 
 
 @pytest.mark.parametrize("bins, classes, epsilon", [(2, 2, 0.3), (3, 3, 0.0)])
@@ -37,3 +39,31 @@ def test_induction_of_too_many_rows_is_an_error(spark):
         shares = oblivious.dealt(df, 1, config, Dealer(("tree", "row")))
         with pytest.raises(ValueError):
             oblivious.induce(shares, 1, config)
+
+
+def test_bayes_on_shares_is_the_plain_one(spark):
+    """Three classes, words that the vocabulary lacks, an example of such words only, and ties, which go to the first class."""
+    r = random.Random(4)
+    logp = [(h, c, -r.randrange(1, 9000)) for h in range(1000, 1040) for c in range(3)] + [(7, c, -500) for c in range(3)]
+    prior = [(0, -300), (1, -100), (2, -100)]
+    counts = [(i, h, r.randrange(1, 5)) for i in range(40) for h in r.sample(range(990, 1050), 6)] + [(98, 7, 3), (99, 5, 2)]
+    counts, logp, prior = (spark.createDataFrame(x, t) for x, t in ((counts, "id long, word long, m long"), (logp, "word long, class int, logp long"), (prior, "class int, prior long")))
+    with ring(spark):
+        own = counts.select("id", F.col("word").alias("h"), Dealer(("id", "word")).share(F.col("m"), "m").alias("m"))
+        said = logp.select(F.col("word").alias("h"), "class", Dealer(("word", "class")).share(F.col("logp"), "p").alias("p"))
+        first = prior.select("class", Dealer(("class",)).share(F.col("prior"), "prior").alias("p"))
+        scores = oblivious.bayes_scores(own, said, first, 60)
+        assert {(x.id, x["class"]): x.score for x in scores.select("id", "class", open_sum(F.col("score")).alias("score")).collect()} == {(x.id, x["class"]): x.score for x in naive_bayes.scores(counts, logp, prior).collect()}
+        got = {x.id: x["class"] for x in oblivious.bayes_predict(own, said, first, 60, 41).select("id", open_sum(F.col("class")).alias("class")).collect()}
+        one = oblivious.bayes_predict(own, said.filter("class = 0"), first.filter("class = 0"), 60, 41)
+        assert {open_class for (open_class,) in one.select(open_sum(F.col("class"))).collect()} == {0} and one.count() == len({x.id for x in counts.collect()})
+        assert oblivious.bayes_predict(own.limit(0), said, first, 60, 41).collect() == []
+    assert got == {x.id: x["class"] for x in naive_bayes.predict(counts, logp, prior).collect()} and got[98] == got[99] == 1
+
+
+def test_join_by_frequency_splits_a_hot_key(spark):
+    """A table too large to broadcast: the hot key's rows and all others meet their rows once."""
+    rows = spark.range(60000).selectExpr("id i", "if(id % 3 = 0, 5, id * 2) k")
+    table = spark.range(140000).selectExpr("id k", "id * 10 v")
+    want = sorted((i, k, k * 10) for i, k in ((i, 5 if i % 3 == 0 else i * 2) for i in range(60000)) if k < 140000)
+    assert sorted((x.i, x.k, x.v) for x in lineage.join_by_frequency(rows, table, "k").select("i", "k", "v").collect()) == want

@@ -62,3 +62,21 @@ def numbered(rows: DataFrame, part: Column, order: list[str], name: str) -> Data
 def broadcast_if_small(df: DataFrame, rows: int = 1 << 17) -> DataFrame:
     """A table for a join, broadcast if it has at most so many rows; else Spark chooses. df is counted, so it should be cheap to read."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+#: A key counts as frequent where more than one row in so many has it; so there are fewer frequent keys than this.
+FREQUENT = 1 << 12
+
+
+def join_by_frequency(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """rows joined with a table that has few rows for each key. No key's rows meet in one task: frequent keys' part of the table is broadcast, and so is all of a small one.
+
+    Larger tables meet the rest of the rows by a shuffle, where no key has more than 1 / FREQUENT of all rows. rows and table are read more than once, so they should be cheap to read.
+    """
+    if table.limit((1 << 17) + 1).count() <= 1 << 17:
+        return rows.join(F.broadcast(table), key)
+    least = rows.count() // FREQUENT
+    frequent = cut(rows.groupBy(key).agg(F.count("*").alias("torvane_n")).filter(F.col("torvane_n") > least).select(key))
+    hot = table.join(F.broadcast(frequent), key, "left_semi")
+    rest = rows.join(F.broadcast(frequent), key, "left_anti").join(table, key)
+    return rows.join(F.broadcast(hot), key).unionByName(rest)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from torvane.functions.ring import encode
 from torvane.operators.aggregates import first_argmax
-from torvane.operators.lineage import broadcast_if_small
+from torvane.operators.lineage import join_by_frequency
 
 
 def counted(words: DataFrame) -> DataFrame:
@@ -33,9 +33,9 @@ def learn(counts: DataFrame, labels: DataFrame, f: int) -> tuple[DataFrame, Data
 def scores(counts: DataFrame, logp: DataFrame, prior: DataFrame) -> DataFrame:
     """Rows (id, class, score) from rows (id, word, m): the prior and, for each word as often as the example has it, its log-probability; unknown words add nothing.
 
-    A frequent word has a row in most examples; the table of log-probabilities is broadcast if it is small, so that these rows stay where they are.
+    A frequent word has a row in most examples; such rows stay where they are.
     """
-    matched = counts.join(broadcast_if_small(logp), "word").groupBy("id", "class").agg(F.sum(F.col("m") * F.col("logp")).alias("part"))
+    matched = join_by_frequency(counts, logp, "word").groupBy("id", "class").agg(F.sum(F.col("m") * F.col("logp")).alias("part"))
     every = counts.select("id").distinct().crossJoin(F.broadcast(prior))  # classes are few
     return every.join(matched, ["id", "class"], "left").select("id", "class", (F.col("prior") + F.coalesce("part", F.lit(0).cast("bigint"))).alias("score"))
 

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from torvane.functions.ring import big
 from torvane.functions.share import Dealer, Held, Pair, add, constant, negate01, open_sum, pair, scale, subtract
-from torvane.operators import shared
-from torvane.operators.lineage import broadcast_if_small, cut, release
+from torvane.operators import sets, shared
+from torvane.operators.lineage import broadcast_if_small, cut, join_by_frequency, release
 from torvane.operators.models.trees import TreeConfig
 
 NODE = ["tree", "node"]
@@ -182,3 +182,53 @@ def reveal(nodes: DataFrame, config: TreeConfig) -> DataFrame:
     first = F.element_at(F.array(*(big(sum(config.bins**j for j in range(k))) for k in range(config.depth))), F.col("layer") + 1)
     opened = nodes.select("tree", (first + F.col("node")).alias("node"), "layer", open_sum(F.col("slot")).cast("int").alias("slot"), F.transform("freqs", open_sum).alias("freqs"), (open_sum(F.col("classifies")) == 1).alias("classifies"), open_sum(F.col("below")).alias("below"))
     return opened.filter((F.col("below") == 0) & (~F.col("classifies") | (F.array_max("freqs") > 0))).drop("below")
+
+
+def known(words: DataFrame, logp: DataFrame, bits: int, *, seed: int = 1) -> DataFrame:
+    """Rows (h, class, p) of distinct words (h): shares of what logp (h, class, p), shared too, says of the word, and of 0 where it says nothing.
+
+    Each word is tested against those in the same bucket of the vocabulary (sets.shared_pairs), and the bit that tells whether they are one is multiplied with
+    the log-probabilities, so which word it was stays a share. A word whose bucket is empty has no rows.
+    """
+    vocabulary = logp.groupBy("h").agg(F.collect_list(F.struct("class", "p")).alias("torvane_said"))
+    pair_of = Dealer(("h", "torvane_h"), seed)
+    at, same = sets.shared_pairs(vocabulary, words, "h", bits, pair_of)
+    (bit,) = at.hold(pair_of.bits_to_ring(same, "same"))
+    said = at.done(bit=bit.column).select("h", "torvane_h", "bit", F.inline("torvane_said"))
+    own = Dealer(("h", "torvane_h", "class"), seed).multiply(F.col("bit"), F.col("p"), "said")
+    parts = said.select("torvane_h", "class", own.alias("p"))
+    return parts.groupBy(F.col("torvane_h").alias("h"), "class").agg(pair(F.sum("p.s0"), F.sum("p.s1")).alias("p"))
+
+
+def bayes_scores(counts: DataFrame, logp: DataFrame, prior: DataFrame, bits: int, *, seed: int = 1) -> DataFrame:
+    """Rows (id, class, score): shares of naive_bayes.scores() from rows (id, h, m), (h, class, p) and (class, p), where m and p are shares and h is 60-bit hashes of words.
+
+    Words are looked up once each, however many examples have them; counts are multiplied with what was found.
+    """
+    found = cut(known(counts.select("h").distinct(), logp, bits, seed=seed))
+    matched = join_by_frequency(counts, found, "h")
+    part = Dealer(("id", "h", "class"), seed).multiply(F.col("m"), F.col("p"), "times")
+    sums = matched.select("id", "class", part.alias("part")).groupBy("id", "class").agg(pair(F.sum("part.s0"), F.sum("part.s1")).alias("part"))
+    every = counts.select("id").distinct().crossJoin(F.broadcast(prior))  # classes are few
+    none = F.coalesce("part", constant(0).column)
+    out = cut(every.join(sums, ["id", "class"], "left").withColumn("part", none).select("id", "class", add(F.col("p"), F.col("part")).alias("score")))
+    release(found)
+    return out
+
+
+def bayes_predict(counts: DataFrame, logp: DataFrame, prior: DataFrame, bits: int, top: int, *, seed: int = 1) -> DataFrame:
+    """Rows (id, class): shares of the first class with the largest of bayes_scores(), by a tree of shared comparisons over classes, which are small whole numbers from 0.
+
+    Scores must differ by less than 2 ** top.
+    """
+
+    def combine(d: Dealer, at: Held, x: shared.Shares, y: shared.Shares, name: str) -> shared.Shares:
+        (first,) = at.hold(d.bits_to_ring(d.geq(at, x["score"], y["score"], top, name), name))
+        return {c: d.mux(first, x[c], y[c], name, c) for c in ("score", "own")}
+
+    scores = bayes_scores(counts, logp, prior, bits, seed=seed)
+    place = F.col("class").cast("bigint")
+    best = shared.reduced(scores.select("id", place.alias(shared.I), "score", pair(big(0), place).alias("own")), ["id"], ["score", "own"], combine, Dealer((), seed))
+    out = cut(best.select("id", F.col("own").alias("class")))
+    release(scores, best)
+    return out

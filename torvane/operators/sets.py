@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from torvane.functions.bits import mask
-from torvane.functions.share import Dealer, Held, open_xor
+from torvane.functions.share import Dealer, Held, Pair, open_xor
 
 
 def low_bits(h: Column, bits: int) -> Column:
@@ -24,20 +24,31 @@ def members(dictionary: DataFrame, example: DataFrame, word: str = "word", *, pr
     return dictionary.join(example.select(word).distinct(), word, "left_semi" if present else "left_anti")
 
 
-def shared_match_bit(at: Held, x: Column, y: Column, bits: int, dealer: Dealer, *salt: str) -> Column:
-    """Opened bit that two words' low bits agree, by an equality test on XOR shares."""
+def shared_match(at: Held, x: Column, y: Column, bits: int, dealer: Dealer, *salt: str) -> Pair:
+    """XOR shares of 1 where two words' low bits agree, by an equality test on XOR shares."""
     x, y = at.hold(dealer.share_bits(x, "x", *salt), dealer.share_bits(y, "y", *salt))
-    return open_xor(dealer.equal_bits(at, x, y, bits, *salt))
+    return dealer.equal_bits(at, x, y, bits, *salt)
 
 
-def shared_members(dictionary: DataFrame, example: DataFrame, h: str, bits: int, dealer: Dealer, *, bucket: int = 10) -> DataFrame:
-    """dictionary with a column m: how many rows of example have a hash h that agrees on the low bits, by shared tests.
+#: Rows of a dictionary that one bucket holds on average, at most.
+EACH = 8
 
-    Only pairs of one bucket, the lowest bits of h, are tested; bits above them are what stays secret. dealer's keys: h and torvane_h.
+
+def shared_pairs(dictionary: DataFrame, example: DataFrame, h: str, bits: int, dealer: Dealer) -> tuple[Held, Pair]:
+    """Pairs of rows of both, with example's h as torvane_h, and XOR shares of 1 where both hashes agree on the low bits.
+
+    Only pairs of one bucket, the lowest bits of h, are tested; bits above them are what stays secret. There are as many buckets as keep EACH words of the dictionary in
+    one on average, so pairs are in proportion to the example's words. Both sides should have distinct words. dealer's keys: h and torvane_h.
     """
+    bucket = min(bits, (dictionary.count() // EACH).bit_length())
     low = lambda c: F.col(c).bitwiseAND(mask(bucket))
-    pairs = dictionary.withColumn("torvane_b", low(h)).join(example.select(F.col(h).alias("torvane_h")).withColumn("torvane_b", low("torvane_h")), "torvane_b")
+    pairs = dictionary.withColumn("torvane_b", low(h)).join(example.select(F.col(h).alias("torvane_h")).withColumn("torvane_b", low("torvane_h")), "torvane_b").drop("torvane_b")
     at = Held(pairs)
-    same = shared_match_bit(at, F.col(h), F.col("torvane_h"), bits, dealer)
-    found = at.done(torvane_m=same).groupBy(h).agg(F.sum("torvane_m").alias("m"))
+    return at, shared_match(at, F.col(h), F.col("torvane_h"), bits, dealer)
+
+
+def shared_members(dictionary: DataFrame, example: DataFrame, h: str, bits: int, dealer: Dealer) -> DataFrame:
+    """dictionary with a column m: how many rows of example have a hash h that agrees on the low bits, by shared_pairs()."""
+    at, same = shared_pairs(dictionary, example, h, bits, dealer)
+    found = at.done(torvane_m=open_xor(same)).groupBy(h).agg(F.sum("torvane_m").alias("m"))
     return dictionary.join(found, h, "left").withColumn("m", F.coalesce("m", F.lit(0).cast("bigint")))

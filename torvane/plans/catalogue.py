@@ -557,6 +557,20 @@ def nb_predict(spark, table):
     return naive_bayes.predict(words, logp, prior)
 
 
+@query(_SQL["nb_predict"])
+def nb_predict_shared(spark, table):
+    """The same with counts, log-probabilities and priors as shares, words matched by equality tests, and the largest score found by comparisons on shares."""
+    words, (logp, prior) = _nb(table)
+    hashed = dz.hashed(F.col("word")).alias("h")
+    own = cut(words.select("id", hashed, "m"))
+    counts = own.select("id", "h", Dealer(("id", "h")).share(F.col("m"), "m").alias("m"))
+    said = logp.select(hashed, "class", "logp").select("h", "class", Dealer(("h", "class")).share(F.col("logp"), "p").alias("p"))
+    first = prior.select("class", Dealer(("class",)).share(F.col("prior"), "p").alias("p"))
+    best = oblivious.bayes_predict(counts, said, first, 60, TOP)
+    release(words, own, logp, prior)
+    return best.select("id", share.open_sum(F.col("class")).cast("int").alias("class"))
+
+
 LR = ["one", "size", "english"]
 _LR_ROWS = "(SELECT doc_id, 1024::BIGINT AS one, trunc(n_chars / 8000.0 * 1024)::BIGINT AS size, (lang = 'en')::BIGINT * 1024 AS english, quality::BIGINT * 1024 AS label FROM documents JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY 1) USING (doc_id))"
 
