@@ -199,7 +199,12 @@ def votes(rows: DataFrame, forest: Forest, key: str, *, soft: bool = False) -> D
 
     A tree gives one vote to its largest class, or with soft, to each class its share.
     """
-    said = paths(rows, forest, key)
+    return _votes(rows, forest, key, F.lit(0), 1, soft).drop("run")
+
+
+def _votes(rows: DataFrame, forest: Forest, key: str, run: Column, runs: int, soft: bool) -> DataFrame:
+    """Rows (run, key, class): votes() among the trees of each run. All rows walk all trees once; the run is one more key of the sums."""
+    said = paths(rows, forest, key).withColumn("run", run)
     k = forest.config.classes
     if soft:
         total = F.aggregate("freqs", F.lit(0).cast("bigint"), lambda a, x: a + x)
@@ -207,10 +212,11 @@ def votes(rows: DataFrame, forest: Forest, key: str, *, soft: bool = False) -> D
     else:
         largest = F.array_position("freqs", F.array_max("freqs")) - 1
         part = [F.when(largest == c, 1.0).otherwise(0.0) for c in range(k)]
-    sums = said.groupBy(key).agg(*(F.round(F.sum(p), 9).alias(f"v{c}") for c, p in enumerate(part)))
+    sums = said.groupBy("run", key).agg(*(F.round(F.sum(p), 9).alias(f"v{c}") for c, p in enumerate(part)))
     every = F.array(*(f"v{c}" for c in range(k)))
-    best = sums.select(key, (F.array_position(every, F.array_max(every)) - 1).cast("int").alias("class"))
-    return rows.select(key).join(best, key, "left").select(key, F.coalesce("class", F.lit(0)).alias("class"))
+    best = sums.select("run", key, (F.array_position(every, F.array_max(every)) - 1).cast("int").alias("class"))
+    asked = rows.select(key, F.explode(F.sequence(F.lit(0), F.lit(runs - 1))).alias("run"))
+    return asked.join(best, ["run", key], "left").select("run", key, F.coalesce("class", F.lit(0)).alias("class"))
 
 
 def bulk_votes(rows: DataFrame, forest: Forest, key: str, runs: int, *, soft: bool = False) -> DataFrame:
@@ -221,13 +227,7 @@ def bulk_votes(rows: DataFrame, forest: Forest, key: str, runs: int, *, soft: bo
     trees = forest.nodes.agg(F.max("tree")).first()[0] + 1
     if trees % runs:
         raise ValueError(f"{trees} trees can't be {runs} runs")
-    each = trees // runs
-    out = None
-    for r in range(runs):
-        own = F.col("tree").between(r * each, r * each + each - 1)
-        part = votes(rows, Forest(forest.nodes.filter(own), forest.cuts.filter(own), forest.columns, forest.config), key, soft=soft).withColumn("run", F.lit(r))
-        out = part if out is None else out.unionByName(part)
-    return out.select("run", key, "class")
+    return _votes(rows, forest, key, F.floor(F.col("tree") / (trees // runs)).cast("int"), runs, soft)
 
 
 def accuracy(predicted: DataFrame, labels: DataFrame, key: str, label: str) -> DataFrame:

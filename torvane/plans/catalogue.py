@@ -1,6 +1,6 @@
 """Registry of the engine's queries and of the SQL that each must agree with.
 
-Every query runs over whole tables. Forests whose trees choose at random from hashes have no SQL; tests check them.
+Every query runs over whole tables. Choices at random are by hashes that SQL has too.
 """
 
 from __future__ import annotations
@@ -685,17 +685,28 @@ def _graded(table) -> DataFrame:
     return table("documents").join(labels, "doc_id").select(F.lit(0).alias("tree"), F.col("doc_id").alias("row"), "label", bins.alias("bins"))
 
 
+def _levels_sql(n0: str, slots: int, config: trees.TreeConfig) -> str:
+    """t0, t1 and so on: nodes of trees over n0 (tree, node, label, s0 and so on) layer by layer, with their best slot, from rows whose node no rule stopped."""
+    cells = lambda k: "(" + " UNION ALL ".join(f"SELECT tree, node, {i} AS slot, s{i} AS bin, label, count(*) AS n FROM n{k} GROUP BY ALL" for i in range(slots)) + ")"
+    out = f"n0 AS MATERIALIZED ({n0}), total AS (SELECT tree, count(*) AS total FROM n0 GROUP BY 1)"
+    for k in range(config.depth):
+        out += f", f{k} AS (SELECT tree, node, count(*) AS size, count(*) FILTER (label = 0) AS c0, count(*) FILTER (label = 1) AS c1 FROM n{k} GROUP BY 1, 2)"
+        out += f", t{k} AS MATERIALIZED (SELECT *, {k} = {config.depth - 1} OR {config.epsilon}::DOUBLE * total >= size OR greatest(c0, c1) = size AS stop FROM f{k} JOIN (SELECT tree, node, arg_max(slot, {_KEY}) AS slot FROM {_gini_sql(cells(k), 'tree, node')} GROUP BY 1, 2) USING (tree, node) JOIN total USING (tree))"
+        out += f", n{k + 1} AS MATERIALIZED (SELECT n{k}.* REPLACE (node * {config.bins} + 1 + {_side(slots)} AS node) FROM n{k} JOIN t{k} USING (tree, node) WHERE NOT stop)"
+    return out
+
+
+def _side(slots: int) -> str:
+    return f"[{', '.join(f's{i}' for i in range(slots))}][slot + 1]"
+
+
 def _deep_sql() -> str:
-    """A tree of three layers: rows by node, the best slot of each, and children of those that no rule stops."""
-    out, parts = f"WITH n0 AS MATERIALIZED (SELECT *, 0::BIGINT AS node FROM {_GRADED})", []
+    """A tree of three layers."""
+    parts = []
     for k in range(DEEP.depth):
-        cells = "(" + " UNION ALL ".join(f"SELECT node, {i} AS slot, s{i} AS bin, label, count(*) AS n FROM n{k} GROUP BY ALL" for i in range(4)) + ")"
-        out += f", f{k} AS (SELECT node, count(*) AS size, count(*) FILTER (label = 0) AS c0, count(*) FILTER (label = 1) AS c1 FROM n{k} GROUP BY 1)"
-        out += f", t{k} AS MATERIALIZED (SELECT *, {k} = {DEEP.depth - 1} OR {DEEP.epsilon} * (SELECT count(*) FROM n0) >= size OR greatest(c0, c1) = size AS stop FROM f{k} JOIN (SELECT node, arg_max(slot, {_KEY}) AS slot FROM {_gini_sql(cells, 'node')} GROUP BY 1) USING (node))"
-        out += f", n{k + 1} AS MATERIALIZED (SELECT doc_id, label, s0, s1, s2, s3, 2 * node + 1 + CASE slot WHEN 0 THEN s0 WHEN 1 THEN s1 WHEN 2 THEN s2 ELSE s3 END AS node FROM n{k} JOIN t{k} USING (node) WHERE NOT stop)"
         slot = "NULL" if k == DEEP.depth - 1 else "slot"
         parts.append(f"SELECT node, {k} AS layer, {slot}::INTEGER AS slot, stop AS classifies, CASE WHEN stop THEN c0 ELSE 0 END AS n0, CASE WHEN stop THEN c1 ELSE 0 END AS n1 FROM t{k}")
-    return f"{out} " + " UNION ALL ".join(parts)
+    return f"WITH {_levels_sql(f'SELECT *, 0 AS tree, 0::BIGINT AS node FROM {_GRADED}', 4, DEEP)} " + " UNION ALL ".join(parts)
 
 
 def _layers(nodes: DataFrame) -> DataFrame:
@@ -726,23 +737,76 @@ def _customers(table) -> DataFrame:
 CUSTOMER = ["balance", "nation", "most"]
 
 
-@query()
+_C = "c AS MATERIALIZED (SELECT c_custkey, trunc(c_acctbal * 1024)::BIGINT AS balance, c_nationkey::BIGINT * 1024 AS nation, trunc(coalesce(most, 0.0) / 100.0 * 1024)::BIGINT AS most, (coalesce(n, 0) >= 10)::INTEGER AS label FROM customer LEFT JOIN (SELECT o_custkey AS c_custkey, count(*) AS n, max(o_totalprice) AS most FROM orders GROUP BY 1) USING (c_custkey))"
+_CB = "b AS MATERIALIZED (SELECT c_custkey, label, " + ", ".join("(" + " + ".join(f"({c} >= (SELECT min({c}) + (({r} * (max({c}) - min({c}))) >> 10) FROM c))::BIGINT" for r in (204, 409, 614, 819)) + f") AS s{i}" for i, c in enumerate(CUSTOMER)) + " FROM c)"
+_CG = _gini_sql("(" + " UNION ALL ".join(f"SELECT {i} AS slot, s{i} AS bin, label, count(*) AS n FROM b GROUP BY 2, 3" for i in range(3)) + ")")
+
+
+def _forest_sql(setup: str, slots: int, config: trees.TreeConfig, *, soft: bool = False, each: int = 0) -> str:
+    """Votes of trees of three layers over own (tree, label, s0 and so on), for all rows of x (c_custkey, tree, s0 and so on); with each, by runs of so many trees."""
+    walk = f"""w1 AS (SELECT x.*, 1 + {_side(slots)} AS node FROM x JOIN t0 USING (tree)),
+w2 AS (SELECT w1.* REPLACE (node * {config.bins} + 1 + {_side(slots)} AS node), stop, c0, c1 FROM w1 JOIN t1 USING (tree, node)),
+said AS (SELECT c_custkey, tree, CASE WHEN w2.stop THEN w2.c0 ELSE t2.c0 END AS a, CASE WHEN w2.stop THEN w2.c1 ELSE t2.c1 END AS b FROM w2 LEFT JOIN t2 USING (tree, node))"""
+    vote = "b::DOUBLE / (a + b) AS yes, a::DOUBLE / (a + b) AS no" if soft else "(b > a)::DOUBLE AS yes, (b <= a)::DOUBLE AS no"
+    run = f"tree // {each}" if each else "0"
+    asked = f"(SELECT DISTINCT c_custkey, ({run})::INTEGER AS run FROM x)"
+    best = f"(SELECT c_custkey, ({run})::INTEGER AS run, (round(sum(yes), 9) > round(sum(no), 9))::INTEGER AS class FROM (SELECT c_custkey, tree, {vote} FROM said WHERE a IS NOT NULL) GROUP BY ALL)"
+    return f"WITH {setup}, {_levels_sql('SELECT *, 0::BIGINT AS node FROM own', slots, config)}, {walk} SELECT {'run, ' if each else ''}c_custkey, coalesce(class, 0) AS class FROM {asked} LEFT JOIN {best} USING (c_custkey, run)"
+
+
+def _drawn_sql(count: int, slots: int, seed: int) -> str:
+    """Attributes and cuts by hash, and on which side of each cut a row is."""
+    v = f"[{', '.join(CUSTOMER)}]"
+    ends = f"(SELECT [{', '.join(f'min({c})' for c in CUSTOMER)}] AS lo, [{', '.join(f'max({c})' for c in CUSTOMER)}] AS hi FROM c)"
+    picks = f"(SELECT tree::INTEGER AS tree, slot, {_sql_hash('tree', 'slot', str(seed))} % {len(CUSTOMER)} + 1 AS attr, {_sql_hash('tree', 'slot', str(seed), repr('ratio'))} % 1024 AS ratio FROM range({count}) a(tree), range({slots}) b(slot))"
+    cuts = f"p AS MATERIALIZED (SELECT tree, slot, attr, lo[attr] + (((hi[attr] - lo[attr]) * ratio) >> 10) AS cut FROM {picks}, {ends})"
+    sides = ", ".join(f"max(CASE WHEN slot = {i} THEN ({v}[attr] >= cut)::BIGINT END) AS s{i}" for i in range(slots))
+    return f"{_C}, {cuts}, x AS MATERIALIZED (SELECT c_custkey, label, tree, {sides} FROM c, p GROUP BY 1, 2, 3), own AS (SELECT * FROM x)"
+
+
+def _resampled_sql(count: int, slots: int, seed: int) -> str:
+    """Attributes without repetition by a shuffle, and rows with repetition by hash, half as many as there are."""
+    picks = f"p AS MATERIALIZED (SELECT tree::INTEGER AS tree, attr + 1 AS attr, row_number() OVER (PARTITION BY tree ORDER BY {_sql_hash('tree', 'attr', str(seed))}, attr) - 1 AS slot FROM range({count}) a(tree), range({len(CUSTOMER)}) b(attr))"
+    sides = ", ".join(f"max(CASE WHEN slot = {i} THEN [s0, s1, s2][attr] END) AS s{i}" for i in range(slots))
+    own = f"(SELECT tree::INTEGER AS tree, {_sql_hash('tree', 'slot', str(seed))} % n AS i FROM range({count}) a(tree), (SELECT n, unnest(range(n // 2)) AS slot FROM (SELECT count(*) AS n FROM c)))"
+    return f"{_C}, {_CB}, {picks}, x AS MATERIALIZED (SELECT c_custkey, label, tree, {sides} FROM b, p GROUP BY 1, 2, 3), own AS (SELECT x.* FROM {own} JOIN (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS i FROM c) USING (i) JOIN x USING (c_custkey, tree))"
+
+
+FOREST, EXTRA = trees.TreeConfig(depth=3), trees.TreeConfig(bins=2, depth=3)
+
+
+@query(_forest_sql(_resampled_sql(5, 2, 3), 2, FOREST))
 def random_forest_votes(spark, table):
-    rows = _customers(table)
-    forest = trees.train_random_forest(rows, CUSTOMER, "label", trees.TreeConfig(depth=3), f=FB, trees=5, features=2, instances=rows.count() // 2, seed=3)
+    rows = _customers(table).sort("c_custkey")  # draws are of places in this order
+    forest = trees.train_random_forest(rows, CUSTOMER, "label", FOREST, f=FB, trees=5, features=2, instances=rows.count() // 2, seed=3)
     return trees.votes(rows, forest, "c_custkey")
 
 
-@query()
-def extra_trees_votes(spark, table):
+def _extra(table, count: int):
     rows = _customers(table)
-    forest = trees.train_extra_trees(rows, CUSTOMER, "label", trees.TreeConfig(depth=3), f=FB, trees=5, features=3, seed=3)
+    return rows, trees.train_extra_trees(rows, CUSTOMER, "label", EXTRA, f=FB, trees=count, features=3, seed=3)
+
+
+@query(_forest_sql(_drawn_sql(5, 3, 3), 3, EXTRA, soft=True))
+def extra_trees_votes(spark, table):
+    rows, forest = _extra(table, 5)
     return trees.votes(rows, forest, "c_custkey", soft=True)
 
 
-_C = "c AS MATERIALIZED (SELECT c_custkey, trunc(c_acctbal * 1024)::BIGINT AS balance, c_nationkey::BIGINT * 1024 AS nation, trunc(coalesce(most, 0.0) / 100.0 * 1024)::BIGINT AS most, (coalesce(n, 0) >= 10)::INTEGER AS label FROM customer LEFT JOIN (SELECT o_custkey AS c_custkey, count(*) AS n, max(o_totalprice) AS most FROM orders GROUP BY 1) USING (c_custkey))"
-_CB = "b AS MATERIALIZED (SELECT c_custkey, label, " + ", ".join("(" + " + ".join(f"({c} >= (SELECT min({c}) + (({r} * (max({c}) - min({c}))) >> 10) FROM c))::BIGINT" for r in (204, 409, 614, 819)) + f") AS s{i}" for i, c in enumerate(CUSTOMER)) + " FROM c)"
-_CG = _gini_sql("(" + " UNION ALL ".join(f"SELECT {i} AS slot, s{i} AS bin, label, count(*) AS n FROM b GROUP BY 2, 3" for i in range(3)) + ")")
+@query(_forest_sql(_drawn_sql(5, 3, 3), 3, EXTRA))
+def extra_trees_majority(spark, table):
+    """The same trees' majority, which isn't their soft vote."""
+    rows, forest = _extra(table, 5)
+    return trees.votes(rows, forest, "c_custkey")
+
+
+@query(_forest_sql(_drawn_sql(8, 3, 3), 3, EXTRA, each=2))
+def extra_trees_bulk(spark, table):
+    """Four runs of two trees each, trained as one job, and every run's own vote."""
+    rows, forest = _extra(table, 8)
+    return trees.bulk_votes(rows, forest, "c_custkey", 4)
+
+
 _VOTE = f"""WITH {_C}, {_CB}, s AS (SELECT arg_max(slot, {_KEY}) AS slot FROM {_CG}),
 p AS (SELECT c_custkey, label, CASE s.slot WHEN 0 THEN s0 WHEN 1 THEN s1 ELSE s2 END AS bin FROM b, s),
 v AS (SELECT bin, (count(*) FILTER (label = 1) > count(*) FILTER (label = 0))::INTEGER AS class FROM p GROUP BY 1)"""
