@@ -1,5 +1,6 @@
 """Models on shares against the plain ones."""
 
+import json
 import random
 
 import pytest
@@ -9,6 +10,7 @@ from torvane.functions.ring import ring
 from torvane.functions.share import Dealer, open_sum
 from torvane.operators import lineage
 from torvane.operators.models import naive_bayes, oblivious, trees
+from torvane.sources import files
 
 
 @pytest.mark.parametrize("bins, classes, epsilon", [(2, 2, 0.3), (3, 3, 0.0)])
@@ -67,3 +69,26 @@ def test_join_by_frequency_splits_a_hot_key(spark):
     table = spark.range(140000).selectExpr("id k", "id * 10 v")
     want = sorted((i, k, k * 10) for i, k in ((i, 5 if i % 3 == 0 else i * 2) for i in range(60000)) if k < 140000)
     assert sorted((x.i, x.k, x.v) for x in lineage.join_by_frequency(rows, table, "k").select("i", "k", "v").collect()) == want
+
+
+def test_forest_in_documents(spark, tmp_path):
+    """A tree for each line, all nodes padded; what is read is what was written, and no document is an error."""
+    r = random.Random(8)
+    rows = [(i, r.randrange(1000), r.randrange(1000), r.randrange(1000)) for i in range(200)]
+    df = spark.createDataFrame([(i, a, b, c, int(a + b // 2 > 700)) for i, a, b, c in rows], "id long, a long, b long, c long, label int")
+    config = trees.TreeConfig(3, 3, 2, 0.2)
+    forest = trees.train_random_forest(df, ["a", "b", "c"], "label", config, f=10, trees=3, features=2, instances=100)
+    path = f"{tmp_path}/forest"
+    files.write_forest(forest, path)
+    documents = [json.loads(x.value) for x in spark.read.text(path).collect()]
+    assert sorted(x["tree"] for x in documents) == [0, 1, 2]
+    assert all(len(x["nodes"]) == 13 and all(sum(n["attribute"]) <= 1 and len(n["attribute"]) == 3 and len(n["splits"]) == 2 and len(n["frequencies"]) == 2 for n in x["nodes"]) for x in documents)
+    again = files.read_forest(spark, path)
+    assert again.config == config and again.columns == forest.columns
+    line = lambda x: (x.tree, x.node, x.layer, x.slot, tuple(x.freqs), x.classifies, x.attr)
+    assert sorted(map(line, again.nodes.collect()), key=str) == sorted(map(line, forest.nodes.collect()), key=str)
+    for soft in (False, True):
+        assert sorted(trees.votes(df, again, "id", soft=soft).collect()) == sorted(trees.votes(df, forest, "id", soft=soft).collect())
+    files.write_forest(trees.Forest(forest.nodes.limit(0), forest.cuts.limit(0), forest.columns, config), f"{tmp_path}/none")
+    with pytest.raises(ValueError):
+        files.read_forest(spark, f"{tmp_path}/none")

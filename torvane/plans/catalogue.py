@@ -891,6 +891,17 @@ def file_nodes(spark, table):
     return files.read_nodes(spark, path).select("node", "layer", "slot", F.get("freqs", F.lit(0)).alias("n0"), F.get("freqs", F.lit(1)).alias("n1"))
 
 
+@query(_SQL["extra_trees_votes"])
+def file_forest(spark, table):
+    """Soft votes of trees that were written as one document each and read again."""
+    rows, forest = _extra(table, 5)
+    path = f"{shared_dir(spark)}/torvane-files-{uuid.uuid4().hex}"
+    files.write_forest(forest, path)
+    again = files.read_forest(spark, path)
+    release(forest.nodes, forest.cuts)
+    return trees.votes(rows, again, "c_custkey", soft=True)
+
+
 @query("SELECT k AS party, sum(trunc(c_acctbal * 1024)::BIGINT)::BIGINT AS balance, sum(CASE WHEN c_mktsegment = 'BUILDING' THEN 1024 ELSE 0 END)::BIGINT AS label, count(*) AS n FROM customer, (VALUES (0)) v(k) GROUP BY 1")
 def cohort_shares(spark, table):
     """Two parties' cohorts, joined and shared, summed share by share and opened."""
