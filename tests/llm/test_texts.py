@@ -295,3 +295,34 @@ def test_every_symbol_is_learnt_from(monkeypatch):
         net = lm.Network.start(np.ones(lm.VOCABULARY), 1)
         lm.train_on(net, np.arange(n) % 9, lm._Adam(net.SIZE))
         assert sum(seen) == n
+
+
+def test_gradient_is_that_of_the_loss_and_takes_classes_together(monkeypatch):
+    rng = np.random.default_rng(3)
+    net = lm.Network.start(np.ones(lm.VOCABULARY), 2)
+    x, y = (rng.integers(0, lm.VOCABULARY, (9, 5)) for _ in range(2))
+    x[2, 3] = x[4, 0] = lm.END
+    h = rng.normal(0, 0.5, (9, lm.HIDDEN)).astype(np.float32)
+    calls, exp = [], np.exp
+    with monkeypatch.context() as m:
+        m.setattr(np, "exp", lambda *a, **b: calls.append(1) or exp(*a, **b))
+        g, _, loss = net.gradient(x, y, h)
+    assert len(calls) == 2  # one softmax of classes, one of words, however many classes occur
+    grad = lm.Network(g)
+
+    def total(other):
+        state, out = h, 0.0
+        for t in range(x.shape[1]):
+            state = other.step(x[:, t], state * (x[:, t] != lm.END)[:, None])[0]
+            out -= float(other.log_probability(state, y[:, t]).astype(np.float64).sum())
+        return out
+
+    assert loss == pytest.approx(total(net), rel=1e-4)
+    places = {"E": (int(x[0, 1]), 5), "U": (3, 40), "C": (2, 7), "c": (4,), "W": (int(y[0, 1]), 6), "w": (int(y[1, 2]),)}
+    for name, at in [*places.items(), ("E", (int(x[5, 4]), 20)), ("E", (int(x[1, 2]), 44)), ("U", (9, 2)), ("U", (1, 20))]:
+        ends = []
+        for d in (0.02, -0.02):
+            other = lm.Network(net.flat.copy())
+            getattr(other, name)[at] += d
+            ends.append(total(other))
+        assert getattr(grad, name)[at] * x.size == pytest.approx((ends[0] - ends[1]) / 0.04, rel=0.02, abs=5e-3), (name, at)

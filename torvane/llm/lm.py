@@ -92,10 +92,6 @@ class Table:
         return out
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
-
-
 class Network:
     """E: symbols to gate inputs, U: state to gates, C and c: classes, W and w: words in classes."""
 
@@ -120,67 +116,96 @@ class Network:
 
     def step(self, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
         a, b = self.E[x], h @ self.U
-        gates = _sigmoid(a[:, : 2 * HIDDEN] + b[:, : 2 * HIDDEN])
-        z, r, m = gates[:, :HIDDEN], gates[:, HIDDEN:], b[:, 2 * HIDDEN :]
-        n = np.tanh(a[:, 2 * HIDDEN :] + r * m)
-        return n + z * (h - n), z, r, m, n
+        m = b[:, 2 * HIDDEN :]
+        gates = a[:, : 2 * HIDDEN] + b[:, : 2 * HIDDEN]
+        gates *= np.float32(0.5)
+        np.tanh(gates, out=gates)
+        gates *= np.float32(0.5)
+        gates += np.float32(0.5)
+        z, r = gates[:, :HIDDEN], gates[:, HIDDEN:]
+        n = r * m
+        n += a[:, 2 * HIDDEN :]
+        np.tanh(n, out=n)
+        new = h - n
+        new *= z
+        new += n
+        return new, z, r, m, n
 
     def log_probability(self, h: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Natural logarithm of the probability of the symbols y after the states h."""
         kind = y // IN_CLASS
         a = h @ self.C + self.c
         out = a[np.arange(len(y)), kind] - np.log(np.exp(a).sum(1))
+        order, classes = self.by_class(kind)
+        b = self.in_classes(h[order], classes)
+        b += self.w.reshape(CLASSES, IN_CLASS)[kind[order]]
+        out[order] += b[np.arange(len(y)), y[order] % IN_CLASS] - np.log(np.exp(b).sum(1))
+        return out
+
+    @staticmethod
+    def by_class(kind: np.ndarray) -> tuple[np.ndarray, list[tuple[slice, slice]]]:
+        """The order by class, and of each class that occurs its rows in that order and its words."""
         order = np.argsort(kind.astype(np.int16), kind="stable")
         ends = np.searchsorted(kind[order], np.arange(CLASSES + 1))
-        for k in range(CLASSES):
-            at = order[ends[k] : ends[k + 1]]
-            if len(at):
-                own = slice(k * IN_CLASS, (k + 1) * IN_CLASS)
-                b = h[at] @ self.W[own].T + self.w[own]
-                out[at] += b[np.arange(len(at)), y[at] - k * IN_CLASS] - np.log(np.exp(b).sum(1))
+        return order, [(slice(ends[k], ends[k + 1]), slice(k * IN_CLASS, (k + 1) * IN_CLASS)) for k in range(CLASSES) if ends[k] < ends[k + 1]]
+
+    def in_classes(self, h: np.ndarray, classes: list[tuple[slice, slice]]) -> np.ndarray:
+        """States, ordered by class, times the words of their classes."""
+        out = np.empty((len(h), IN_CLASS), np.float32)
+        for rows, own in classes:
+            np.dot(h[rows], self.W[own].T, out=out[rows])
         return out
 
     def gradient(self, x: np.ndarray, y: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
         """Of the mean loss over [streams, steps], state h carried in (and reset where a text begins); the state to carry on."""
         g = Network(np.zeros(self.SIZE))
         steps, n = x.shape[1], x.shape[0]
-        before, kept, states = [], [], []
+        going = (x.T != END).astype(np.float32)[:, :, None]
+        before, z, r, m, c, states = (np.empty((steps, n, HIDDEN), np.float32) for _ in range(6))
         for t in range(steps):
-            h = h * (x[:, t] != END)[:, None]
-            before.append(h)
-            h, *rest = self.step(x[:, t], h)
-            kept.append(rest)
-            states.append(h)
-        hs, ys = np.concatenate(states), y.T.ravel()
+            before[t] = h * going[t]
+            h, z[t], r[t], m[t], c[t] = self.step(x[:, t], before[t])
+            states[t] = h
+        hs, ys = states.reshape(-1, HIDDEN), y.T.ravel()
         kind, rows, scale = ys // IN_CLASS, np.arange(len(ys)), np.float32(1 / len(ys))
-        a = hs @ self.C + self.c
-        p = np.exp(a - a.max(1, keepdims=True))
+        p = hs @ self.C + self.c
+        p -= p.max(1, keepdims=True)
+        np.exp(p, out=p)
         p /= p.sum(1, keepdims=True)
         loss = -np.log(p[rows, kind]).sum()
         p[rows, kind] -= 1
         p *= scale
         g.C[:], g.c[:], back = hs.T @ p, p.sum(0), p @ self.C.T
-        for k in np.unique(kind):
-            at, own = np.flatnonzero(kind == k), slice(k * IN_CLASS, (k + 1) * IN_CLASS)
-            b = hs[at] @ self.W[own].T + self.w[own]
-            q = np.exp(b - b.max(1, keepdims=True))
-            q /= q.sum(1, keepdims=True)
-            here, word = np.arange(len(at)), ys[at] - k * IN_CLASS
-            loss -= np.log(q[here, word]).sum()
-            q[here, word] -= 1
-            q *= scale
-            g.W[own], g.w[own] = q.T @ hs[at], q.sum(0)
-            back[at] += q @ self.W[own]
-        later, inputs = np.zeros_like(h), np.empty((steps, n, 3 * HIDDEN), np.float32)
+        order, classes = self.by_class(kind)
+        ordered, word = hs[order], ys[order] % IN_CLASS
+        q = self.in_classes(ordered, classes)
+        q += self.w.reshape(CLASSES, IN_CLASS)[kind[order]]
+        q -= q.max(1, keepdims=True)
+        np.exp(q, out=q)
+        q /= q.sum(1, keepdims=True)
+        loss -= np.log(q[rows, word]).sum()
+        q[rows, word] -= 1
+        q *= scale
+        more = np.empty_like(back)
+        for at, own in classes:
+            np.dot(q[at].T, ordered[at], out=g.W[own])
+            g.w[own] = q[at].sum(0)
+            np.dot(q[at], self.W[own], out=more[at])
+        back[order] += more
+        # how the gates' inputs change with the state, apart from d, the loss's slope there
+        dn = (1 - z) * (1 - c * c)
+        slopes = np.stack([(before - c) * z * (1 - z), dn * m * r * (1 - r), dn * r], 2)
+        back, later = back.reshape(steps, n, HIDDEN), np.zeros_like(h)
+        ds, inner, across = np.empty_like(z), np.empty((steps, n, 3 * HIDDEN), np.float32), np.ascontiguousarray(self.U.T)
         for t in reversed(range(steps)):
-            (z, r, m, c), prev = kept[t], before[t]
-            d = back[t * n : (t + 1) * n] + later
-            dn = d * (1 - z) * (1 - c * c)
-            dz, dr = d * (prev - c) * z * (1 - z), dn * m * r * (1 - r)
-            inputs[t] = np.concatenate([dz, dr, dn], 1)
-            inner = np.concatenate([dz, dr, dn * r], 1)
-            g.U += prev.T @ inner
-            later = (d * z + inner @ self.U.T) * (x[:, t] != END)[:, None]
+            d = np.add(back[t], later, out=ds[t])
+            np.multiply(d[:, None], slopes[t], out=inner[t].reshape(n, 3, HIDDEN))
+            later = inner[t] @ across
+            later += d * z[t]
+            later *= going[t]
+        g.U[:] = before.reshape(-1, HIDDEN).T @ inner.reshape(-1, 3 * HIDDEN)
+        inputs = inner  # of n its own input's slope, without r
+        np.multiply(ds, dn, out=inputs[:, :, 2 * HIDDEN :])
         seen = x.T.ravel()
         order = np.argsort(seen, kind="stable")
         ids, first = np.unique(seen[order], return_index=True)
@@ -194,12 +219,18 @@ class _Adam:
 
     def step(self, net: Network, g: np.ndarray) -> None:
         self.t += 1
-        norm = float(np.sqrt((g * g).sum()))
+        norm = float(np.sqrt(g @ g))
         g = g * np.float32(min(1.0, 1.0 / max(norm, 1e-9)))
-        self.m += np.float32(0.1) * (g - self.m)
-        self.v += np.float32(0.001) * (g * g - self.v)
+        for mean, x, part in ((self.v, g * g, 0.001), (self.m, g, 0.1)):
+            x -= mean
+            x *= np.float32(part)
+            mean += x
         rate = RATE * math.sqrt(1 - 0.999**self.t) / (1 - 0.9**self.t)
-        net.flat -= np.float32(rate) * self.m / (np.sqrt(self.v) + np.float32(1e-8))
+        by = np.sqrt(self.v)
+        by += np.float32(1e-8)
+        np.divide(self.m, by, out=by)
+        by *= np.float32(rate)
+        net.flat -= by
 
 
 def train_on(net: Network, symbols: np.ndarray, adam: _Adam, streams: int = STREAMS) -> float:
