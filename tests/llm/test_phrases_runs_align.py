@@ -9,6 +9,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
+from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from torvane.llm import align, phrases, queries, runs
@@ -226,3 +227,22 @@ def test_byte_level_ids_are_those_of_the_file(tokenizers):
     encode, _ = align.byte_level(PATHS["path_a"], PATHS["pattern"])
     texts = [" a{0}a1{0}1 {0}!{0} {0}\n{0}".format(chr(c)) for c in range(0, 0x30000, 7) if not 0xD800 <= c < 0xE000]
     assert [encode(t) for t in texts] == [e.ids for e in tokenizers[0].encode_batch(texts, add_special_tokens=False)]
+
+
+def test_links_and_digests_where_both_sides_go_on(spark):
+    """In the first group each side has a token that ends inside of one of the other. Links take one function with a lambda over all tokens, the others see only tokens that end alone."""
+    sides = {"a": ([1, 2, 3], [3, 6, 8], 10), "b": ([4, 5, 6, 7], [2, 4, 6, 8], 1)}
+    row = [1]
+    for ids, ends, times in sides.values():
+        sizes = np.diff([0, *ends]).tolist()
+        row += [ids, ends, [i for i, n in enumerate(sizes) for _ in range(n)], [(i << 7) + x * times for i, x in enumerate(ids)]]
+    arrays = [T.StructField(c, T.ArrayType(T.LongType() if c.endswith("keys") else T.IntegerType(), False), False) for c in align.COLUMNS]
+    tokens = spark.createDataFrame([row, [2] + [[]] * 8, row], T.StructType([T.StructField("doc_id", T.LongType()), *arrays]))
+    made = align.links(tokens, 10, 10)
+    got = made.select("doc_id", "open_a", "open_b", "pairs").collect()
+    full = (1, [0], [0, 1], [14, 15, 25, 26, 37])
+    assert [tuple(r) for r in got] == [full, (2, [], [], []), full]
+    digests = align.digests(made.select("doc_id", "a", "b", "open_a", "open_b"), 10, 10).collect()
+    assert [tuple(r) for r in digests] == [(1, sha("1,2|4,5,6;3|7")), (2, ""), (1, sha("1,2|4,5,6;3|7"))]
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("zip_with(") == 1 and plan.count("transform(") == plan.count("transform(only_") > 0

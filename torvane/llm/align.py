@@ -1,13 +1,14 @@
 """Alignment of two tokenizers: tokens of one text by both, cut into groups where both end, and links between tokens whose bytes overlap.
 
-Python only tokenises. Groups and links are made of arrays by Spark's own functions: the ends that both arrays have are their
-intersection; arrays that say for each byte which token holds it turn places into tokens in one step, so all work grows with the text's length.
+Python tokenises, and writes the digests of groups. Groups and links are made of arrays by Spark's own functions: the ends that only one of both arrays has
+are their differences; arrays that say for each byte which token holds it turn places into tokens in one step, so all work grows with the text's length.
 """
 
 from __future__ import annotations
 
-import array
 import functools
+import hashlib
+import itertools
 import json
 from collections.abc import Callable, Iterator
 
@@ -15,12 +16,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from torvane.llm.shared import cut, release
 
 #: Pairs of ids whose counts are broadcast, at most: the most frequent ones; the counts of the others are joined.
 FREQUENT = 1 << 18
 
+#: Bytes of what goes to a Python worker at once.
+BATCH = 4 << 20
+
 
 def byte_decoder() -> dict[str, int]:
     """The byte of each letter of a byte-level vocabulary: printable bytes stand for themselves, the others follow from code point 256 on."""
@@ -60,112 +65,135 @@ def pieces(path: str):
     return sp.encode, table
 
 
-def _tokens(path_a: str, pattern: str, path_b: str):
+COLUMNS = ["a", "a_ends", "a_at", "a_keys", "b", "b_ends", "b_at", "b_keys"]
+
+
+def _tokens(path_a: str, pattern: str, path_b: str, stride: int, bits: int):
+    items = [pa.list_(pa.field("element", t, nullable=False)) for t in (pa.int32(), pa.int32(), pa.int32(), pa.int64())]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (encode_a, table_a), (encode_b, table_b) = byte_level(path_a, pattern), pieces(path_b)
         size_a, size_b = (np.fromiter(map(len, t), np.int32) for t in (table_a, table_b))
         for whole in batches:
             for lo in range(0, whole.num_rows, 64):
                 batch = whole.slice(lo, 64)
-                texts = [t or "" for t in batch.column("text").to_pylist()]
                 lists = []
-                for text, b in zip(texts, encode_b(texts, num_threads=1), strict=True):
-                    a, raw = encode_a(f" {text}"), f" {text}".encode()
-                    same = text and b"".join([table_a[i] for i in a]) == raw == b"".join([table_b[i] for i in b])
+                for text in batch.column("text").to_pylist():
+                    a, b = (encode_a(f" {text}"), encode_b(text)) if text else ([], [])  # one text a call: the piece model takes a third more time for lists of texts
+                    same = text and b"".join([table_a[i] for i in a]) == f" {text}".encode() == b"".join([table_b[i] for i in b])
                     lists.append((a, b) if same else ([], []))
                 out = [batch.column("doc_id")]
-                for side, sizes in ((0, size_a), (1, size_b)):
-                    ids = np.frombuffer(b"".join([array.array("i", x[side]).tobytes() for x in lists]), np.int32)
-                    offsets = np.r_[0, np.cumsum([len(x[side]) for x in lists])]
-                    total = np.r_[0, np.cumsum(sizes[ids], dtype=np.int64)]
-                    ends = (total[1:] - np.repeat(total[offsets[:-1]], np.diff(offsets))).astype(np.int32)
-                    out += [pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(v)) for v in (ids, sizes[ids], ends)]
-                yield pa.record_batch(out, names=["doc_id", "a", "a_sizes", "a_ends", "b", "b_sizes", "b_ends"])
+                for side, sizes, times in ((0, size_a, stride), (1, size_b, 1)):
+                    ids = np.fromiter(itertools.chain.from_iterable(x[side] for x in lists), np.int32)
+                    counts = [len(x[side]) for x in lists]
+                    offsets, total = np.r_[0, np.cumsum(counts)], np.r_[0, np.cumsum(sizes[ids], dtype=np.int64)]
+                    ends = (total[1:] - np.repeat(total[offsets[:-1]], counts)).astype(np.int32)
+                    places = np.arange(len(ids)) - np.repeat(offsets[:-1], counts)
+                    at, keys = np.repeat(places.astype(np.int32), sizes[ids]), (places << bits) + ids.astype(np.int64) * times
+                    found = zip((offsets, offsets, total[offsets], offsets), (ids, ends, at, keys), items, strict=True)
+                    out += [pa.ListArray.from_arrays(pa.array(o.astype(np.int32)), pa.array(v), type=t) for o, v, t in found]
+                yield pa.RecordBatch.from_arrays(out, names=["doc_id", *COLUMNS])
 
     return run
 
 
-def tokenized(docs: DataFrame, *, path_a: str, pattern: str, path_b: str) -> DataFrame:
-    """Rows (doc_id, a, a_sizes, a_ends, b, b_sizes, b_ends) of the documents (doc_id, text): the ids of a blank and the text by a byte-level vocabulary, and of
-    the text by a piece model (which puts the blank itself), the bytes of each token, and behind how many bytes it ends. Names of special tokens in a text are text.
+def _bits(stride: int, ids_a: int) -> int:
+    return max(1, stride * ids_a - 1).bit_length()
+
+
+def tokenized(docs: DataFrame, *, path_a: str, pattern: str, path_b: str, stride: int = 1 << 15, ids_a: int = 1 << 16) -> DataFrame:
+    """Rows (doc_id, a, a_ends, a_at, a_keys, b, b_ends, b_at, b_keys) of the documents (doc_id, text): the ids of a blank and the text by a byte-level vocabulary, and of the text by a piece
+    model (which puts the blank itself), behind how many bytes each token ends, for each byte the place of the token that holds it, and keys that sort tokens by place: below the place they
+    have the id, a's times stride, in as many bits as stride times ids_a takes. Names of special tokens in a text are text.
 
     Null and empty texts, and those that the joined bytes of either side's tokens don't give back, have no tokens. Repeated
     rows stay; other columns are ignored; an empty table gives no rows.
     """
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    ints = ", ".join(f"{c} array<int>" for c in ("a", "a_sizes", "a_ends", "b", "b_sizes", "b_ends"))
-    return rows.mapInArrow(_tokens(path_a, pattern, path_b), f"doc_id long, {ints}")
-
-
-def _let(x: Column, f: Callable[[Column], Column]) -> Column:
-    """f of x, which is computed once, however often f and the functions inside it read it."""
-    return F.get(F.transform(F.array(x), f), F.lit(0))
-
-
-def _holders(sizes: str) -> Column:
-    """For each byte, the place of the token that holds it."""
-    return F.flatten(F.transform(sizes, lambda n, i: F.array_repeat(i, n)))
-
-
-def _split(ids: str, after: Column) -> Column:
-    """The ids in stretches, the tokens at the places after being the last ones of theirs."""
-    last = F.size(ids) - 1
-    return F.zip_with(F.concat(F.array(F.lit(-1)), after), F.concat(after, F.array(last)), lambda p, q: F.slice(F.col(ids), p + 2, q - p))
-
-
-def _doubled(ids: str, at: Column) -> Column:
-    """The ids, those of the tokens at these places once more for each time they are named."""
-    last = F.size(ids) - 1
-    return F.flatten(F.zip_with(F.concat(F.array(F.lit(0)), at), F.concat(at, F.array(last)), lambda p, q: F.slice(F.col(ids), p + 1, q - p + 1)))
+    fields = [T.StructField(c, T.ArrayType(T.LongType() if c.endswith("keys") else T.IntegerType(), False), False) for c in COLUMNS]
+    return rows.mapInArrow(_tokens(path_a, pattern, path_b, stride, _bits(stride, ids_a)), T.StructType([T.StructField("doc_id", T.LongType()), *fields]))
 
 
 def links(tokens: DataFrame, stride: int, ids_a: int) -> DataFrame:
-    """tokens with cuts (the bytes where both sides' tokens end), a_split and b_split (ids in stretches: between two of them the other side has a token that goes on), and pairs: a's id
-    times stride and b's id for each two tokens that overlap, by place.
+    """tokens with open_a and open_b (places of tokens that end where none of the other side does: a group ends with every other token), and pairs: a's id times stride and b's id for each two
+    tokens that overlap, by place.
 
-    Most tokens of one side end where one of the other does, so only what differs is worked on place by place: a token is one link, and one more wherever one of the
-    other side begins inside of it.
+    Most tokens of one side end where one of the other does, so lambdas see only those that don't: such a token is a link more, with the token that holds the next byte on the other side, whose
+    key is sorted in once more. Keys are sorted in a select of their own and read twice after it, else Spark would put that into the next function with a lambda, where all is interpreted.
     """
-    pair = "int" if stride * ids_a <= 2**31 else "bigint"
+    bits = _bits(stride, ids_a)
+    apart = tokens.select("*", F.array_except("a_ends", "b_ends").alias("only_a"), F.array_except("b_ends", "a_ends").alias("only_b"))
     ending = lambda ends, of: F.transform(ends, lambda e: F.get(of, e - 1))
-    inside = lambda ends, of: F.transform(ends, lambda e: F.get(of, e))
+    inside = lambda ends, of, keys: F.transform(ends, lambda e: F.coalesce(F.get(keys, F.get(of, e)), F.lit(0)))
+    placed = apart.select(
+        *tokens.columns, ending("only_a", "a_at").alias("open_a"), ending("only_b", "b_at").alias("open_b"),
+        inside("only_b", "a_at", "a_keys").alias("more_a"), inside("only_a", "b_at", "b_keys").alias("more_b"),
+    )
+    columns = [*tokens.columns, "open_a", "open_b"]
+    linked = placed.select(*columns, F.sort_array(F.concat("a_keys", "more_a")).alias("linked_a"), F.sort_array(F.concat("b_keys", "more_b")).alias("linked_b"))
+    pairs = F.zip_with("linked_a", "linked_b", lambda a, b: (a + b).bitwiseAND(F.lit(2**bits - 1).cast("long")))
+    pairs = F.when(F.size("linked_a") == F.size("linked_b"), pairs)  # always
+    return linked.select(*columns, pairs.cast("array<int>" if bits < 32 else "array<bigint>").alias("pairs"))
 
-    def placed(x: Column) -> Column:
-        return F.struct(ending(x.only_a, x.of_a).alias("a_end"), inside(x.only_a, x.of_b).alias("b_in"), ending(x.only_b, x.of_b).alias("b_end"), inside(x.only_b, x.of_a).alias("a_in"))
 
-    def every(x: Column) -> Column:
-        linked = F.zip_with(_doubled("a", x.a_in), _doubled("b", x.b_in), lambda a, b: a.cast(pair) * stride + b)
-        return F.struct(_split("a", x.a_end).alias("a_split"), _split("b", x.b_end).alias("b_split"), linked.alias("pairs"))
+@functools.cache
+def _names(ids_a: int, ids_b: int) -> np.ndarray:
+    """What a token is in the text of groups: at twice its id (b's behind all of a's) as the last one of its side of a group, one further on as another one."""
+    return np.array([f"{i}{mark}".encode() for n, last in ((ids_a, "|"), (ids_b, ";")) for i in range(n) for mark in (last, ",")])
 
-    found = F.struct(_holders("a_sizes").alias("of_a"), _holders("b_sizes").alias("of_b"), F.array_except("a_ends", "b_ends").alias("only_a"), F.array_except("b_ends", "a_ends").alias("only_b"))
-    made = F.when(F.size("a") > 0, _let(_let(found, placed), every))
-    out = tokens.select("*", F.array_intersect("a_ends", "b_ends").alias("cuts"), made.alias("made"))
-    return out.select(*tokens.columns, "cuts", "made.a_split", "made.b_split", F.coalesce("made.pairs", F.array().cast(f"array<{pair}>")).alias("pairs"))
 
+def _digests(ids_a: int, ids_b: int):
+    def side(batch: pa.RecordBatch, name: str):
+        """The ids of all rows, whether each leaves its group open, the group of each (counted over all rows), and where rows begin."""
+        ids, opened = batch.column(name), batch.column(f"open_{name}")
+        starts = np.r_[0, np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False), dtype=np.int64)]
+        more = np.zeros(starts[-1], bool)
+        more[opened.flatten().to_numpy(zero_copy_only=False) + np.repeat(starts[:-1], opened.value_lengths().to_numpy(zero_copy_only=False))] = True
+        return ids.flatten().to_numpy(zero_copy_only=False).astype(np.int64), more, np.cumsum(~more) - ~more, starts
 
-def group_text() -> Column:
-    """The groups of links(): ids of either side joined by commas, sides by |, groups by ;."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = _names(ids_a, ids_b)
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 64):
+                batch = whole.slice(lo, 64)
+                (a, more_a, group_a, starts_a), (b, more_b, group_b, starts_b) = side(batch, "a"), side(batch, "b")
+                n = int(group_a[-1]) + 1 if len(a) else 0
+                before_b = np.r_[0, np.cumsum(np.bincount(group_b, minlength=n))]  # b's tokens of the groups before each one
+                up_to_a = np.cumsum(np.bincount(group_a, minlength=n))  # a's tokens up to each group's end
+                order = np.empty(len(a) + len(b), np.int64)
+                order[np.arange(len(a)) + before_b[group_a]] = 2 * a + more_a
+                order[np.arange(len(b)) + up_to_a[group_b]] = 2 * (b + ids_a) + more_b
+                starts = starts_a + starts_b
+                texts = [names[order[i:j]].tobytes().translate(None, b"\0")[:-1] for i, j in itertools.pairwise(starts.tolist())]
+                found = pa.array([hashlib.sha256(t).hexdigest() if t else "" for t in texts], pa.string())
+                yield batch.select([c for c in batch.schema.names if c not in ("a", "b", "open_a", "open_b")]).append_column("groups_sha256", found)
 
-    def side(split: str) -> Column:
-        """[[1, 2], [3]] has one group that goes on from 2 to 3."""
-        return F.split(F.btrim(F.replace(F.replace(F.col(split).cast("string"), F.lit("], ["), F.lit(",")), F.lit(", "), F.lit("|")), F.lit("[]")), r"\|")
+    return run
 
-    both = F.arrays_zip(side("a_split").alias("x"), side("b_split").alias("y")).cast("string")  # [{1,2, 3}, {4, 5}]
-    return F.btrim(F.replace(F.replace(both, F.lit("}, {"), F.lit(";")), F.lit(", "), F.lit("|")), F.lit("[]{}"))
+
+def digests(groups: DataFrame, ids_a: int, ids_b: int) -> DataFrame:
+    """Rows with groups_sha256 in place of (a, b, open_a, open_b) as links() gives them: the digest of the groups' text, in which ids of either side are joined by commas, sides by |, groups by ;.
+    Empty without tokens. Other columns stay."""
+    kept = [f for f in groups.schema.fields if f.name not in ("a", "b", "open_a", "open_b")]
+    return groups.mapInArrow(_digests(ids_a, ids_b), T.StructType([*kept, T.StructField("groups_sha256", T.StringType())]))
 
 
 def aligned(docs: DataFrame, *, path_a: str, pattern: str, path_b: str, stride: int = 1 << 15, ids_a: int = 1 << 16, frequent: int = FREQUENT) -> DataFrame:
     """Rows (doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256), one for each document of tokenized(): counts of tokens, groups and links; links
-    whose pair of ids is the most frequent one of its a id; the sum of all links' counts; and the digest of group_text(), empty without tokens.
+    whose pair of ids is the most frequent one of its a id; the sum of all links' counts; and the digest of digests().
 
     The count of a pair is the number of documents that hold it, over all of docs. stride is more than any id of b, ids_a more than any of a. Rows count as documents, repeated ones too.
     """
-    made = links(tokenized(docs, path_a=path_a, pattern=pattern, path_b=path_b), stride, ids_a)
-    digest = F.when(F.size("cuts") > 0, F.sha2(group_text().cast("binary"), 256)).otherwise("")
-    own = made.select(
-        F.monotonically_increasing_id().alias("row"), "doc_id", *(F.size(c).cast("long").alias(n) for c, n in (("a", "n_a"), ("b", "n_b"), ("cuts", "n_groups"), ("pairs", "n_links"))), digest.alias("groups_sha256"), "pairs",
-    )
-    own = cut(own)
+    made = links(tokenized(docs, path_a=path_a, pattern=pattern, path_b=path_b, stride=stride, ids_a=ids_a), stride, ids_a)
+    sizes = (n.cast("long").alias(c) for n, c in ((F.size("a"), "n_a"), (F.size("b"), "n_b"), (F.size("a") - F.size("open_a"), "n_groups"), (F.size("pairs"), "n_links")))
+    own = digests(made.select("doc_id", *sizes, "pairs", "a", "b", "open_a", "open_b"), ids_a, stride).withColumn("row", F.monotonically_increasing_id())
+    conf, most = docs.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    usual = conf.get(most)
+    conf.set(most, BATCH)  # two Python workers a task hold a batch each
+    try:
+        own = cut(own)
+    finally:
+        conf.set(most, usual)
     counts = cut(own.select(F.explode(F.array_distinct("pairs")).alias("pair")).groupBy("pair").agg(F.count("*").alias("n")))
     by_a = counts.select((F.col("pair") / stride).cast("int").alias("a"), "n").groupBy("a").agg(F.max("n").alias("most"))  # a row for each id of one vocabulary
     counts = counts.join(F.broadcast(by_a), (F.col("pair") / stride).cast("int") == F.col("a")).select("pair", "n", (F.col("n") == F.col("most")).cast("long").alias("best"))
