@@ -4,10 +4,11 @@ import itertools
 import random
 from fractions import Fraction
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from torvane.functions import share
+from torvane.functions import gates, share
 from torvane.functions.ring import ring
 from torvane.functions.share import Dealer, Held
 from torvane.operators import aggregates as ag
@@ -170,3 +171,51 @@ def test_regression_on_shares_is_the_plain_one(spark):
         own = df.select("i", *(d.share(F.col(c), c).alias(c) for c in (*names, "y")))
     got = logistic.learn_shared(own, names, "y", d, f=10, rate=300, rounds=2, top=41)
     assert [signed(a + b) for a, b in got] == logistic.learn(df, names, "y", f=10, rate=300, rounds=2)
+
+
+def opened_ends(found):
+    return {x.k: (x.lo, x.hi) for x in found.select("k", share.open_sum(F.col("lo")).alias("lo"), share.open_sum(F.col("hi")).alias("hi")).collect()}
+
+
+def test_ends_of_many_rows_are_found_in_few_jobs(spark):
+    """150,000 rows, more than a task takes at once: no table is written between rounds of comparisons. Null isn't a value, and may be a key."""
+    x = F.pmod(F.xxhash64("id"), F.lit(1 << 40)) - (1 << 39)
+    k = F.when(F.col("id") % 1000 < 900, "hot").when(F.col("id") % 7 > 0, F.lit("other")).otherwise(F.lit(None))
+    rows = spark.range(0, 150_000, 1, 2).select(k.alias("k"), F.col("id").alias(shared.I), F.when(F.col("id") % 5 > 0, x).alias("v"))
+    rows = rows.union(spark.sql(f"SELECT 'none', {2 * 10**5}L, CAST(null AS long)"))
+    want = {r.k: (r.lo, r.hi) for r in rows.groupBy("k").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).collect()}
+    with ring(spark):
+        own = rows.withColumn("v", Dealer((shared.I,)).share(F.col("v"), "v").column)
+        spark.sparkContext.setJobGroup("ends", "ends")
+        try:
+            got = opened_ends(shared.min_max(own, ["k"], "v", NONE, 41))
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got == want and got["none"] == (None, None) and None in got
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("ends")) <= 3
+
+
+@pytest.mark.parametrize("bits", [64, 256])
+def test_gates_open_to_plain_results(bits):
+    """Comparisons at the ends of their range, products, choices, and 64-bit counts in a wider ring and back."""
+    r, p = random.Random(bits), bits - 2
+    x = [0, -1, (1 << p - 1) - 1, -(1 << p - 1), 5, 5, *(r.randrange(-(1 << p - 1), 1 << p - 1) for _ in range(300))]
+    y = [0, 0, -(1 << p - 1), (1 << p - 1) - 1, 5, 6, *(r.choice((v, v - 1, r.randrange(-(1 << p - 1), 1 << p - 1))) for v in x[6:])]
+    at, kind = gates.Gates(1, bits, bits=bits), np.uint64 if bits == 64 else object
+
+    def dealt_out(values, to=bits):
+        own = [r.getrandbits(to) for _ in values]
+        return tuple(np.array([v % (1 << to) for v in part], np.uint64 if to == 64 else object) for part in (own, [v - o for v, o in zip(values, own, strict=True)]))
+
+    value = lambda s: [int(v) for v in at.kept(s[0] + s[1], s[0])[0]]
+    a, b = dealt_out(x), dealt_out(y)
+    more = at.geq(a, b, p)
+    assert value(more) == [int(u >= v) for u, v in zip(x, y, strict=True)]
+    assert value(at.mux(more, a, b)) == [max(u, v) % (1 << bits) for u, v in zip(x, y, strict=True)]
+    assert value(at.multiply(a, b)) == [u * v % (1 << bits) for u, v in zip(x, y, strict=True)]
+    counts = [0, 1, (1 << 62) + 1, *(r.getrandbits(40) for _ in range(100))]
+    wide = at.widened(dealt_out(counts, 64))
+    assert value(wide) == counts and wide[0].dtype == kind
+    assert [int(v) for v in np.add(*at.narrowed(wide))] == counts
+    empty = np.zeros(0, kind)
+    assert len(at.geq((empty, empty), (empty, empty), p)[0]) == 0

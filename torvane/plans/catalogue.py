@@ -340,12 +340,17 @@ def _long_features(table) -> tuple[DataFrame, DataFrame]:
     return cells.select("col", shared.I, Dealer(("col", shared.I)).share(F.col("v"), "v").alias("v")), rows
 
 
+def _shared_features(table) -> DataFrame:
+    """Rows of shared features."""
+    rows = _features(table).withColumn(shared.I, F.monotonically_increasing_id())
+    d = Dealer((shared.I,))
+    return rows.select(*(d.share(F.col(c), c).alias(c) for c in FEATURES))
+
+
 @query(_SQL["min_max"])
 def min_max_shared(spark, table):
-    """Of every column, by a tree of shared comparisons over all rows."""
-    cells, written = _long_features(table)
-    found = shared.min_max(cells, ["col"], "v", Dealer(()), TOP)
-    release(written)
+    """Of every column, by trees of shared comparisons over all rows."""
+    found = shared.column_ends(_shared_features(table), FEATURES, Dealer(()), TOP)
     return found.select("col", share.open_sum(F.col("lo")).alias("lo"), share.open_sum(F.col("hi")).alias("hi"))
 
 
