@@ -14,6 +14,7 @@ from torvane.functions.share import Dealer, Held
 from torvane.operators import aggregates as ag
 from torvane.operators import linalg, shared
 from torvane.operators.models import logistic, trees
+from torvane.plans import catalogue
 
 NONE = Dealer(())
 
@@ -219,3 +220,13 @@ def test_gates_open_to_plain_results(bits):
     assert [int(v) for v in np.add(*at.narrowed(wide))] == counts
     empty = np.zeros(0, kind)
     assert len(at.geq((empty, empty), (empty, empty), p)[0]) == 0
+
+
+def test_nulls_are_in_the_first_bin(spark, tmp_path):
+    """On shares as in the plain query: a column with nulls and one without values, over more rows than a task takes at once; and a table without rows."""
+    rows = spark.range(0, 70_000, 1, 1).selectExpr("double(id % 50) l_quantity", "if(id % 3 = 0, null, double(id % 977)) l_extendedprice", "double(null) l_discount", "id % 9 / 100.0D l_tax", "'R' l_returnflag")
+    for name, own in (("some", rows), ("none", rows.limit(0))):
+        own.write.parquet(f"{tmp_path}/{name}/lineitem.parquet")
+        got, want = (sorted(map(tuple, catalogue.queries()[q](spark, f"{tmp_path}/{name}").select("slot", *(f"b{k}" for k in range(5))).collect())) for q in ("one_hot_sums_shared", "one_hot_sums"))
+        assert got == want and len(got) == (4 if name == "some" else 0)
+    assert got == []

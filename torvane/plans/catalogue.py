@@ -333,13 +333,6 @@ def argmax_ratio_shared(spark, table):
     return hot.select("l_returnflag", "p", share.open_sum(F.col("hot")).alias("hot"))
 
 
-def _long_features(table) -> tuple[DataFrame, DataFrame]:
-    """Rows (i, col, v) of shared features by position, and what to release."""
-    rows = with_index(_features(table), shared.I)
-    cells = rows.select(shared.I, F.inline(F.array(*(F.struct(F.lit(c).alias("col"), F.col(c).alias("v")) for c in FEATURES))))
-    return cells.select("col", shared.I, Dealer(("col", shared.I)).share(F.col("v"), "v").alias("v")), rows
-
-
 def _shared_features(table) -> DataFrame:
     """Rows of shared features."""
     rows = _features(table).withColumn(shared.I, F.monotonically_increasing_id())
@@ -457,18 +450,11 @@ def one_hot_sums(spark, table):
 @query(_SQL["one_hot_sums"])
 def one_hot_sums_shared(spark, table):
     """Bins between shared ends of each column, told as shares of one-hot vectors, summed share by share."""
-    cells, written = _long_features(table)
-    ends = shared.min_max(cells, ["col"], "v", Dealer(()), TOP)
-    d = Dealer(("col", shared.I))
-    at = Held(cells.join(F.broadcast(ends), "col"))  # a row for each column
-    x, lo, hi = at.hold(*(share.Pair(F.col(f"{c}.s0"), F.col(f"{c}.s1")) for c in ("v", "lo", "hi")))
-    hot = shared.bins(at, x, lo, hi, 5, FB, d, TOP + FB)
-    sums = at.done(**{f"b{k}": b.column for k, b in enumerate(hot)}).groupBy("col").agg(*((F.sum(f"b{k}.s0") + F.sum(f"b{k}.s1")).alias(f"b{k}") for k in range(5)))
+    rows = _shared_features(table)
+    ends = shared.column_ends(rows, FEATURES, Dealer(()), TOP)
+    sums = shared.bin_counts(rows, FEATURES, ends, 5, FB, Dealer(()), TOP + FB)
     slot = F.array_position(F.array(*(F.lit(c) for c in FEATURES)), F.col("col")).cast("int") - 1
-    out = cut(sums.select(slot.alias("slot"), *(f"b{k}" for k in range(5))))
-    release(written, ends)
-    return out
-
+    return sums.select(slot.alias("slot"), *(share.open_sum(F.col(f"b{k}")).alias(f"b{k}") for k in range(5)))
 
 
 def _sql_hash(*parts: str) -> str:
