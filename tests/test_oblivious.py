@@ -43,6 +43,21 @@ def test_induction_of_too_many_rows_is_an_error(spark):
             oblivious.induce(shares, 1, config)
 
 
+@pytest.mark.parametrize("bins", [2, 3])
+def test_induction_of_more_rows_than_64_bits_compare(spark, bins):
+    """9,000 rows: scores in a wider ring. Slots 1 and 2 are the same, so the first of them is taken; an odd number of slots."""
+    config = trees.TreeConfig(bins, 3, 2, 0.01)
+    x = [f"int(pmod(xxhash64(id, {k}), {bins}))" for k in range(4)]
+    df = spark.range(9000).selectExpr("0 tree", "id row", f"int(if(pmod(xxhash64(id), 10) < 7, {x[1]} = 0, {x[3]} = 0)) label", f"array({x[0]}, {x[1]}, {x[1]}, {x[3]}, 0) bins")
+    with ring(spark):
+        shares = oblivious.dealt(df, 5, config, Dealer(("tree", "row")))
+        got = oblivious.reveal(oblivious.induce(shares, 5, config, bits=None), config).collect()
+        want = trees.induce(df, config).collect()
+    line = lambda x: (x.tree, x.node, x.layer, x.slot, tuple(x.freqs), x.classifies)
+    assert sorted(map(line, got), key=str) == sorted(map(line, want), key=str)
+    assert next(x.slot for x in got if x.node == 0) == 1
+
+
 def test_bayes_on_shares_is_the_plain_one(spark):
     """Three classes, words that the vocabulary lacks, an example of such words only, and ties, which go to the first class."""
     r = random.Random(4)

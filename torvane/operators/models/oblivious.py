@@ -7,9 +7,16 @@ arrays, so a layer shuffles sums of cells and no rows. Build these inside `with
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from torvane.functions import gates as g
+from torvane.functions.gates import Gates, Share
 from torvane.functions.ring import big
 from torvane.functions.share import Dealer, Held, Pair, add, constant, negate01, open_sum, pair, scale, subtract
 from torvane.operators import sets, shared
@@ -63,19 +70,60 @@ def _contingency(state: DataFrame, layer: int, config: TreeConfig, seed: int) ->
     return sums.select("tree", *place, pair(F.col("p0") + r, F.col("p1") + F.col("w") - r).alias("v"))
 
 
-def _ratios(counts: DataFrame, layer: int, config: TreeConfig, seed: int) -> DataFrame:
-    """Rows (tree, node, slot, n, d): the sum over bins of class counts squared over one more than the bin's rows, as one shared ratio."""
-    cell = Dealer((*NODE, "slot", "bin", "label"), seed)
-    squares = counts.withColumn("q", cell.multiply(F.col("v"), F.col("v"), f"square{layer}").column)
-    one = lambda b, c, plus=0: (F.sum(F.when(F.col("bin") == b, F.col(c))) + big(plus))
-    cells = [f.alias(f"{n}{b}_{k}") for b in range(config.bins) for k in (0, 1) for n, f in (("q", one(b, f"q.s{k}")), ("y", one(b, f"v.s{k}", k)))]
-    at = Held(squares.groupBy(*NODE, "slot").agg(*cells))
-    n, d, deal = _of("q0_"), _of("y0_"), Dealer((*NODE, "slot"), seed)
-    for b in range(1, config.bins):
-        q, y = _of(f"q{b}_"), _of(f"y{b}_")
-        left, right = deal.multiply(n, y, f"left{layer}", str(b)), deal.multiply(q, d, f"right{layer}", str(b))
-        n, d = at.hold(add(left, right), deal.multiply(d, y, f"all{layer}", str(b)))
-    return at.done(n=n.column, d=d.column).select(*NODE, "slot", "n", "d")
+def _scores(at: Gates, counts: Share, shape: tuple[int, int, int, int]) -> tuple[Share, Share]:
+    """Shared n and d of the sum over bins of class counts squared over one more than the bin's rows, slot by slot and in a slot node by node, from counts by (node, slot, bin, class)."""
+    by_bin = lambda x: at.kept(*(np.ascontiguousarray(v.reshape(shape).sum(axis=3).transpose(2, 1, 0)).reshape(shape[2], -1) for v in x))
+    q, y = by_bin(at.multiply(counts, counts)), by_bin(counts)
+    y = at.kept(y[0], y[1] + 1)
+    n, d = (q[0][0], q[1][0]), (y[0][0], y[1][0])
+    for b in range(1, shape[2]):
+        own, size = (q[0][b], q[1][b]), (y[0][b], y[1][b])
+        n, d = at.kept(*g.add(at.multiply(n, size), at.multiply(own, d))), at.multiply(d, size)
+    return n, d
+
+
+def _first_largest(at: Gates, n: Share, d: Share, slots: int) -> Share:
+    """Shares of 1 at the first slot with the largest n / d of each node and of 0 elsewhere: pairs of slots are compared crosswise, and the bits that tell who wins multiplied down again."""
+    rows, bits = [tuple(v.reshape(slots, -1) for v in x) for x in (n, d)], []
+    while (alive := len(rows[0][0])) > 1:
+        left, right = ([tuple(v[k : alive // 2 * 2 : 2].reshape(-1) for v in x) for x in rows] for k in (0, 1))
+        bit = at.geq(at.multiply(left[0], right[1]), at.multiply(right[0], left[1]), at.bits - 1)
+        won = [at.mux(bit, x, y) for x, y in zip(left, right, strict=True)]
+        rows = [tuple(np.concatenate([w.reshape(alive // 2, -1), v[alive // 2 * 2 :]]) for w, v in zip(x, old, strict=True)) for x, old in zip(won, rows, strict=True)]
+        bits.append((alive, bit))
+    hot = g.constant(1, rows[0])
+    for alive, bit in reversed(bits):
+        above = tuple(v[: alive // 2].reshape(-1) for v in hot)
+        wins = at.multiply(above, bit)
+        loses = at.kept(*g.subtract(above, wins))
+        pairs = (np.stack([w.reshape(alive // 2, -1), x.reshape(alive // 2, -1)], axis=1).reshape(alive // 2 * 2, -1) for w, x in zip(wins, loses, strict=True))
+        hot = tuple(np.concatenate([x, v[alive // 2 :]]) for x, v in zip(pairs, hot, strict=True))
+    return hot
+
+
+def _hot_slots(layer: int, slots: int, config: TreeConfig, seed: int, bits: int) -> Callable:
+    """For mapInArrow: rows (tree, node, slot, s0, s1) of rows (tree, node, s0, s1: counts by slot, bin and class), in the ring of so many bits."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for k, rows in enumerate(batches):
+            at = Gates(seed, layer, TaskContext.get().partitionId(), k, bits=bits)
+            counts = at.widened(tuple(rows.column(s).flatten().to_numpy().view(np.uint64) for s in ("s0", "s1")))
+            hot = _first_largest(at, *_scores(at, counts, (rows.num_rows, slots, config.bins, config.classes)), slots)
+            slot = pa.array(np.repeat(np.arange(slots, dtype=np.int32), rows.num_rows))
+            node = pa.array(np.tile(np.arange(rows.num_rows), slots))
+            parts = (pa.array(v.reshape(-1).view(np.int64)) for v in at.narrowed(hot))
+            yield pa.record_batch([rows.column("tree").take(node), rows.column("node").take(node), slot, *parts], names=["tree", "node", "slot", "s0", "s1"])
+
+    return task
+
+
+def _best(counts: DataFrame, layer: int, slots: int, config: TreeConfig, seed: int, bits: int) -> DataFrame:
+    """Rows (tree, node, slot, hot): shares of 1 at a node's first slot with the largest score, and of 0 elsewhere. A row of counts for each node meets."""
+    cells = F.sort_array(F.collect_list(F.struct("slot", "bin", "label", F.col("v.s0").alias("s0"), F.col("v.s1").alias("s1"))))
+    nodes = counts.groupBy(*NODE).agg(cells.alias("cells")).select(*NODE, F.col("cells.s0").alias("s0"), F.col("cells.s1").alias("s1"))
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in nodes.select(*NODE).schema)
+    found = nodes.mapInArrow(_hot_slots(layer, slots, config, seed, bits), f"{kinds}, slot int, s0 long, s1 long")
+    return cut(found.select(*NODE, "slot", pair(F.col("s0"), F.col("s1")).alias("hot")))
 
 
 def _stops(nodes: DataFrame, layer: int, config: TreeConfig, seed: int, top: int) -> DataFrame:
@@ -121,19 +169,22 @@ def _moved(state: DataFrame, hot: DataFrame, layer: int, slots: int, config: Tre
     return chosen.select("tree", "row", "x", F.transform(_upto(nodes * config.bins * config.classes), member).alias("m"))
 
 
-def induce(rows: DataFrame, slots: int, config: TreeConfig, *, seed: int = 1) -> DataFrame:
+def induce(rows: DataFrame, slots: int, config: TreeConfig, *, seed: int = 1, bits: int | None = 64) -> DataFrame:
     """Rows (tree, node, layer, slot, freqs, classifies, below) of shares, one for every node of every layer, from rows (tree, row, x, y) as dealt() makes them.
 
     freqs is that of 0 unless the node classifies and none above it does; below tells that one above does; slot is null in the last layer. What they open to is
     what trees.induce() finds in the same rows. The number of rows of each tree is public. Scores are compared as exact
-    ratios in the ring, so the largest tree's rows n must leave n * (n / bins + 1) ** (2 * bins) below 2 ** 61: about 6,700 with two bins. More are an error. No rows give no nodes.
+    ratios in a ring of so many bits, so the largest tree's rows n must leave n * (n / bins + 1) ** (2 * bins) below 2 ** (bits - 3): with 64 bits about 6,700 with two bins. More are an error.
+    With None the ring has as many bits as that needs, so any number of rows will do. No rows give no nodes.
     """
     totals = cut(rows.groupBy("tree").agg(F.count("*").alias("total")))
     n = totals.agg(F.max("total")).first()[0] or 0
     largest = max(n, 1) * (-(-n // config.bins) + 1) ** (2 * config.bins)
-    if largest >= 1 << 61:
+    if bits is None:
+        bits = max(64, 1 << (largest.bit_length() + 2).bit_length())
+    if largest >= 1 << bits - 3:
         raise ValueError(f"scores of {n} rows in {config.bins} bins don't fit the ring")
-    ratio_top, size_top = largest.bit_length() + 1, n.bit_length() + 1
+    size_top = n.bit_length() + 1
     most = totals.select("tree", F.floor(config.epsilon * F.col("total")).cast("bigint").alias("most"))
     state = cut(rows.select("tree", "row", _masked(F.col("x"), Dealer(("tree", "row"), seed), "bins").alias("x"), F.col("y").alias("m")))
     layers, above, node = [], None, Dealer(tuple(NODE), seed)
@@ -154,7 +205,7 @@ def induce(rows: DataFrame, slots: int, config: TreeConfig, *, seed: int = 1) ->
             ends = sums.withColumn("stop", constant(1).column).withColumn("slot", F.lit(None).cast("struct<s0: bigint, s1: bigint>"))
         else:
             sums = cut(sums)
-            hot = shared.argmax_ratio(_ratios(whole, layer, config, seed), NODE, "slot", "n", "d", Dealer((), seed + layer), ratio_top)
+            hot = _best(whole, layer, slots, config, seed, bits)
             written += [sums, hot]
             slot = hot.groupBy(*NODE).agg(pair(F.sum(F.col("slot") * F.col("hot.s0")), F.sum(F.col("slot") * F.col("hot.s1"))).alias("slot"))
             ends = sums.join(_stops(sums, layer, config, seed, size_top), NODE).join(slot, NODE)

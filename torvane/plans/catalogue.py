@@ -671,9 +671,10 @@ _GRADED = "(SELECT doc_id, quality AS label, (n_chars >= 1500)::BIGINT AS s0, (l
 
 def _graded(table) -> DataFrame:
     """Rows (tree, row, label, bins) of documents with a label: whether one is long, English, has a bar and is toxic."""
-    labels = table("labels").groupBy("doc_id").agg(F.max("quality").cast("int").alias("label"), F.max("toxic").alias("toxic"))
-    bins = F.array(*(c.cast("int") for c in (F.col("n_chars") >= 1500, F.col("lang") == "en", F.contains("text", F.lit("|")), F.col("toxic"))))
-    return table("documents").join(labels, "doc_id").select(F.lit(0).alias("tree"), F.col("doc_id").alias("row"), "label", bins.alias("bins"))
+    labels = table("labels").groupBy("doc_id").agg(F.max("quality").cast("int").alias("label"), F.max("toxic").cast("int").alias("s3"))
+    told = {"s0": F.col("n_chars") >= 1500, "s1": F.col("lang") == "en", "s2": F.contains("text", F.lit("|"))}
+    own = table("documents").select("doc_id", *(c.cast("int").alias(k) for k, c in told.items()))  # so that no text is shuffled
+    return own.join(labels, "doc_id").select(F.lit(0).alias("tree"), F.col("doc_id").alias("row"), "label", F.array("s0", "s1", "s2", "s3").alias("bins"))
 
 
 def _levels_sql(n0: str, slots: int, config: trees.TreeConfig) -> str:
@@ -714,7 +715,7 @@ def tree_stops(spark, table):
 def tree_learn_shared(spark, table):
     """The same tree on shares: each row is a member of every node of a layer, and what is where is opened at the end."""
     shares = oblivious.dealt(_graded(table), 4, DEEP, Dealer(("tree", "row")))
-    return _layers(oblivious.reveal(oblivious.induce(shares, 4, DEEP), DEEP))
+    return _layers(oblivious.reveal(oblivious.induce(shares, 4, DEEP, bits=None), DEEP))
 
 
 def _customers(table) -> DataFrame:
